@@ -1,0 +1,11 @@
+"""The registered queries over the given tables and the SQL that checks them."""
+
+from __future__ import annotations
+
+
+def queries() -> dict:
+    return {}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {}
