@@ -5,10 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash
+from . import graph_ann, mixing, pivots, simhash
 from .common import read
 
 
+def op3_robust_graph_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph_ann.nearest(read(spark, sf_dir, "embeddings"), k=5, every=50)
+
+
+def op4_subset_sum_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.plan(read(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5, most=2.0)
+    return found.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+def op6_pivot_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivots.top_k(read(spark, sf_dir, "embeddings"), k=5, every=50)
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.groups(read(spark, sf_dir, "documents"), words=3, max_bits=3)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -16,6 +29,9 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op3_robust_graph_ann": op3_robust_graph_ann,
+        "op4_subset_sum_mixing": op4_subset_sum_mixing,
+        "op6_pivot_top_k": op6_pivot_top_k,
         "op9_simhash_near_dedup": op9_simhash_near_dedup,
     }
 
