@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import graph_ann, mixing, pivots, simhash
+from . import graph_ann, licences, mixing, pieces, pivots, simhash
 from .common import read
 
 
@@ -22,19 +22,29 @@ def op6_pivot_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivots.top_k(read(spark, sf_dir, "embeddings"), k=5, every=50)
 
 
+def op7_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(read(spark, sf_dir, "documents"), licences.known(spark))
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.groups(read(spark, sf_dir, "documents"), words=3, max_bits=3)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {
         "op3_robust_graph_ann": op3_robust_graph_ann,
         "op4_subset_sum_mixing": op4_subset_sum_mixing,
         "op6_pivot_top_k": op6_pivot_top_k,
+        "op7_licence_scan": op7_licence_scan,
         "op9_simhash_near_dedup": op9_simhash_near_dedup,
+        "op10_sentencepiece": op10_sentencepiece,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_licence_scan": licences.oracle()}
