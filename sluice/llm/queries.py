@@ -5,10 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import graph_ann, licences, mixing, pieces, pivots, simhash
+from . import graph_ann, licences, mixing, ordinal, pieces, pivots, simhash
 from .common import read
 
 
+def op1_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = ordinal.fit(ordinal.ratings(docs, read(spark, sf_dir, "labels")), grades=3)
+    found = ordinal.grade_texts(docs, model)
+    good = F.col("tails")[1]
+    return found.select("doc_id", "expected_grade", good.alias("good_probability"), (good >= ordinal.KEEP_FROM).alias("keep"))
+
+
 def op3_robust_graph_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph_ann.nearest(read(spark, sf_dir, "embeddings"), k=5, every=50)
 
@@ -37,6 +45,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op1_ordinal_quality": op1_ordinal_quality,
         "op3_robust_graph_ann": op3_robust_graph_ann,
         "op4_subset_sum_mixing": op4_subset_sum_mixing,
         "op6_pivot_top_k": op6_pivot_top_k,
