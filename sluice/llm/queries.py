@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import graph_ann, licences, mixing, ordinal, pieces, pivots, simhash
+from . import graph_ann, licences, line_dedup, mixing, ordinal, pieces, pivots, simhash
 from .common import read
 
 
@@ -26,6 +26,11 @@ def op4_subset_sum_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.near_duplicates(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.size("removed").alias("n_removed"), "removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op6_pivot_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivots.top_k(read(spark, sf_dir, "embeddings"), k=5, every=50)
 
@@ -48,6 +53,7 @@ def queries() -> dict:
         "op1_ordinal_quality": op1_ordinal_quality,
         "op3_robust_graph_ann": op3_robust_graph_ann,
         "op4_subset_sum_mixing": op4_subset_sum_mixing,
+        "op5_line_dedup": op5_line_dedup,
         "op6_pivot_top_k": op6_pivot_top_k,
         "op7_licence_scan": op7_licence_scan,
         "op9_simhash_near_dedup": op9_simhash_near_dedup,
