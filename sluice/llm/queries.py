@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import graph_ann, licences, line_dedup, mixing, ordinal, pieces, pivots, simhash
+from . import graph_ann, licences, line_dedup, mixing, ordinal, pieces, pivots, ppm, simhash
 from .common import read
 
 
@@ -39,6 +39,10 @@ def op7_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(read(spark, sf_dir, "documents"), licences.known(spark))
 
 
+def op8_ppm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.score(read(spark, sf_dir, "documents"))
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.groups(read(spark, sf_dir, "documents"), words=3, max_bits=3)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -56,6 +60,7 @@ def queries() -> dict:
         "op5_line_dedup": op5_line_dedup,
         "op6_pivot_top_k": op6_pivot_top_k,
         "op7_licence_scan": op7_licence_scan,
+        "op8_ppm_scoring": op8_ppm_scoring,
         "op9_simhash_near_dedup": op9_simhash_near_dedup,
         "op10_sentencepiece": op10_sentencepiece,
     }
