@@ -22,14 +22,15 @@ from pyspark.sql import functions as F
 
 from .common import text_bytes
 
-ORDER = 4
+ORDER = 5
 #: Bytes of text in a block, about.
-BLOCK = 16 << 20
+BLOCK = 48 << 20
 #: A symbol takes 9 bits: the start that pads contexts, the end of a text, bytes from 2 on.
 _BITS, _START, _END, _FIRST = 9, 0, 1, 2
 SYMBOLS = 257
 _PIECE = 2 << 20
-GRAM, WORD, STOP = 0, 1, 2
+#: Keys of grams are not negative, those of words are; the end of a text as a word has its own.
+STOP = 1 << 62
 
 
 def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -74,14 +75,14 @@ def _tallied(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _word_keys(words) -> np.ndarray:
-    return np.fromiter((xxhash.xxh64_intdigest(w) for w in words), dtype=np.uint64, count=len(words)).view(np.int64)
+    return np.fromiter((xxhash.xxh64_intdigest(w) for w in words), dtype=np.uint64, count=len(words)).view(np.int64) | np.int64(-(1 << 63))
 
 
 def count_block(table: pa.Table) -> pa.Table:
     """Distinct grams and words of a block with their counts in its training texts
     (0 for what only held-out texts have)."""
     texts, held = [t.as_py() for t in table["text"]], table["held_out"].to_pylist()
-    kinds, keys, counts = [], [], []
+    keys, counts = [], []
     train, other = [t for t, h in zip(texts, held, strict=True) if not h], [t for t, h in zip(texts, held, strict=True) if h]
     known, n = _tallied(train)
     new = np.setdiff1d(_tallied(other)[0], known)
@@ -92,13 +93,12 @@ def count_block(table: pa.Table) -> pa.Table:
     for t in other:
         more.update(t.lower().split())
     more.difference_update(words)
-    for kind, k, c in ((GRAM, known, n), (GRAM, new, 0), (WORD, _word_keys(words), np.fromiter(words.values(), np.int64, len(words))), (WORD, _word_keys(more), 0), (STOP, np.zeros(1, np.int64), len(train))):
-        kinds.append(np.full(len(k), kind, dtype=np.int32))
+    for k, c in ((known, n), (new, 0), (_word_keys(words), np.fromiter(words.values(), np.int64, len(words))), (_word_keys(more), 0), (np.array([STOP]), len(train))):
         keys.append(k)
         counts.append(np.broadcast_to(np.asarray(c, dtype=np.int64), len(k)))
-    kinds, keys, counts = map(np.concatenate, (kinds, keys, counts))
+    keys, counts = np.concatenate(keys), np.concatenate(counts)
     block = np.full(len(keys), table["block"][0].as_py(), dtype=np.int32)
-    return pa.table({"block": block, "kind": kinds, "key": keys, "n": counts})
+    return pa.table({"block": block, "key": keys, "n": counts})
 
 
 class _Lookup:
@@ -132,8 +132,9 @@ def score_block(docs: pa.Table, entries: pa.Table) -> pa.Table:
     texts = [t.as_py() for t in docs["text"]]
     if not texts:
         return pa.table({"doc_id": pa.array([], pa.int64()), "held_out": pa.array([], pa.bool_()), "n_tokens": pa.array([], pa.int64()), "n_known": pa.array([], pa.int64()), "words": pa.array([], pa.float64()), "score": pa.array([], pa.float64())})
-    kind, key, value = (entries[c].to_numpy() for c in ("kind", "key", "value"))
-    lookup = _Lookup(key[kind == GRAM], value[kind == GRAM])
+    key, value = entries["key"].to_numpy(), entries["value"].to_numpy()
+    is_gram, is_word = (key >= 0) & (key != STOP), key < 0
+    lookup = _Lookup(key[is_gram], value[is_gram])
     scores = np.empty(len(texts))
     for piece in _pieces(texts):
         keys, starts = grams(texts[piece])
@@ -143,10 +144,10 @@ def score_block(docs: pa.Table, entries: pa.Table) -> pa.Table:
     for w in split:
         words.update(w)
     words = list(words)
-    order = np.argsort(key[kind == WORD])
-    known, counts = key[kind == WORD][order], value[kind == WORD][order]
+    order = np.argsort(key[is_word])
+    known, counts = key[is_word][order], value[is_word][order]
     count_of = dict(zip(words, counts[np.searchsorted(known, _word_keys(words))].tolist(), strict=True)) if words else {}
-    stop = float(value[kind == STOP][0])
+    stop = float(value[key == STOP][0])
     n_known, sums = [], []
     for w in split:
         c = np.fromiter(map(count_of.__getitem__, w), dtype=np.float64, count=len(w))
@@ -201,14 +202,13 @@ def score(docs: DataFrame, apart: Column | None = None) -> DataFrame:
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(size / BLOCK))
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")).select("block", "doc_id", "held_out", "text")
-    by_key = Window.partitionBy("kind", "key")
-    asked = dealt.groupBy("block").applyInArrow(count_block, "block int, kind int, key long, n long")
+    by_key = Window.partitionBy("key")
+    asked = dealt.groupBy("block").applyInArrow(count_block, "block int, key long, n long")
     asked = asked.withColumn("total", F.sum("n").over(by_key)).withColumn("first", F.min("block").over(by_key) == F.col("block"))
     types = asked.where(F.col("first"))
-    lengths = code_lengths(types.where(F.col("kind") == GRAM).select("key", F.col("total").alias("n")))
-    lengths = lengths.select(F.lit(GRAM).alias("kind"), "key", "value")
-    told = asked.join(lengths, ["kind", "key"], "left").select("block", "kind", "key", F.coalesce("value", F.col("total").cast("double")).alias("value"))
+    lengths = code_lengths(types.where((F.col("key") >= 0) & (F.col("key") != STOP)).select("key", F.col("total").alias("n")))
+    told = asked.join(lengths, "key", "left").select("block", "key", F.coalesce("value", F.col("total").cast("double")).alias("value"))
     summed = dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(score_block, "doc_id long, held_out boolean, n_tokens long, n_known long, words double, score double")
-    totals = types.where(F.col("kind") != GRAM).agg(F.coalesce(F.sum("total"), F.lit(0)).alias("train_tokens"), F.coalesce(F.sum((F.col("total") > 0).cast("long")), F.lit(0)).alias("vocabulary")).withColumn("one", F.lit(1))
+    totals = types.where((F.col("key") < 0) | (F.col("key") == STOP)).agg(F.coalesce(F.sum("total"), F.lit(0)).alias("train_tokens"), F.coalesce(F.sum((F.col("total") > 0).cast("long")), F.lit(0)).alias("vocabulary")).withColumn("one", F.lit(1))
     base = F.col("words") - F.col("n_tokens") * F.log10((F.col("train_tokens") + F.col("vocabulary") + 1).cast("double"))
     return summed.withColumn("one", F.lit(1)).join(F.broadcast(totals), "one").select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", base.alias("base_score"), "score")
