@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import graph_ann, licences, line_dedup, mixing, ordinal, pieces, pivots, ppm, simhash
+from . import graph_ann, licences, line_dedup, mixing, ordinal, pieces, pivots, ppm, simhash, suffix_dedup
 from .common import read
 
 
@@ -17,6 +17,12 @@ def op1_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "expected_grade", good.alias("good_probability"), (good >= ordinal.KEEP_FROM).alias("keep"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.repeated(read(spark, sf_dir, "documents"), length=200)
+    n_removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
+    return found.select("doc_id", "n_bytes", n_removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_robust_graph_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph_ann.nearest(read(spark, sf_dir, "embeddings"), k=5, every=50)
 
@@ -55,6 +61,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_ordinal_quality": op1_ordinal_quality,
+        "op2_suffix_dedup": op2_suffix_dedup,
         "op3_robust_graph_ann": op3_robust_graph_ann,
         "op4_subset_sum_mixing": op4_subset_sum_mixing,
         "op5_line_dedup": op5_line_dedup,
