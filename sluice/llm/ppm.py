@@ -6,7 +6,8 @@ been seen; a context that lacks it escapes to the next shorter one with the
 share of its distinct symbols (method C), and symbols of the longer context are
 excluded there. Code lengths are worked out once per distinct (context, symbol)
 by joins of count tables; no model is ever gathered in one place. Documents are
-dealt into blocks; a block asks for the entries it needs and gets them by a join.
+dealt into blocks; a block asks for the entries it needs and gets them by a join,
+in single precision.
 """
 
 from __future__ import annotations
@@ -17,10 +18,10 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_bytes
+from .common import cut, map_rows, text_bytes
 
 ORDER = 5
 #: Bytes of text in a block, about.
@@ -31,6 +32,8 @@ SYMBOLS = 257
 _PIECE = 2 << 20
 #: Keys of grams are not negative, those of words are; the end of a text as a word has its own.
 STOP = 1 << 62
+#: Stands for the value of a gram that training has not seen.
+_UNSEEN = -1e9
 
 
 def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -78,27 +81,20 @@ def _word_keys(words) -> np.ndarray:
     return np.fromiter((xxhash.xxh64_intdigest(w) for w in words), dtype=np.uint64, count=len(words)).view(np.int64) | np.int64(-(1 << 63))
 
 
-def count_block(table: pa.Table) -> pa.Table:
-    """Distinct grams and words of a block with their counts in its training texts
-    (0 for what only held-out texts have)."""
-    texts, held = [t.as_py() for t in table["text"]], table["held_out"].to_pylist()
-    keys, counts = [], []
-    train, other = [t for t, h in zip(texts, held, strict=True) if not h], [t for t, h in zip(texts, held, strict=True) if h]
-    known, n = _tallied(train)
-    new = np.setdiff1d(_tallied(other)[0], known)
+def _counted(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the grams and words of texts, and of their ends, with counts."""
+    grams_, n = _tallied(texts)
     words: Counter = Counter()
-    for t in train:
+    for t in texts:
         words.update(t.lower().split())
-    more = set()
-    for t in other:
-        more.update(t.lower().split())
-    more.difference_update(words)
-    for k, c in ((known, n), (new, 0), (_word_keys(words), np.fromiter(words.values(), np.int64, len(words))), (_word_keys(more), 0), (np.array([STOP]), len(train))):
-        keys.append(k)
-        counts.append(np.broadcast_to(np.asarray(c, dtype=np.int64), len(k)))
-    keys, counts = np.concatenate(keys), np.concatenate(counts)
-    block = np.full(len(keys), table["block"][0].as_py(), dtype=np.int32)
-    return pa.table({"block": block, "key": keys, "n": counts})
+    keys = np.concatenate((grams_, _word_keys(words), np.array([STOP] * bool(texts), dtype=np.int64)))
+    return keys, np.concatenate((n, np.fromiter(words.values(), np.int64, len(words)), np.array([len(texts)] * bool(texts), dtype=np.int64)))
+
+
+def keys_of_block(table: pa.Table) -> pa.Table:
+    """Distinct keys of a block."""
+    keys, _ = _counted([t.as_py() for t in table["text"]])
+    return pa.table({"block": np.full(len(keys), table["block"][0].as_py(), dtype=np.int32), "key": keys})
 
 
 class _Lookup:
@@ -134,6 +130,7 @@ def score_block(docs: pa.Table, entries: pa.Table) -> pa.Table:
         return pa.table({"doc_id": pa.array([], pa.int64()), "held_out": pa.array([], pa.bool_()), "n_tokens": pa.array([], pa.int64()), "n_known": pa.array([], pa.int64()), "words": pa.array([], pa.float64()), "score": pa.array([], pa.float64())})
     key, value = entries["key"].to_numpy(), entries["value"].to_numpy()
     is_gram, is_word = (key >= 0) & (key != STOP), key < 0
+    value = value.astype(np.float64)
     lookup = _Lookup(key[is_gram], value[is_gram])
     scores = np.empty(len(texts))
     for piece in _pieces(texts):
@@ -156,14 +153,18 @@ def score_block(docs: pa.Table, entries: pa.Table) -> pa.Table:
     return pa.table({"doc_id": docs["doc_id"], "held_out": docs["held_out"], "n_tokens": pa.array([len(w) + 1 for w in split], pa.int64()), "n_known": pa.array(n_known, pa.int64()), "words": sums, "score": scores})
 
 
-def code_lengths(types: DataFrame) -> DataFrame:
-    """(key, value): log10 of the probability of the symbol in its context, for each
-    row (key, n) of ``types``; n is the count in training, 0 if it was never seen."""
-    seen = types.where("n > 0")
+def _is_gram() -> Column:
+    return (F.col("key") >= 0) & (F.col("key") != STOP)
+
+
+def code_lengths(counts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``wanted`` with value: log10 of the probability of the symbol in its context for
+    its key. counts has (key, n) of the grams seen in training; what is not seen
+    there is reached by escapes."""
     table, contexts = {}, {}
     for k in range(ORDER, -1, -1):
         mask = (1 << (_BITS * (k + 1))) - 1
-        table[k] = seen.groupBy(F.col("key").bitwiseAND(F.lit(mask)).alias("g")).agg(F.sum("n").alias("c"))
+        table[k] = counts.groupBy(F.col("key").bitwiseAND(F.lit(mask)).alias("g")).agg(F.sum("n").alias("c"))
     for k in range(ORDER, -1, -1):
         rows = table[k].withColumn("context", F.shiftright("g", _BITS))
         if k:
@@ -172,16 +173,16 @@ def code_lengths(types: DataFrame) -> DataFrame:
         else:
             rows = rows.withColumn("shared", F.lit(0).cast("long"))
         contexts[k] = rows.groupBy("context").agg(F.sum("c").alias(f"n{k}"), F.count("*").alias(f"d{k}"), F.sum("shared").alias(f"m{k}"))
-    out = types.select("key", F.lit(0.0).alias("value"), F.lit(False).alias("done"), F.lit(0).cast("long").alias("less_n"), F.lit(0).cast("long").alias("less_d"))
+    columns = wanted.columns
+    out = wanted.select(*columns, F.lit(0.0).alias("value"), F.lit(False).alias("done"), F.lit(0).cast("long").alias("less_n"), F.lit(0).cast("long").alias("less_d"))
     for k in range(ORDER, -1, -1):
-        mask = (1 << (_BITS * (k + 1))) - 1
-        gram = F.col("key").bitwiseAND(F.lit(mask))
+        gram = F.col("key").bitwiseAND(F.lit((1 << (_BITS * (k + 1))) - 1))
         out = out.join(contexts[k], F.shiftright(gram, _BITS) == F.col("context"), "left").join(table[k], gram == F.col("g"), "left")
         n, d = F.col(f"n{k}") - F.col("less_n"), F.col(f"d{k}") - F.col("less_d")
         gain = F.when(F.col("done") | F.col(f"n{k}").isNull(), 0.0).when(F.col("c").isNotNull(), F.log10(F.col("c") / (n + d))).when(d > 0, F.log10(d / (n + d))).otherwise(0.0)
-        out = out.select("key", (F.col("value") + gain).alias("value"), (F.col("done") | F.col("c").isNotNull()).alias("done"), F.coalesce(f"m{k}", "less_n").alias("less_n"), F.coalesce(f"d{k}", "less_d").alias("less_d"))
+        out = out.select(*columns, (F.col("value") + gain).alias("value"), (F.col("done") | F.col("c").isNotNull()).alias("done"), F.coalesce(f"m{k}", "less_n").alias("less_n"), F.coalesce(f"d{k}", "less_d").alias("less_d"))
     floor = -F.log10(F.lit(SYMBOLS) - F.col("less_d"))
-    return out.select("key", (F.col("value") + F.when(F.col("done"), 0.0).otherwise(floor)).alias("value"))
+    return out.select(*columns, (F.col("value") + F.when(F.col("done"), 0.0).otherwise(floor)).alias("value"))
 
 
 def held_out() -> Column:
@@ -199,16 +200,24 @@ def score(docs: DataFrame, apart: Column | None = None) -> DataFrame:
     Without training rows all symbols are equally likely. Repeated rows stay.
     """
     rows = docs.select("doc_id", text_bytes().alias("text"), (held_out() if apart is None else apart).alias("held_out"))
+
+    def counted(batch):
+        yield _counted(batch["text"].to_pylist())
+
+    learned = map_rows(rows.where(~F.col("held_out")).select("text"), counted, "key long, n long")
+    counts = cut(learned.groupBy("key").agg(F.sum("n").alias("n")))
+    known = counts.where(~_is_gram()).agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    seen = counts.where(_is_gram())
+    values = code_lengths(seen, seen.select("key")).union(counts.where(~_is_gram()).select("key", F.col("n").cast("double")))
+
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(size / BLOCK))
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")).select("block", "doc_id", "held_out", "text")
-    by_key = Window.partitionBy("key")
-    asked = dealt.groupBy("block").applyInArrow(count_block, "block int, key long, n long")
-    asked = asked.withColumn("total", F.sum("n").over(by_key)).withColumn("first", F.min("block").over(by_key) == F.col("block"))
-    types = asked.where(F.col("first"))
-    lengths = code_lengths(types.where((F.col("key") >= 0) & (F.col("key") != STOP)).select("key", F.col("total").alias("n")))
-    told = asked.join(lengths, "key", "left").select("block", "key", F.coalesce("value", F.col("total").cast("double")).alias("value"))
+    asked = dealt.groupBy("block").applyInArrow(keys_of_block, "block int not null, key long not null")
+    # One exchange of the keys serves both branches: what sorts them out stands above the join.
+    met = asked.join(values, "key", "left").select("block", "key", F.coalesce("value", F.when(_is_gram(), _UNSEEN).otherwise(0.0)).alias("value"))
+    told = met.where(F.col("value") > _UNSEEN).union(code_lengths(seen, met.where(F.col("value") <= _UNSEEN).select("block", "key")))
+    told = told.select("block", "key", F.col("value").cast("float").alias("value"))
     summed = dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(score_block, "doc_id long, held_out boolean, n_tokens long, n_known long, words double, score double")
-    totals = types.where((F.col("key") < 0) | (F.col("key") == STOP)).agg(F.coalesce(F.sum("total"), F.lit(0)).alias("train_tokens"), F.coalesce(F.sum((F.col("total") > 0).cast("long")), F.lit(0)).alias("vocabulary")).withColumn("one", F.lit(1))
-    base = F.col("words") - F.col("n_tokens") * F.log10((F.col("train_tokens") + F.col("vocabulary") + 1).cast("double"))
-    return summed.withColumn("one", F.lit(1)).join(F.broadcast(totals), "one").select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", base.alias("base_score"), "score")
+    base = F.col("words") - F.col("n_tokens") * math.log10(known[0] + known[1] + 1)
+    return summed.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(known[0]).cast("long").alias("train_tokens"), base.alias("base_score"), "score")

@@ -18,7 +18,7 @@ stretches left over are refined window by window.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import map_rows, text_bytes
@@ -39,8 +39,8 @@ def _joined(first: np.ndarray, later: np.ndarray) -> np.ndarray:
 
 
 def _depth(length: int) -> int:
-    """Length of the initial q-grams: the largest power of two up to a third of the length."""
-    return 1 << max(0, (length // 3).bit_length() - 1)
+    """Length of the initial q-grams: the largest power of two up to a sixth of the length."""
+    return 1 << max(0, (length // 6).bit_length() - 1)
 
 
 def identifiers(raw: np.ndarray, lengths: list[int]) -> list[np.ndarray]:
@@ -115,16 +115,10 @@ def _stretches(rows: DataFrame, length: int) -> DataFrame:
                 of = np.searchsorted(begins, start, side="right") - 1
                 yield gram, whole, rids[piece][of], place - begins[of], start - begins[of], last - begins[of]
 
-    found = map_rows(rows.select("rid", "text"), each, "gram long, whole long, rid long, place long, start long, last long")
+    found = map_rows(rows.select("rid", "text"), each, "gram long, whole long, rid long, place int, start int, last int")
     return found.select("gram", "whole", F.struct("rid", "place", "start", "last").alias("at"))
 
 
-def _asked(keyed: DataFrame, asks: DataFrame, each, schema: str) -> DataFrame:
-    """Runs ``each`` over the texts for which there are asks; asks has at.rid."""
-    lists = asks.groupBy(F.col("at.rid").alias("__rid")).agg(F.collect_list(F.struct("at", "alone")).alias("__ask"))
-    return map_rows(keyed.join(lists.hint("shuffle_hash"), F.col("rid") == F.col("__rid")), each, schema)
-
-
 def repeated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(doc_id, n_bytes, spans array<struct<start, stop>>, kept binary) for each row
     of ``docs``: the maximal runs of bytes covered by a string of ``length`` bytes
@@ -132,71 +126,80 @@ def repeated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     A null text is empty; a text shorter than ``length`` has no spans; equal rows
     are elsewhere to each other; an empty table gives none. What is left need not
-    be valid UTF-8.
+    be valid UTF-8. The texts are dealt by row once and that exchange serves every
+    pass over them.
     """
     rows = docs.select(F.xxhash64("doc_id", "text").alias("rid"), "doc_id", text_bytes().alias("text"))
-    stretches = _stretches(rows, length)
-    buckets = stretches.groupBy("gram").agg(F.count("*").alias("n"), F.min("whole").alias("low"), F.max("whole").alias("high")).where("n > 1")
-    within = stretches.join(buckets.select(F.col("gram").alias("bucket"), (F.col("low") < F.col("high")).alias("mixed")), F.col("gram") == F.col("bucket"))
-    span = F.struct(F.col("at.start").alias("start"), (F.col("at.last") + length).alias("stop"))
-
-    # Buckets with one stretch only: all of it recurs. Others: by stretch.
-    same = within.where(~F.col("mixed")).select("at.rid", span.alias("span"))
-    mixed = within.where("mixed").select("gram", "whole", "at")
-    classes = mixed.groupBy("gram", "whole").agg(F.count("*").alias("n"), F.min("at").alias("at"))
-    several = mixed.join(classes.where("n > 1").select(F.col("gram").alias("g"), F.col("whole").alias("w")), (F.col("gram") == F.col("g")) & (F.col("whole") == F.col("w"))).select("at.rid", span.alias("span"))
-    open_ = classes.groupBy("gram").agg(F.min("n").alias("least")).where("least = 1").select("gram")
-    asks = classes.join(open_, "gram").select("at", (F.col("n") == 1).alias("alone"))
 
-    keyed = rows
+    # Buckets and the stretches in them. A stretch that recurs is repeated as a
+    # whole. Of a bucket with other stretches too, those that don't recur, and one
+    # of each that does, are asked again.
+    bucket, same = Window.partitionBy("gram"), Window.partitionBy("gram", "whole")
+    told = _stretches(rows, length).withColumn("n", F.count("*").over(same)).withColumn("chosen", F.min("at").over(same) == F.col("at"))
+    told = told.withColumn("mixed", F.min("whole").over(bucket) < F.max("whole").over(bucket)).withColumn("least", F.min("n").over(bucket))
+    told = told.select("at", (F.col("n") > 1).alias("mark"), (F.col("mixed") & (F.col("least") == 1) & F.col("chosen")).alias("ask")).where("mark or ask")
+    first = told.groupBy(F.col("at.rid").alias("__rid")).agg(F.collect_list(F.struct("at.place", "at.start", "at.last", "mark", "ask")).alias("__told"))
 
     def blocks(batch):
-        for rid, text, ask in zip(batch["rid"].to_pylist(), batch["text"], batch["__ask"].to_pylist(), strict=True):
+        for rid, text, told in zip(batch["rid"].to_pylist(), batch["text"], batch["__told"], strict=True):
             core, whole = identifiers(np.frombuffer(text.as_py(), dtype=np.uint8), [length - BLOCK + 1, length])
-            place, start, last = (np.array([a["at"][f] for a in ask], dtype=np.int64) for f in ("place", "start", "last"))
+            asked = told.values.field("ask").to_numpy(zero_copy_only=False)
+            place, start, last = (told.values.field(f).to_numpy()[asked] for f in ("place", "start", "last"))
+            alone = ~told.values.field("mark").to_numpy(zero_copy_only=False)[asked]
             low, high = (place - last) // BLOCK, (place - start) // BLOCK
-            own = np.repeat(np.arange(len(ask)), high - low + 1)
+            own = np.repeat(np.arange(len(place)), high - low + 1)
             block = low[own] + np.arange(len(own)) - np.repeat(np.cumsum(high - low + 1) - (high - low + 1), high - low + 1)
             near, far = np.maximum(place[own] - last[own], block * BLOCK), np.minimum(place[own] - start[own], block * BLOCK + BLOCK - 1)
-            first, final = place[own] - far, place[own] - near
+            begin, end = place[own] - far, place[own] - near
             cores = _joined(core[place[own] - block * BLOCK], block.astype(np.uint64))
-            hulls = _joined(_joined(whole[first], whole[final]), (near * length + far).astype(np.uint64))
-            yield cores.view(np.int64), hulls.view(np.int64), np.full(len(own), rid), first, final, np.array([a["alone"] for a in ask])[own]
+            hulls = _joined(_joined(whole[begin], whole[end]), (near * length + far).astype(np.uint64))
+            yield cores.view(np.int64), hulls.view(np.int64), np.full(len(own), rid), begin, (end - begin).astype(np.int8), alone[own]
 
-    cut_up = _asked(keyed, asks, blocks, "core long, hull long, rid long, start long, last long, alone boolean")
-    cores = cut_up.groupBy("core").agg(F.count("*").alias("n"), F.min("hull").alias("low"), F.max("hull").alias("high")).where("n > 1")
-    met = cut_up.join(cores.select(F.col("core").alias("c"), (F.col("low") < F.col("high")).alias("mixed")), F.col("core") == F.col("c"))
-    met = met.select(F.struct("rid", "start", "last").alias("at"), "alone", "mixed")
-    agreed = met.where("alone and not mixed").select("at.rid", span.alias("span"))
+    asking = rows.join(first.where(F.exists("__told", lambda t: t["ask"])).hint("shuffle_hash"), F.col("rid") == F.col("__rid"))
+    core = Window.partitionBy("core")
+    met = map_rows(asking, blocks, "core long, hull long, rid long, start int, more byte, alone boolean")
+    met = met.withColumn("n", F.count("*").over(core)).withColumn("mixed", F.min("hull").over(core) < F.max("hull").over(core)).where("n > 1 and (alone or mixed)")
+    second = met.groupBy(F.col("rid").alias("__rid")).agg(F.collect_list(F.struct("start", "more", "alone", "mixed")).alias("__met"))
 
     def windows(batch):
-        for rid, text, ask in zip(batch["rid"].to_pylist(), batch["text"], batch["__ask"].to_pylist(), strict=True):
+        for rid, text, met in zip(batch["rid"].to_pylist(), batch["text"], batch["__met"], strict=True):
             (whole,) = identifiers(np.frombuffer(text.as_py(), dtype=np.uint8), [length])
-            at = np.concatenate([np.arange(a["at"]["start"], a["at"]["last"] + 1) for a in ask])
-            alone = np.repeat([a["alone"] for a in ask], [a["at"]["last"] - a["at"]["start"] + 1 for a in ask])
-            yield whole[at].view(np.int64), np.full(len(at), rid), at, alone
+            open_ = met.values.field("mixed").to_numpy(zero_copy_only=False)
+            start, sizes = met.values.field("start").to_numpy()[open_], met.values.field("more").to_numpy()[open_].astype(np.int64) + 1
+            at = np.repeat(start - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+            yield whole[at].view(np.int64), np.full(len(at), rid), at, np.repeat(met.values.field("alone").to_numpy(zero_copy_only=False)[open_], sizes)
 
-    single = _asked(keyed, met.where("mixed").select("at", "alone"), windows, "window long, rid long, start long, alone boolean")
-    again = single.groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select(F.col("window").alias("w"))
-    last = single.where("alone").join(again, F.col("window") == F.col("w")).select("rid", F.struct("start", (F.col("start") + length).alias("stop")).alias("span"))
-
-    marks = same.union(several).union(agreed).union(last).groupBy(F.col("rid").alias("__rid")).agg(F.collect_list("span").alias("__spans"))
+    asking = rows.join(second.where(F.exists("__met", lambda t: t["mixed"])).hint("shuffle_hash"), F.col("rid") == F.col("__rid"))
+    single = map_rows(asking, windows, "window long, rid long, start int, alone boolean")
+    again = single.withColumn("n", F.count("*").over(Window.partitionBy("window"))).where("n > 1 and alone")
+    third = again.groupBy(F.col("rid").alias("__rid")).agg(F.collect_list("start").alias("__single"))
 
     def removed(batch):
         spans, kept = [], []
-        for text, marks in zip(batch["text"], batch["__spans"], strict=True):
+        for text, told, met, single in zip(batch["text"], batch["__told"], batch["__met"], batch["__single"], strict=True):
             raw = np.frombuffer(text.as_py(), dtype=np.uint8)
-            if marks.as_py() is None:
-                spans.append([])
-                kept.append(text.as_py())
-                continue
             change = np.zeros(len(raw) + 1, dtype=np.int32)
-            np.add.at(change, marks.values.field("start").to_numpy(), 1)
-            np.add.at(change, marks.values.field("stop").to_numpy(), -1)
+
+            def cover(start, last, change=change):
+                np.add.at(change, start, 1)
+                np.add.at(change, last + length, -1)
+
+            if told.values is not None:
+                whole = told.values.field("mark").to_numpy(zero_copy_only=False)
+                cover(told.values.field("start").to_numpy()[whole], told.values.field("last").to_numpy()[whole])
+            if met.values is not None:
+                whole = met.values.field("alone").to_numpy(zero_copy_only=False) & ~met.values.field("mixed").to_numpy(zero_copy_only=False)
+                start = met.values.field("start").to_numpy()[whole]
+                cover(start, start + met.values.field("more").to_numpy()[whole])
+            if single.values is not None:
+                cover(single.values.to_numpy(), single.values.to_numpy())
             covered = np.cumsum(change[:-1]) > 0
             edge = np.flatnonzero(np.diff(np.concatenate(([False], covered, [False])).view(np.int8))).tolist()
             spans.append([{"start": a, "stop": b} for a, b in zip(edge[::2], edge[1::2], strict=True)])
-            kept.append(raw[~covered].tobytes())
+            kept.append(raw[~covered].tobytes() if edge else text.as_py())
         yield batch["doc_id"], [len(t.as_py()) for t in batch["text"]], spans, kept
 
-    return map_rows(keyed.join(marks.hint("shuffle_hash"), F.col("rid") == F.col("__rid"), "left"), removed, "doc_id long, n_bytes long, spans array<struct<start:long,stop:long>>, kept binary")
+    everything = rows
+    for part, name in ((first, "__told"), (second, "__met"), (third, "__single")):
+        everything = everything.join(part.withColumnRenamed("__rid", f"{name}_rid").hint("shuffle_hash"), F.col("rid") == F.col(f"{name}_rid"), "left")
+    return map_rows(everything, removed, "doc_id long, n_bytes long, spans array<struct<start:long,stop:long>>, kept binary")
