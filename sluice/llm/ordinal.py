@@ -11,7 +11,7 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, map_rows, text_bytes
@@ -108,9 +108,10 @@ def _ordered(free: np.ndarray) -> np.ndarray:
     return np.cumsum(np.concatenate((free[:1], np.exp(free[1:]))))
 
 
-def _loss(weights: np.ndarray, free: np.ndarray, columns: np.ndarray, values: np.ndarray, starts: np.ndarray, grades: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-    """Summed negative log likelihood of rows and its gradients. Row i has the
-    columns and values from starts[i] on; no row is without any."""
+def _loss(weights: np.ndarray, free: np.ndarray, columns: np.ndarray, values: np.ndarray, starts: np.ndarray, grades: np.ndarray, weigh: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Summed negative log likelihood of rows and its gradients; a row of grade g
+    weighs weigh[g]. Row i has the columns and values from starts[i] on; no row is
+    without any."""
     thresholds = _ordered(free)
     wide = np.concatenate(([-60.0], thresholds, [60.0]))
     scores = np.add.reduceat(weights[columns] * values, starts)
@@ -119,11 +120,12 @@ def _loss(weights: np.ndarray, free: np.ndarray, columns: np.ndarray, values: np
     rows = np.arange(len(grades))
     high, low = edge[rows, grades + 1], edge[rows, grades]
     p = np.maximum(high - low, 1e-12)
-    d_high, d_low = high * (1 - high) / p, low * (1 - low) / p
+    heavy = weigh[grades]
+    d_high, d_low = heavy * high * (1 - high) / p, heavy * low * (1 - low) / p
     of_weights = np.bincount(columns, weights=values * np.repeat(d_high - d_low, np.diff(np.append(starts, len(columns)))), minlength=len(weights))
     of_thresholds = np.bincount(np.concatenate((grades + 1, grades)), weights=np.concatenate((-d_high, d_low)), minlength=len(wide))[1:-1]
     steps = np.concatenate(([1.0], np.exp(free[1:])))
-    return float(-np.log(p).sum()), of_weights, np.cumsum(of_thresholds[::-1])[::-1] * steps
+    return float(-(heavy * np.log(p)).sum()), of_weights, np.cumsum(of_thresholds[::-1])[::-1] * steps
 
 
 def _descend(loss, x: np.ndarray, rounds: int, memory: int = 10) -> np.ndarray:
@@ -153,34 +155,41 @@ def _descend(loss, x: np.ndarray, rounds: int, memory: int = 10) -> np.ndarray:
     return x
 
 
-def fit(rated: DataFrame, grades: int, sample: int = 15_000, rounds: int = 50, ridge: float = 5e-5, seen: int = 20, bits: int = BITS, seed: int = 5) -> Model:
-    """Fits the model to (text, grade 0 .. grades - 1).
+def fit(docs: DataFrame, ratings: DataFrame, grades: int, sample: int = 15_000, rounds: int = 50, ridge: float = 2e-4, seen: int = 10, bits: int = BITS, seed: int = 5) -> Model:
+    """Fits the model to documents with ratings (doc_id, grade 0 .. grades - 1).
 
-    At most about ``sample`` rows are used, drawn by a seeded hash of the text so
-    that a rerun draws the same; each grade gets the same share as far as it has
-    rows. This bound is what fitting costs at any size. Rows without a grade or
-    with one out of range are left out. Features of fewer than ``seen`` rows of
-    the sample keep weight 0. Every round is one Spark job over the features of
-    the sample: tasks sum the gradients of their rows, whose size the sample
-    bounds. No usable rows give a model that finds all grades equally likely.
+    At most ``sample`` ratings are used, drawn by a seeded hash of the doc_id so
+    that a rerun draws the same; each grade has the same share as far as it has
+    rows, and grades weigh the same in all. This bound is
+    what fitting costs at any size, and it bounds what is broadcast to find the
+    texts. Ratings without a grade or with one out of range are left out.
+    Features of fewer than ``seen`` rows of the sample keep weight 0. Every round
+    is one Spark job over the features of the sample: tasks sum the gradients of
+    their rows. No usable rows give a model that finds all grades equally likely.
     """
-    usable = rated.where(F.col("grade").between(0, grades - 1)).select(text_bytes().alias("text"), F.col("grade").cast("int").alias("grade"))
-    counts = {r["grade"]: r["n"] for r in usable.groupBy("grade").agg(F.count("*").alias("n")).collect()}
-    weights = np.zeros((1 << bits) + _SHAPES)
-    if not counts:
-        return Model(weights.astype(np.float32), np.log(np.arange(1, grades) / np.arange(1, grades)[::-1]), bits)
+    by_draw = Window.partitionBy("grade").orderBy(F.shiftrightunsigned(F.xxhash64(F.lit(seed), "__doc"), 11), "__doc")
+    rated = ratings.where(F.col("grade").between(0, grades - 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("__doc"), F.col("grade").cast("int").alias("grade"))
+    # A little more than the share of each grade by its draw, so that few rows are ranked.
+    counts = {r["grade"]: r["n"] for r in rated.groupBy("grade").agg(F.count("*").alias("n")).collect()}
     share = F.lit(0.0)
     for grade, n in counts.items():
-        share = F.when(F.col("grade") == grade, F.lit(sample / len(counts) / n)).otherwise(share)
-    draw = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "text"), 11) / F.lit(float(1 << 53))
+        share = F.when(F.col("grade") == grade, F.lit(1.2 * sample / grades / n + 100 / n)).otherwise(share)
+    rated = rated.where(F.shiftrightunsigned(F.xxhash64(F.lit(seed), "__doc"), 11) / F.lit(float(1 << 53)) < share)
+    chosen = rated.select("grade", "__doc", F.row_number().over(by_draw).alias("place")).where(F.col("place") <= sample // grades)
+    usable = docs.select("doc_id", text_bytes().alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("__doc")).select("text", "grade")
+    weights = np.zeros((1 << bits) + _SHAPES)
 
     def described(batch):
         rows = [features(t.as_py(), bits) for t in batch["text"]]
         yield batch["grade"], [c for c, _ in rows], [v for _, v in rows]
 
-    drawn = cut(map_rows(usable.where(draw < share), described, "grade int, columns array<int>, values array<float>"))
+    drawn = cut(map_rows(usable, described, "grade int, columns array<int>, values array<float>"))
     often = drawn.select(F.explode("columns").alias("c")).groupBy("c").agg(F.count("*").alias("n"))
     total = drawn.count()
+    if not total:
+        return Model(weights.astype(np.float32), np.log(np.arange(1, grades) / np.arange(1, grades)[::-1]), bits)
+    sizes = {r["grade"]: r["n"] for r in drawn.groupBy("grade").agg(F.count("*").alias("n")).collect()}
+    weigh = np.array([total / len(sizes) / sizes[g] if g in sizes else 0.0 for g in range(grades)])
     active = np.array(sorted(r["c"] for r in often.where(F.col("n") >= min(seen, max(1, total // 10))).select("c").collect()), dtype=np.int64)
     place = np.full(len(weights), -1, dtype=np.int32)
     place[active] = np.arange(len(active))
@@ -202,7 +211,7 @@ def fit(rated: DataFrame, grades: int, sample: int = 15_000, rounds: int = 50, r
                 return
             starts = np.concatenate(([0], np.cumsum([lengths[i] for i in keep])[:-1])).astype(np.int64)
             columns, values = (batch[c].flatten().to_numpy(zero_copy_only=False) for c in ("columns", "values"))
-            got, of_w, of_f = _loss(w, free, columns, values.astype(np.float64), starts, batch["grade"].to_numpy(zero_copy_only=False)[keep])
+            got, of_w, of_f = _loss(w, free, columns, values.astype(np.float64), starts, batch["grade"].to_numpy(zero_copy_only=False)[keep], weigh)
             yield [got], [np.concatenate((of_w, of_f)).tobytes()]
 
         value, slope = 0.0, np.zeros(len(x))
@@ -212,7 +221,7 @@ def fit(rated: DataFrame, grades: int, sample: int = 15_000, rounds: int = 50, r
         return value / total + ridge / 2 * float(w @ w), slope / total + ridge * np.concatenate((w, np.zeros(len(free))))
 
     start = np.concatenate((np.zeros(len(active)), [-0.7], np.full(grades - 2, 0.3)))
-    x = _descend(loss, start, rounds) if total else start
+    x = _descend(loss, start, rounds)
     weights[active] = x[: len(active)]
     return Model(weights.astype(np.float32), _ordered(x[len(active) :]), bits)
 
@@ -229,13 +238,12 @@ def grade_texts(docs: DataFrame, model: Model) -> DataFrame:
     return map_rows(docs.select("doc_id", text_bytes().alias("text")), each, "doc_id long, expected_grade double, tails array<double>")
 
 
-def ratings(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(text, grade): 0 for toxic, 1 for low quality, 2 for good text; unlabelled
-    documents and rows with a null in their label are left out. Of several labels
-    of one document the lowest grade holds."""
+def ratings(labels: DataFrame) -> DataFrame:
+    """(doc_id, grade): 0 for toxic, 1 for low quality, 2 for good text; rows with a
+    null in their label are left out. Of several labels of one document the
+    lowest grade holds."""
     grade = F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 0, 1).when((F.col("quality") == 1) & (F.col("toxic") == 0), 2)
-    lowest = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(grade).alias("grade"))
-    return docs.select("doc_id", "text").join(lowest.where("grade is not null"), "doc_id").select("text", "grade")
+    return labels.groupBy("doc_id").agg(F.min(grade).alias("grade"))
 
 
 def select(docs: DataFrame, model: Model, grade: int, at_least: float) -> DataFrame:

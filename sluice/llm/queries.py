@@ -11,7 +11,7 @@ from .common import read
 
 def op1_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    model = ordinal.fit(ordinal.ratings(docs, read(spark, sf_dir, "labels")), grades=3)
+    model = ordinal.fit(docs, ordinal.ratings(read(spark, sf_dir, "labels")), grades=3)
     found = ordinal.grade_texts(docs, model)
     good = F.col("tails")[1]
     return found.select("doc_id", "expected_grade", good.alias("good_probability"), (good >= ordinal.KEEP_FROM).alias("keep"))
