@@ -21,6 +21,8 @@ from .common import cut
 KNAPSACK = 1 << 16
 #: Documents of one source and length that are ranked together.
 RANKED = 4096
+#: How far above the budget the knapsack looks for a nearer sum.
+_ABOVE = 4096
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -54,11 +56,11 @@ def targets(sizes: DataFrame, weights: tuple[float, ...], share: float, most: fl
 
 def fit(lengths: list[int], counts: list[int], budget: int) -> list[int]:
     """How many documents of each length to take so that their tokens sum as near
-    to ``budget`` as the knapsack over the last part of it can reach, never above."""
+    to ``budget`` as the knapsack over the last part of it can reach."""
     total = sum(a * c for a, c in zip(lengths, counts, strict=True))
     if budget >= total:
         return list(counts)
-    take = [c * budget // total for c in counts]
+    take = [c * max(0, budget - KNAPSACK) // total for c in counts]
     left = budget - sum(a * t for a, t in zip(lengths, take, strict=True))
     order = sorted((i for i, a in enumerate(lengths) if a > 0), key=lambda i: -lengths[i])
     for i in order:
@@ -66,7 +68,7 @@ def fit(lengths: list[int], counts: list[int], budget: int) -> list[int]:
             more = min(counts[i] - take[i], (left - KNAPSACK) // lengths[i])
             take[i] += more
             left -= more * lengths[i]
-    bits, within, steps = 1, (1 << (left + 1)) - 1, []
+    bits, within, steps = 1, (1 << (left + _ABOVE)) - 1, []
     for i in reversed(order):
         free, lot = counts[i] - take[i], 1
         while free > 0 and not bits >> left & 1:
@@ -76,7 +78,10 @@ def fit(lengths: list[int], counts: list[int], budget: int) -> list[int]:
                 steps.append((i, lot, bits))
                 bits = grown
             free, lot = free - lot, lot * 2
-    reached = bits.bit_length() - 1
+    under = (bits & ((1 << (left + 1)) - 1)).bit_length() - 1
+    over = bits >> left
+    above = left + (over & -over).bit_length() - 1
+    reached = above if over and above - left < left - under else under
     for i, lot, without in reversed(steps):
         if not without >> reached & 1:
             take[i] += lot
