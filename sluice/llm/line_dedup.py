@@ -62,10 +62,13 @@ def row_key() -> Column:
 
 def _lines(docs: DataFrame, min_words: int) -> DataFrame:
     """A row for each line with words: whole (its hash), words, the hashes of its
-    halves, and at: (doc, rid, line), by which earlier and later are told."""
+    halves, two in a number, and doc, rid, line, by which earlier and later are told."""
 
     def digest(words):
-        return _signed(xxhash.xxh64_intdigest(b" ".join(words)))
+        return xxhash.xxh64_intdigest(b" ".join(words))
+
+    def halves(w, m):
+        return _signed((digest(w[:m]) >> 32 << 32) | (digest(w[len(w) - m :]) >> 32))
 
     def each(batch):
         out = []
@@ -73,12 +76,9 @@ def _lines(docs: DataFrame, min_words: int) -> DataFrame:
             for line, raw in enumerate(text.as_py().split(b"\n")):
                 w = raw.split()
                 n = len(w)
-                if n >= min_words:
-                    m, k = n // 2, (n - 1) // 2
-                    first, last = digest(w[:m]), digest(w[n - m :])
-                    out.append((doc, rid, line, digest(w), n, first, last, *((first, last) if m == k else (digest(w[:k]), digest(w[n - k :])))))
-                elif n:
-                    out.append((doc, rid, line, digest(w), n, None, None, None, None))
+                if n:
+                    pair = (halves(w, n // 2), halves(w, (n - 1) // 2)) if n >= min_words else (None, None)
+                    out.append((doc, rid, line, _signed(digest(w)), n, *pair))
             if len(out) > 20_000:
                 yield tuple(map(list, zip(*out, strict=True)))
                 out = []
@@ -86,29 +86,21 @@ def _lines(docs: DataFrame, min_words: int) -> DataFrame:
             yield tuple(map(list, zip(*out, strict=True)))
 
     rows = docs.select(F.coalesce("doc_id", F.lit(_LAST)).alias("doc_id"), row_key().alias("rid"), text_bytes().alias("text"))
-    found = map_rows(rows, each, "doc long, rid long, line int, whole long, words int, first long, last long, first_less long, last_less long")
-    return found.select(F.struct("doc", "rid", "line").alias("at"), "whole", "words", "first", "last", "first_less", "last_less")
+    return map_rows(rows, each, "doc long, rid long, line int, whole long, words int, halves long, halves_less long")
 
 
 def _candidates(classes: DataFrame) -> DataFrame:
     """Those classes of equal lines that share a half with another one of fitting length."""
     n = F.col("words")
-    halves = F.array(
-        F.xxhash64(F.lit(0), n, F.lit(0), "first"),
-        F.xxhash64(F.lit(0), n, F.lit(1), "last"),
-        F.xxhash64(F.lit(1), n + 1, F.lit(0), "first"),
-        F.xxhash64(F.lit(1), n + 1, F.lit(1), "last"),
-        F.xxhash64(F.lit(1), n, F.lit(0), "first_less"),
-        F.xxhash64(F.lit(1), n, F.lit(1), "last_less"),
-    )
-    keyed = classes.where("first is not null").select("whole", F.explode(halves).alias("key"))
+    keys = [F.xxhash64(F.lit(kind), length, F.lit(side), half(column)) for kind, length, column in ((0, n, "halves"), (1, n + 1, "halves"), (1, n, "halves_less")) for side, half in enumerate((lambda c: F.shiftright(c, 32), lambda c: F.col(c).bitwiseAND(F.lit(0xFFFFFFFF))))]
+    keyed = classes.where("halves is not null").select("whole", F.explode(F.array(*keys)).alias("key"))
     shared = keyed.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1")
     return classes.join(shared.select("whole").distinct(), "whole").select("at")
 
 
-def near_duplicates(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` with all columns, the text without duplicate lines, and removed: the
-    numbers of the lines taken out, from 0.
+def near_duplicates(docs: DataFrame, min_words: int = MIN_WORDS, removed: str = "removed") -> DataFrame:
+    """``docs`` with all columns, the text without duplicate lines, and one more
+    column (``removed``) with the numbers of the lines taken out, from 0.
 
     A line goes if an earlier line, in order of doc_id, row and line, is equal
     word for word or, from ``min_words`` words on, within one edit of a word.
@@ -117,8 +109,8 @@ def near_duplicates(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     text are one document and stay repeated; an empty table gives none.
     """
     columns = docs.columns
-    lines = cut(_lines(docs, min_words))
-    classes = lines.groupBy("whole").agg(F.min("at").alias("at"), *[F.min(c).alias(c) for c in ("words", "first", "last", "first_less", "last_less")])
+    lines = cut(_lines(docs, min_words)).withColumn("at", F.struct("doc", "rid", "line"))
+    classes = lines.groupBy("whole").agg(F.min("at").alias("at"), *[F.min(c).alias(c) for c in ("words", "halves", "halves_less")])
     repeats = lines.join(classes.select("whole", F.col("at").alias("low")), "whole").where("at <> low").select("at", F.lit(None).cast("binary").alias("witness"))
 
     keyed = docs.withColumn("__rid", row_key()).withColumn("__text", text_bytes())
@@ -151,7 +143,7 @@ def near_duplicates(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     schema = [f for f in docs.schema.fields if f.name != "text"]
 
     def cleaned(batch):
-        texts, removed = [], []
+        texts, lost = [], []
         for original, text, marks in zip(batch["text"], batch["__text"], batch["__marks"].to_pylist(), strict=True):
             gone = set()
             if marks:
@@ -160,15 +152,15 @@ def near_duplicates(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                 texts.append(b"\n".join(l for i, l in enumerate(split) if i not in gone).decode("utf-8", "replace"))
             else:
                 texts.append(original.as_py())
-            removed.append(sorted(gone))
+            lost.append(sorted(gone))
         rest = [batch[f.name] for f in schema]
-        yield (*rest[:at], texts, *rest[at:], removed)
+        yield (*rest[:at], texts, *rest[at:], lost)
 
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", removed array<int>"
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + f", `{removed}` array<int>"
     return map_rows(keyed.join(marks.hint("shuffle_hash"), "__rid", "left"), cleaned, ddl)
 
 
 def clean(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` without duplicate lines; rows that lose all their lines go, columns stay."""
-    found = near_duplicates(docs, **options)
-    return found.where((F.size("removed") == 0) | (F.length(F.regexp_replace("text", r"\s+", "")) > 0)).select(*docs.columns)
+    found = near_duplicates(docs, removed="__lines", **options)
+    return found.where((F.size("__lines") == 0) | (F.length(F.regexp_replace("text", r"\s+", "")) > 0)).select(*docs.columns)
