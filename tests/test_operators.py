@@ -1,0 +1,179 @@
+"""Operators on literal rows: unknown values, order, late data, feeds that broke."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from sluice.functions import prose, text
+from sluice.operators import drains, health, history, judge, match
+from sluice.sources import mail, mapping, pages
+
+CARS = "key long, price double, age double, mileage double, gearbox string, fuel string, body string, make string, postcode string, text string, hail boolean"
+CRITERIA = judge.VehicleCriteria(30_000, 5, 80_000, {"price": 10, "age": 15, "mileage": 10, "gearbox": 0, "fuel": 15, "body": 25, "brand": 25}, ["75"], ["suv"], ["ds"], ["toyota", "mercedes"], [r"\bepave\b"], 30)
+
+
+def test_unknown_is_neither_zero_nor_a_reason(spark):
+    rows = [
+        (1, None, None, None, None, None, None, None, None, None, None),
+        (2, 31_000.0, 1.0, 1.0, None, "essence", "SUV", "Toyota", "75001", "", False),
+        (3, 15_000.0, 5.0, 80_000.0, None, "hybride", "4x4 - SUV", "Mercedes-Benz", None, "", False),
+        (4, 15_000.0, 7.5, 120_000.0, None, "gpl", "berline", "DS Automobiles", "13001", "", False),
+        (5, 15_000.0, 1.0, 1.0, None, "diesel", "suv", "dsx", "75001", "Une épave", True),
+        (6, 0.0, 1.0, 1.0, None, "essence", "suv", "toyota", "75001", "", True),
+    ]
+    got = {r["key"]: r for r in judge.vehicle_verdict(spark.createDataFrame(rows, CARS), CRITERIA).collect()}
+    assert got[1]["score"] == 0 and got[1]["disqualifier"] is None and got[1]["outcome"] == "MATCH"
+    assert got[2]["disqualifier"] == "price" and got[2]["score"] is None
+    assert got[3]["score"] == 95 and got[3]["high_priority"]
+    assert got[4]["disqualifier"] == "location"
+    assert got[5]["disqualifier"].startswith("pattern:")
+    assert got[6]["score"] == 70
+    with pytest.raises(ValueError):
+        judge.VehicleCriteria(1, 1, 1, {}, brand_avoid=["a"], brand_favour=["a"])
+
+
+def test_rent_reasons(spark):
+    rows = [(1, None, 900.0, 100.0, 40.0, 3), (2, None, 1600.0, None, 40.0, 3), (3, None, None, None, None, None), (4, 300.0, None, None, 90.0, 3), (5, 800.0, None, None, 40.0, 1)]
+    df = spark.createDataFrame(rows, "id long, rent_cc double, rent_hc double, charges double, surface double, rooms int")
+    got = {r["id"]: (r["outcome"], r["disqualifier"]) for r in judge.rent_verdict(df, judge.RentCriteria(1500, 30, 2, 8)).collect()}
+    assert got == {1: ("MATCH", None), 2: ("REJECT", "rent_hc"), 3: ("MATCH", None), 4: ("DIGEST", None), 5: ("REJECT", "rooms")}
+
+
+RUNS = "source string, id long, at long, ok boolean, items int, feed_at long"
+NOW = 100 * 86_400
+
+
+def ladder(spark, rows, days=None):
+    df = spark.createDataFrame([("s", i, *r) for i, r in enumerate(rows)], RUNS)
+    return health.verdicts(df, NOW, days).first()["status"]
+
+
+def test_every_rung_of_the_ladder(spark):
+    day, hour = 86_400, 3_600
+    ok = lambda ago, n=10, feed=None: (NOW - ago, True, n, feed)
+    bad = lambda ago: (NOW - ago, False, 0, None)
+    assert ladder(spark, [ok(hour)]) == "OK"
+    assert ladder(spark, [ok(5 * hour), bad(4 * hour), bad(3 * hour), bad(hour)]) == "BROKEN"
+    assert ladder(spark, [ok(5 * hour), bad(hour)]) == "OK"
+    assert ladder(spark, [bad(hour)]) == "BROKEN"
+    assert ladder(spark, [ok(5 * hour), ok(3 * hour, 0), ok(2 * hour, 0), ok(hour, 0)]) == "BROKEN"
+    assert ladder(spark, [ok(30 * day, 5), ok(3 * hour, 0), ok(2 * hour, 0), ok(hour, 0)]) == "BROKEN"
+    assert ladder(spark, [ok(9 * day), ok(8 * day)]) == "STALE"
+    assert ladder(spark, [ok(-hour)]) == "STALE"
+    assert ladder(spark, [ok(9 * day, 0), ok(3 * day, 0), ok(hour, 0)]) == "NEVER_PRODUCED"
+    assert ladder(spark, [ok(4 * hour), bad(3 * hour), ok(2 * hour), bad(90 * 60), ok(hour)]) == "WARN_FLAKY"
+    many = [ok(6 * day + i) for i in range(60, 0, -1)]
+    short = [bad(20 * hour - i * hour) if i % 4 == 0 else ok(20 * hour - i * hour) for i in range(20)]
+    assert ladder(spark, many + short) == "WARN_FLAKY"
+    assert ladder(spark, [ok(hour, 10, NOW - 9 * day)], 7) == "FEED_SILENT"
+    assert ladder(spark, [ok(hour, 10, NOW + 9 * day)], 7) == "FEED_SILENT"
+    assert ladder(spark, [ok(hour, 10, NOW - day)], 7) == "OK"
+    assert ladder(spark, [ok(3 * hour), ok(2 * hour), ok(hour, 1)]) == "WARN_DROP"
+
+
+def test_fold_equals_one_arrival_after_the_other(spark):
+    import datetime as dt
+    import random
+
+    import pandas as pd
+
+    draw = random.Random(1)
+    rows = [(k, dt.datetime(2024, 1, 1) + dt.timedelta(hours=draw.randint(0, 9)), s, draw.choice([None, 1.0, 2.0]), draw.choice([None, "a", "b"])) for s, k in enumerate(draw.choices(range(30), k=400))]
+    df = spark.createDataFrame(rows, "key long, ts timestamp, seq long, price double, title string")
+    for late in ("fill", "ignore"):
+        want = {}
+        for k in range(30):
+            mine = pd.DataFrame([r for r in rows if r[0] == k], columns=["key", "ts", "seq", "price", "title"]).astype({"price": "float64"})
+            want[k] = history.fold_arrivals(mine, None, late)
+        for r in history.fold(df, late).collect():
+            seen, price, title, n_late = want[r["key"]]
+            assert (r["price"], r["title"], r["n_late"]) == (price, title, n_late) and pd.Timestamp(r["seen"]) == seen
+
+
+def test_clusters_follow_survivors_only(spark):
+    rows = [(1, "x", 1000.0, 50.0, 2, None, "a", "f"), (2, "x", 1029.0, 50.0, 2, None, "b", "f"), (3, "x", 1058.0, 50.0, 2, None, "a", "f"), (4, None, 1000.0, 50.0, 2, None, "b", "f"), (5, "x", None, 50.0, None, None, "b", "f"), (6, "x", 1000.0, 50.0, 2, None, "b", "g")]
+    df = spark.createDataFrame(rows, "id long, commune string, rent double, surface double, rooms int, floor int, source string, family string")
+    assert {r["id"]: r["survivor"] for r in match.greedy_clusters(df).collect()} == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5, 6: 6}
+    assert {(r["a"], r["b"]) for r in match.pairs(df, "duplicate").collect()} == {(1, 2), (2, 3)}
+    assert {(r["a"], r["b"]) for r in match.pairs(df, "twin").collect()} == {(1, 6)}
+    assert {r["node"]: r["label"] for r in match.components(match.pairs(df, "duplicate")).collect()} == {1: 1, 2: 1, 3: 1}
+
+
+def test_numbers_and_keys(spark):
+    cases = {"1 540,00 €": 1540.0, "1.234": 1234.0, "12,5": 12.5, "91,5 m²": 91.5, "1 234,56": 1234.56, "1,234.5": 1234.5, "rien": None, "": None, "-3": -3.0}
+    got = {r["t"]: r["n"] for r in spark.createDataFrame([(c,) for c in cases], "t string").select("t", text.number(F.col("t")).alias("n")).collect()}
+    assert got == cases
+    row = spark.createDataFrame([("Œuvre d’ÉTÉ  à\nSaint-Ouen", "HTTP://Ex.COM/A?b#c", "2024-01-01T00:00:00.5-00:00", "n/a", "x")], "a string, b string, c string, d string, e string")
+    r = row.select(text.fold(F.col("a")).alias("f"), text.commune_key(F.col("a")).alias("k"), text.normalise_url(F.col("b")).alias("u"), text.iso_epoch(F.col("c")).alias("t"), text.first_present(F.col("d"), F.col("e")).alias("p"), history.dedup_key(F.lit("s"), F.lit("a b/~*"), F.lit(""), F.lit("")).alias("i")).first()
+    assert r["f"] == "oeuvre d'ete a\nsaint-ouen" and r["k"] == "oeuvre d ete a saint ouen"
+    assert r["u"] == "http://ex.com/A?b" and r["t"] == 1704067200 and r["p"] == "x" and r["i"] == "s:id:a%20b%2F~%2A"
+
+
+@pytest.mark.parametrize(
+    ("words", "want"),
+    [("chauffage individuel electrique", ("individuel", "electrique")), ("sans chauffage. chauffage collectif au gaz", ("collectif", "gaz")), ("rien", (None, None)), ("chauffage", (None, None))],
+)
+def test_heating(words, want):
+    assert prose.heating(words) == want
+
+
+def test_prose_readers():
+    assert prose.lift("immeuble avec ascenseur") is True and prose.lift("sans ascenseur") is False and prose.lift("ascenseur : non") is False and prose.lift("calme") is None
+    assert prose.floor("au 3eme etage") == 3 and prose.floor("rez-de-chaussee") == 0 and prose.floor("deuxieme etage") == 2 and prose.floor("maison") is None
+    assert prose.amenities("balcon, cave et parking. sans terrasse") == ["balcony", "cellar", "parking"]
+    assert prose.hail("vehicule grele") and not prose.hail("non grele") and not prose.hail("sans grele")
+    assert prose.pay("45-55 k€") == [("YEAR", 45_000, 55_000)] and prose.pay("tjm 500 €/jour") == [("DAY", 500, 500)] and prose.pay("12 €/h") == [] and prose.pay("3 000 € par mois") == [("MONTH", 3000, 3000)]
+
+
+def test_pages(spark):
+    html = """<ul><li class="card big" data-ref="7"><a href="/x">A &amp; B</a></li><li class="other">no</li></ul>
+      <script type="application/ld+json">[{"@type": "Org"}, {"@type": "Vehicle", "name": "N"}]</script><script id="state">{"k": [1]}</script>"""
+    df = spark.createDataFrame([("u", html), ("v", "<p>none</p>")], "url string, html string")
+    cards = pages.cards(df, "li", "card")
+    row = cards.collect()
+    assert len(row) == 1 and row[0]["fields"]["data.ref"] == "7" and row[0]["fields"]["_text"] == "A & B" and row[0]["fields"]["href"] == "/x"
+    assert [r["url"] for r in pages.scan_errors(df, cards).collect()] == ["v"]
+    assert "N" in pages.json_ld(df, "Vehicle").first()["node"]
+    assert [r["j"] for r in df.select(pages.embedded_json(F.col("html"), 'id="state"').alias("j")).collect()] == ['{"k": [1]}', None]
+    xml = spark.createDataFrame([("<urlset><url><loc>https://h/lot-12</loc></url><url><loc>https://h/about</loc></url></urlset>",)], "xml string")
+    assert [tuple(r) for r in pages.sitemap(xml, r"/lot-(\d+)$").collect()] == [("12", "https://h/lot-12")]
+    with pytest.raises(Exception, match="without items"):
+        pages.sitemap(xml, "/car-").collect()
+    rules = spark.createDataFrame([("h", False, "/a"), ("h", True, "/a/b"), ("h", False, "/*.php$"), ("h", True, "/*.php$")], "host string, allow boolean, pattern string")
+    paths = spark.createDataFrame([("h", "/a/x"), ("h", "/a/b/c"), ("h", "/z.php"), ("h", "/z.phpx"), ("g", "/a")], "host string, path string")
+    assert {r["path"] + r["host"]: r["allowed"] for r in pages.robots_allowed(paths, rules).collect()} == {"/a/xh": False, "/a/b/ch": True, "/z.phph": True, "/z.phpxh": True, "/ag": True}
+
+
+def test_mails(spark, tmp_path):
+    raw = b"From: Alerts <alerts@portal.example>\r\nSubject: =?utf-8?q?Deux_annonces_=C3=A9t=C3=A9?=\r\nDate: Mon, 01 Jan 2024 10:00:00 +0100\r\nMIME-Version: 1.0\r\nContent-Type: text/html; charset=latin-1\r\nContent-Transfer-Encoding: quoted-printable\r\n\r\n<p>Flat caf=E9 <a href=3D\"https://portal.example/ad/5\">go</a></p><a href=3D'https://portal.example/unsubscribe'>x</a>\r\n"
+    (tmp_path / "a.eml").write_bytes(raw)
+    (tmp_path / "b.eml").write_bytes(b"\x00\xff")
+    mails = mail.messages(mail.read_folder(spark, str(tmp_path)))
+    row = mail.from_sender(mails, "ALERTS@portal", "été").first()
+    assert "café" in row["body"] and row["sent"] == 1704099600
+    assert mails.where("sender like '%portal%'").select(mail.listing_links(F.col("links"), "portal.example").alias("l")).first()["l"] == ["https://portal.example/ad/5"]
+    assert mails.count() == 2
+
+
+def test_mapping(spark, tmp_path):
+    (tmp_path / "p.json").write_text('{"results": {"items": [{"id": 1, "city": "Paris", "rent": {"total": "1 540,00 €"}, "surface": "91,5", "url": "/a#x"}, {"id": "b", "address": {"city": "Lyon"}, "price": 15, "rooms": 20}]}}')
+    fields = {"ref": ["id"], "title": ["title"], "url": ["url"], "commune": ["city", "address.city"], "rent": ["rent.total", "price"], "surface": ["surface"], "rooms": ["rooms"]}
+    rows = mapping.listings(mapping.read_items(spark, str(tmp_path), "results.items"), fields, "https://h.example/", True)
+    a, b = sorted(rows.collect(), key=lambda r: r["ref"])
+    assert (a["rent_cc"], a["surface"], a["url"], a["commune"]) == (1540.0, 91.5, "https://h.example/a", "Paris")
+    assert (b["rent_cc"], b["rooms"], b["commune"]) == (None, None, "Lyon")
+    kept = mapping.snapshot(rows)
+    back = mapping.restore(kept, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields))
+    assert sorted(r["ref"] for r in back.where("readable").collect()) == ["1", "b"]
+    assert mapping.fingerprint(fields) != mapping.fingerprint({**fields, "rooms": []})
+    with pytest.raises(Exception, match="without ref"):
+        mapping.listings(spark.createDataFrame([("{}",)], "item string"), fields, "h", True).collect()
+    cards = spark.createDataFrame([("1", 1), ("2", 0), ("3", 0), ("4", 0)], "ref string, priority int")
+    cache = spark.createDataFrame([("2", "fp", 0, 0), ("3", None, 3, 0), ("4", None, 1, 990)], "ref string, map_fingerprint string, failures int, last_attempt long")
+    assert [r["ref"] for r in mapping.to_hydrate(cards, cache, "fp", 1000, 5).collect()] == ["1"]
+
+
+def test_queues(spark):
+    df = spark.createDataFrame([("a", True, False), ("a", False, False), ("b", True, True), ("c", False, False)], "key string, reaches boolean, failed boolean")
+    assert {r["key"]: r["delivered"] for r in drains.delivered(df).collect()} == {"a": True, "b": False, "c": False}
+    r = spark.createDataFrame([("T", 12_345.0, 80)], "t string, p double, s int").select(drains.headline(F.col("t"), F.col("p"), F.col("s")).alias("h")).first()
+    assert r["h"] == "T · 12 345 € · score 80"
