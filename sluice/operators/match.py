@@ -81,8 +81,9 @@ def spread_rank(listings: DataFrame, twins: DataFrame) -> DataFrame:
 
 def greedy_clusters(flats: DataFrame) -> DataFrame:
     """(id, survivor): in order of arrival each listing joins the first survivor it
-    duplicates. Duplicates share family and commune, so groups of these are
-    independent; within one the survivors are compared one after the other."""
+    duplicates. Only duplicates can join, so each component of duplicate pairs is a
+    task of its own, in which survivors are compared one after the other; listings
+    without a duplicate never leave the join."""
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("id")
@@ -95,9 +96,10 @@ def greedy_clusters(flats: DataFrame) -> DataFrame:
             out.append((r.id, r.id if home is None else home))
         return pd.DataFrame(out, columns=["id", "survivor"])
 
-    rows = flats.where("commune is not null and commune <> ''")
-    lone = flats.where("commune is null or commune = ''").select("id", F.col("id").alias("survivor"))
-    return rows.select("id", "commune", "family", "source", "rent", "surface", "rooms", "floor").groupBy("family", "commune").applyInPandas(one, "id long, survivor long").union(lone)
+    label = components(pairs(flats, "duplicate")).select(F.col("node").alias("id"), "label")
+    rows = flats.select("id", "source", "rent", "surface", "rooms", "floor").join(label, "id")
+    lone = flats.select("id", F.col("id").alias("survivor")).join(label, "id", "left_anti")
+    return rows.groupBy("label").applyInPandas(one, "id long, survivor long").unionByName(lone)
 
 
 def _same(a, b) -> bool:
