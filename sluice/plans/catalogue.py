@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.functions import prose, text
-from sluice.operators import drains, health, history, judge, match
+from sluice.operators import classify, drains, health, history, judge, match
 from sluice.plans.views import CARS_SQL, FLATS_SQL, PRICES_SQL, QUEUE_SQL, RUNS_SQL, cars, flats, prices, queue, runs, table
 from sluice.sources import mail, pages
 
@@ -548,3 +548,51 @@ def union_of_sources(spark, sf_dir):
     both = parts[0].unionByName(parts[1]).unionByName(parts[2])
     return both.agg(F.count("*").alias("n"), F.sum(F.col("id") % 1000).alias("checksum"))
 
+
+
+# --- classes -------------------------------------------------------------------------
+
+
+@query()
+def tenure_classify(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    fields = F.create_map(F.lit("Type de financement"), F.when(F.col("doc_id") % 9 == 0, "PLS").otherwise("logement intermediaire"), F.lit("lang"), F.col("lang"))
+    listings = d.select("doc_id", "text", F.when(F.col("doc_id") % 3 == 0, fields).otherwise(F.create_map(F.lit("lang"), F.col("lang"))).alias("fields"), F.when(F.col("source") != "src0", "LLI").alias("default_tenure"), (F.col("source") == "src1").alias("mixed"), F.lit(False).alias("detail_read"))
+    return classify.tenure(listings).select("doc_id", "tenure", "confidence", "outcome", F.size("signals").alias("n_signals"))
+
+
+@query()
+def vehicle_classify(spark, sf_dir):
+    return classify.vehicle(table(spark, sf_dir, "conversations")).select("conv_id", "turn", "reasons", "outcome")
+
+
+@query()
+def job_facts(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.substring("text", 1, 60).alias("title"), "text", F.when(F.col("turn") == 1, "hybrid").alias("mode"))
+    return classify.job_facts(c).select("conv_id", "turn", "contracts", "level", "work")
+
+
+@query("""WITH n AS (SELECT s_suppkey AS id, s_name || ' ' || n_name AS advertiser FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+  l AS (SELECT lower(n_name) AS name FROM nation UNION SELECT lower(left(n_name, 5)) FROM nation)
+  SELECT n.id, (SELECT name FROM l WHERE contains(lower(n.advertiser), name) ORDER BY length(name) DESC, name DESC LIMIT 1) AS landlord FROM n""")
+def landlord_profile(spark, sf_dir):
+    nation = table(spark, sf_dir, "nation")
+    names = nation.select(F.lower("n_name").alias("name")).union(nation.select(F.lower(F.substring("n_name", 1, 5)))).distinct()
+    listings = table(spark, sf_dir, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("id"), F.concat_ws(" ", "s_name", "n_name").alias("advertiser"))
+    return classify.landlord_profiles(listings, names).select("id", "landlord")
+
+
+@query(f"""WITH {FLATS_SQL}, linked AS (SELECT a AS id, b AS other FROM same WHERE sa <> sb AND fa <> fb UNION ALL SELECT b, a FROM same WHERE sa <> sb AND fa <> fb),
+  pushed AS (SELECT id FROM flats WHERE id % 3 = 0)
+  SELECT id, family = 'private' AND EXISTS (SELECT 1 FROM linked l JOIN pushed p ON p.id = l.other WHERE l.id = flats.id) AS suppressed FROM flats""")
+def twin_suppression(spark, sf_dir):
+    rows = flats(spark, sf_dir)
+    return classify.suppress_twins(rows.select("id", "family", (F.col("id") % 3 == 0).alias("pushed")), match.pairs(rows, "twin")).select("id", "suppressed")
+
+
+@query("""WITH cache AS (SELECT s_nationkey AS commune, min(CAST(floor(s_acctbal / 100) AS INTEGER)) AS minutes FROM supplier WHERE floor(s_acctbal / 100) > 0 GROUP BY 1)
+  SELECT c_custkey AS id, minutes, greatest(0.0, least(1.0, (120 - minutes) / 60.0)) * CASE WHEN minutes IS NULL THEN NULL ELSE 1 END AS share FROM customer LEFT JOIN cache ON commune = c_nationkey""")
+def commute_enrich(spark, sf_dir):
+    cache = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("commune"), F.lit("x").alias("postcode"), F.floor(F.col("s_acctbal") / 100).cast("int").alias("minutes"))
+    listings = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("commune"), F.lit("x").alias("postcode"))
+    return classify.add_commute(listings, cache, 60).select("id", "minutes", F.when(F.col("minutes").isNotNull(), F.col("commute_share")).alias("share"))
