@@ -83,14 +83,14 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, pivots: int = 24, sca
     shards, blocks = max(1, math.ceil(table.count() / SHARD)), max(1, math.ceil(queries.count() / BLOCK))
     own_shard, own_block = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(shards)).cast("int"), F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(blocks)).cast("int")
     left = table.select("dim", own_shard.alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "vec_id", "x", "d")
-    right = queries.select("dim", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), own_block.alias("block"), "vec_id", "x", "d")
+    right = queries.select(F.col("dim").alias("dim"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), own_block.alias("block"), F.col("vec_id").alias("own"), F.col("x").alias("q"), F.col("d").alias("q_far"))
 
     def unit(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         found = []
         if len(rows) and len(asked):
             x, far, ids = np.stack(rows["x"].to_list()), np.stack(rows["d"].to_list()), rows["vec_id"].to_numpy()
             norms = (x.astype(np.float64) ** 2).sum(axis=1)
-            for own, query, query_far in zip(asked["vec_id"], asked["x"], asked["d"], strict=True):
+            for own, query, query_far in zip(asked["own"], asked["q"], asked["q_far"], strict=True):
                 got_ids, got, seen = best_of(np.asarray(query), np.asarray(query_far), x, far, norms, ids, own, k)
                 found += [(own, int(i), int(s), seen) for i, s in zip(got_ids, got, strict=True)]
         return pd.DataFrame(found, columns=["query_id", "vec_id", "score", "evaluated"]).astype("int64")
