@@ -25,7 +25,7 @@ from .common import cut, map_rows, text_bytes
 
 ORDER = 5
 #: Bytes of text in a block, about.
-BLOCK = 48 << 20
+BLOCK = 40 << 20
 #: A symbol takes 9 bits: the start that pads contexts, the end of a text, bytes from 2 on.
 _BITS, _START, _END, _FIRST = 9, 0, 1, 2
 SYMBOLS = 257
@@ -69,12 +69,26 @@ def _pieces(texts: list[bytes]):
         at = end
 
 
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and where each begins in the sorted keys."""
+    keys = np.sort(keys)
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.empty(0, dtype=np.int64)
+    return keys[first], first
+
+
 def _tallied(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    parts = [np.unique(grams(texts[p])[0], return_counts=True) for p in _pieces(texts)]
-    if not parts:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    keys, back = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-    return keys, np.bincount(back, weights=np.concatenate([c for _, c in parts])).astype(np.int64)
+    """Distinct grams of texts and their counts."""
+    found, counts = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for piece in _pieces(texts):
+        keys = grams(texts[piece])[0]
+        distinct, first = _distinct(keys)
+        found.append(distinct)
+        counts.append(np.diff(np.append(first, len(keys))))
+    keys, counts = np.concatenate(found), np.concatenate(counts)
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], counts[order]
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.empty(0, dtype=np.int64)
+    return keys[first], np.add.reduceat(counts, first) if len(keys) else counts
 
 
 def _word_keys(words) -> np.ndarray:
@@ -93,7 +107,11 @@ def _counted(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 def keys_of_block(table: pa.Table) -> pa.Table:
     """Distinct keys of a block."""
-    keys, _ = _counted([t.as_py() for t in table["text"]])
+    texts, words = [t.as_py() for t in table["text"]], set()
+    for t in texts:
+        words.update(t.lower().split())
+    found = [_distinct(grams(texts[piece])[0])[0] for piece in _pieces(texts)]
+    keys = np.concatenate((_distinct(np.concatenate(found))[0], _word_keys(words), np.array([STOP])))
     return pa.table({"block": np.full(len(keys), table["block"][0].as_py(), dtype=np.int32), "key": keys})
 
 
@@ -123,6 +141,19 @@ class _Lookup:
         return values
 
 
+class _Counts(dict):
+    """Counts of words, found by their keys when first asked for."""
+
+    def __init__(self, by_key):
+        super().__init__()
+        self.by_key = dict(by_key)
+
+    def __missing__(self, word: bytes) -> float:
+        key = xxhash.xxh64_intdigest(word) | 1 << 63
+        count = self[word] = self.by_key[key - (1 << 64)]
+        return count
+
+
 def score_block(docs: pa.Table, entries: pa.Table) -> pa.Table:
     """Sums the code lengths and word counts of the texts of a block."""
     texts = [t.as_py() for t in docs["text"]]
@@ -136,21 +167,16 @@ def score_block(docs: pa.Table, entries: pa.Table) -> pa.Table:
     for piece in _pieces(texts):
         keys, starts = grams(texts[piece])
         scores[piece] = np.add.reduceat(lookup.of(keys), starts)
-    words: set = set()
-    split = [t.lower().split() for t in texts]
-    for w in split:
-        words.update(w)
-    words = list(words)
-    order = np.argsort(key[is_word])
-    known, counts = key[is_word][order], value[is_word][order]
-    count_of = dict(zip(words, counts[np.searchsorted(known, _word_keys(words))].tolist(), strict=True)) if words else {}
+    count_of = _Counts(zip(key[is_word].tolist(), value[is_word].tolist(), strict=True))
     stop = float(value[key == STOP][0])
-    n_known, sums = [], []
-    for w in split:
+    n_tokens, n_known, sums = [], [], []
+    for t in texts:
+        w = t.lower().split()
         c = np.fromiter(map(count_of.__getitem__, w), dtype=np.float64, count=len(w))
+        n_tokens.append(len(w) + 1)
         n_known.append(int((c > 0).sum()) + (stop > 0))
         sums.append(float(np.log10(c + 1).sum()) + math.log10(stop + 1))
-    return pa.table({"doc_id": docs["doc_id"], "held_out": docs["held_out"], "n_tokens": pa.array([len(w) + 1 for w in split], pa.int64()), "n_known": pa.array(n_known, pa.int64()), "words": sums, "score": scores})
+    return pa.table({"doc_id": docs["doc_id"], "held_out": docs["held_out"], "n_tokens": pa.array(n_tokens, pa.int64()), "n_known": pa.array(n_known, pa.int64()), "words": sums, "score": scores})
 
 
 def _is_gram() -> Column:
