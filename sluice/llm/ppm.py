@@ -186,7 +186,8 @@ def _is_gram() -> Column:
 def code_lengths(counts: DataFrame, wanted: DataFrame) -> DataFrame:
     """``wanted`` with value: log10 of the probability of the symbol in its context for
     its key. counts has (key, n) of the grams seen in training; what is not seen
-    there is reached by escapes."""
+    there is reached by escapes. Tables of at most two symbols, 257 squared rows at
+    any size, are broadcast; all others are joined by shuffles."""
     table, contexts = {}, {}
     for k in range(ORDER, -1, -1):
         mask = (1 << (_BITS * (k + 1))) - 1
@@ -195,7 +196,7 @@ def code_lengths(counts: DataFrame, wanted: DataFrame) -> DataFrame:
         rows = table[k].withColumn("context", F.shiftright("g", _BITS))
         if k:
             shorter = table[k - 1].select(F.col("g").alias("low"), F.col("c").alias("shared"))
-            rows = rows.join(shorter, F.col("g").bitwiseAND(F.lit((1 << (_BITS * k)) - 1)) == F.col("low"))
+            rows = rows.join(F.broadcast(shorter) if k <= 2 else shorter, F.col("g").bitwiseAND(F.lit((1 << (_BITS * k)) - 1)) == F.col("low"))
         else:
             rows = rows.withColumn("shared", F.lit(0).cast("long"))
         contexts[k] = rows.groupBy("context").agg(F.sum("c").alias(f"n{k}"), F.count("*").alias(f"d{k}"), F.sum("shared").alias(f"m{k}"))
@@ -203,7 +204,8 @@ def code_lengths(counts: DataFrame, wanted: DataFrame) -> DataFrame:
     out = wanted.select(*columns, F.lit(0.0).alias("value"), F.lit(False).alias("done"), F.lit(0).cast("long").alias("less_n"), F.lit(0).cast("long").alias("less_d"))
     for k in range(ORDER, -1, -1):
         gram = F.col("key").bitwiseAND(F.lit((1 << (_BITS * (k + 1))) - 1))
-        out = out.join(contexts[k], F.shiftright(gram, _BITS) == F.col("context"), "left").join(table[k], gram == F.col("g"), "left")
+        of_context, of_gram = F.broadcast(contexts[k]) if k <= 2 else contexts[k], F.broadcast(table[k]) if k <= 1 else table[k]
+        out = out.join(of_context, F.shiftright(gram, _BITS) == F.col("context"), "left").join(of_gram, gram == F.col("g"), "left")
         n, d = F.col(f"n{k}") - F.col("less_n"), F.col(f"d{k}") - F.col("less_d")
         gain = F.when(F.col("done") | F.col(f"n{k}").isNull(), 0.0).when(F.col("c").isNotNull(), F.log10(F.col("c") / (n + d))).when(d > 0, F.log10(d / (n + d))).otherwise(0.0)
         out = out.select(*columns, (F.col("value") + gain).alias("value"), (F.col("done") | F.col("c").isNotNull()).alias("done"), F.coalesce(f"m{k}", "less_n").alias("less_n"), F.coalesce(f"d{k}", "less_d").alias("less_d"))
