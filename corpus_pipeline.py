@@ -26,9 +26,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group whose sets of five-word shingles are similar by 0.8
-    or more. Candidates are fingerprints that share three of eight blocks, which
-    all pairs within five bits do, up to fourteen bits apart."""
-    return simhash.dedup(docs, words=5, max_bits=14, blocks=8, pick=3, min_similarity=0.8)
+    or more; every such pair is found."""
+    return simhash.dedup(docs, words=5, min_similarity=0.8)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

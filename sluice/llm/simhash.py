@@ -108,47 +108,35 @@ def close_links(prints: DataFrame, max_bits: int, blocks: int, pick: int) -> Dat
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "bits").distinct()
 
 
-def verified(links: DataFrame, docs: DataFrame, first: DataFrame, words: int, seed: int, at_least: float) -> DataFrame:
-    """Keeps the links whose representatives' sets of shingles have a Jaccard similarity of ``at_least``."""
-
-    def each(batch):
-        yield batch["fp"], [np.unique(shingle_hashes(t.as_py(), words, seed)).view(np.int64) for t in batch["text"]]
-
-    ends = links.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-    texts = docs.select("doc_id", text_bytes().alias("text")).join(first.join(ends, "fp").select("fp", F.col("first").alias("doc_id")), "doc_id").dropDuplicates(["fp"])
-    sets = map_rows(texts.select("fp", "text"), each, "fp long, has array<bigint>")
-    both = links.join(sets.select(F.col("fp").alias("a"), F.col("has").alias("of_a")), "a").join(sets.select(F.col("fp").alias("b"), F.col("has").alias("of_b")), "b")
-    shared = F.size(F.array_intersect("of_a", "of_b"))
-    return both.where(shared >= at_least * (F.size("of_a") + F.size("of_b") - shared)).select("a", "b")
-
-
-def groups(docs: DataFrame, words: int = 3, max_bits: int = 3, blocks: int = 6, pick: int = 3, seed: int = 42, min_similarity: float | None = None) -> DataFrame:
+def groups(docs: DataFrame, words: int = 3, max_bits: int = 3, blocks: int = 6, pick: int = 3, seed: int = 42) -> DataFrame:
     """(doc_id, fp, component_id): the near-duplicate group of each row of ``docs``.
 
     Rows with one fingerprint are one node, so copies cost nothing. Links join
-    fingerprints within ``max_bits`` bits; with ``min_similarity`` a link counts
-    only if the shingle sets of its ends are that similar (Jaccard). component_id
-    is the smallest doc_id of the group. Empty and null texts share fingerprint
+    fingerprints within ``max_bits`` bits. component_id is the smallest doc_id of the group. Empty and null texts share fingerprint
     0; repeated rows stay repeated; a null doc_id is never the smallest unless
     its group has no other; an empty table gives an empty result.
     """
     prints = cut(fingerprints(docs, words, seed))
     first = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
     links = close_links(prints, max_bits, blocks, pick)
-    if min_similarity is not None:
-        links = verified(cut(links), docs, first, words, seed, min_similarity)
     label = connected_components(links.select("a", "b"))
     named = first.join(label, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
     smallest = named.groupBy("label").agg(F.min("first").alias("component_id"))
     return prints.join(named.join(smallest, "label").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-def dedup(docs: DataFrame, **options) -> DataFrame:
+def dedup(docs: DataFrame, words: int = 3, seed: int = 42, min_similarity: float | None = None, **bits: int) -> DataFrame:
     """The rows of ``docs`` whose doc_id is the smallest of their group, once each.
 
+    With ``min_similarity`` the groups are those of all pairs whose shingle sets
+    are that similar (Jaccard); fingerprints and their options (``bits``) have no
+    part in it then, since they leave similar pairs out and can't tell sets apart.
     Columns and their order stay. Rows without a doc_id can't be named by a
     group and stay as they are.
     """
-    kept = groups(docs, **options).where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
+    from . import jaccard
+
+    found = groups(docs, words, seed=seed, **bits) if min_similarity is None else jaccard.groups(docs, min_similarity, words, seed)
+    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
     named = docs.join(kept, F.col("doc_id") == F.col("__kept"), "left_semi").dropDuplicates(["doc_id"])
     return named.union(docs.where("doc_id is null"))
