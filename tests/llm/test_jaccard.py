@@ -52,7 +52,20 @@ def test_groups_against_brute_force(spark, monkeypatch):
     rng = np.random.default_rng(9)
     texts = dict(enumerate(t for n in (2, 3, 9, 30) for t in family(rng, n)))
     texts |= {100 + i: t for i, t in enumerate(("", None, "a", "A", "a b c d e", "a b c d e f"))}
-    for chunk in (1024, 4):
+    for chunk, pivots in ((1024, 4), (8, 1)):
         monkeypatch.setattr(jaccard, "CHUNK", chunk)
+        monkeypatch.setattr(jaccard, "PIVOTS", pivots)
+        got = {r["doc_id"]: r["component_id"] for r in jaccard.groups(table(spark, texts), 0.8).collect()}
+        assert got == brute(texts)
+
+
+def test_failed_nearer_pairs_hide_no_similar_one(spark):
+    rng = np.random.default_rng(21)
+    for _ in range(3):
+        base = [f"w{x}" for x in rng.integers(0, 10**6, 204)]
+        texts = {}
+        for d, changed in ((1, (20, 45)), (2, (70, 95)), (3, (120, 145, 170))):
+            texts[d] = " ".join(f"z{d}" if i in changed else w for i, w in enumerate(base))
+        assert brute(texts) == {1: 1, 2: 1, 3: 3}
         got = {r["doc_id"]: r["component_id"] for r in jaccard.groups(table(spark, texts), 0.8).collect()}
         assert got == brute(texts)
