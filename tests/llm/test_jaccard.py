@@ -1,7 +1,7 @@
 import numpy as np
 
 import corpus_pipeline
-from sluice.llm import jaccard
+from sluice.llm import jaccard, simhash
 
 
 def shingles(text):
@@ -69,3 +69,10 @@ def test_failed_nearer_pairs_hide_no_similar_one(spark):
         assert brute(texts) == {1: 1, 2: 1, 3: 3}
         got = {r["doc_id"]: r["component_id"] for r in jaccard.groups(table(spark, texts), 0.8).collect()}
         assert got == brute(texts)
+
+
+def test_one_fingerprint_is_not_one_text(spark):
+    texts = {d: "again " * 400 + " ".join(f"{x}{d}" for x in "abcdefghij") for d in (1, 2)}
+    assert len({simhash.fingerprint(t.encode(), 5) for t in texts.values()}) == 1
+    kept = simhash.dedup(table(spark, texts), words=5, min_similarity=0.8)
+    assert sorted(r["doc_id"] for r in kept.collect()) == [1, 2]
