@@ -2,28 +2,39 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sluice.plans.session import cut
+
+__all__ = ["BROADCAST", "connected_components", "cut", "fresh", "lookup_join", "map_rows", "read", "row_key", "text_bytes"]
+
+#: Rows of a few numbers that may be broadcast (some 30 MB on an executor).
+BROADCAST = 400_000
+
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and cut its lineage.
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it as long as ``df`` has a column of that
+    name (columns are told apart without regard to case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
-    The folder is the one the session names in spark.checkpoint.dir; only a
-    session without one (a local test) gets a folder of its own.
-    """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sluice-"))
-    return df.checkpoint()
+
+def lookup_join(df: DataFrame, ids: DataFrame, on: str, how: str) -> DataFrame:
+    """``df`` joined with ``ids`` (``on`` and few more columns), which are counted
+    first: up to BROADCAST rows are broadcast and ``df`` stays where it is, more
+    are joined by a shuffle."""
+    ids = cut(ids)
+    return df.join(F.broadcast(ids) if ids.count() <= BROADCAST else ids, on, how)
 
 
 def text_bytes(column: str = "text"):
@@ -31,6 +42,11 @@ def text_bytes(column: str = "text"):
     return F.coalesce(F.col(column), F.lit("")).cast("binary")
 
 
+def row_key() -> Column:
+    """One key for rows with the same doc_id and text."""
+    return F.xxhash64("doc_id", "text")
+
+
 def map_rows(df: DataFrame, each: Callable[[dict], Iterator[tuple]], schema: str) -> DataFrame:
     """Arrow batches in, Arrow batches out. ``each`` gets a batch as a dict of
     lists and yields a tuple of columns (lists or Arrow arrays) in the order of

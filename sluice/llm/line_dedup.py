@@ -16,10 +16,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, map_rows, text_bytes
+from .common import cut, map_rows, row_key, text_bytes
 
 #: Lines of fewer words are compared as a whole only: one word is too much of them.
 MIN_WORDS = 8
@@ -55,11 +55,6 @@ def within_one_edit(a: list[bytes], b: list[bytes]) -> bool:
     return longer[1:] == shorter
 
 
-def row_key() -> Column:
-    """One key for rows with the same doc_id and text."""
-    return F.xxhash64("doc_id", "text")
-
-
 def _lines(docs: DataFrame, min_words: int) -> DataFrame:
     """A row for each line with words: whole (its hash), words, the hashes of its
     halves, two in a number, and doc, rid, line, by which earlier and later are told."""

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut, map_rows, text_bytes
+from .common import connected_components, cut, fresh, lookup_join, map_rows, row_key, text_bytes
 
 #: Members of a bucket that one unit of work compares; a larger bucket is dealt
 #: into chunks and every pair of chunks becomes a unit.
@@ -38,9 +38,8 @@ def shingle_hashes(text: bytes, words: int, seed: int) -> np.ndarray:
     return np.array([digest(joined[s:e], seed) for s, e in spans], dtype=np.uint64)
 
 
-def fingerprint(text: bytes, words: int, seed: int = 42) -> int:
-    """64 bits as a signed long; a bit is 1 if it is set in over half the shingles' hashes."""
-    hashes = shingle_hashes(text, words, seed)
+def print_of(hashes: np.ndarray) -> int:
+    """64 bits as a signed long; a bit is 1 if it is set in over half the hashes."""
     if not len(hashes):
         return 0
     ones = np.zeros(64, dtype=np.int64)
@@ -50,13 +49,18 @@ def fingerprint(text: bytes, words: int, seed: int = 42) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.int64)[0])
 
 
+def fingerprint(text: bytes, words: int, seed: int = 42) -> int:
+    return print_of(shingle_hashes(text, words, seed))
+
+
 def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42) -> DataFrame:
-    """(doc_id, fp long) for each row of ``docs``; a null or blank text has fingerprint 0."""
+    """(doc_id, rid, fp long) for each row of ``docs``; rid is one key for rows with
+    equal doc_id and text; a null or blank text has fingerprint 0."""
 
     def each(batch):
-        yield batch["doc_id"], [fingerprint(t.as_py(), words, seed) for t in batch["text"]]
+        yield batch["doc_id"], batch["rid"], [fingerprint(t.as_py(), words, seed) for t in batch["text"]]
 
-    return map_rows(docs.select("doc_id", text_bytes().alias("text")), each, "doc_id long, fp long")
+    return map_rows(docs.select("doc_id", row_key().alias("rid"), text_bytes().alias("text")), each, "doc_id long, rid long, fp long")
 
 
 def nearest_forest(values: np.ndarray, max_bits: int) -> list[tuple[int, int, int]]:
@@ -108,6 +112,17 @@ def close_links(prints: DataFrame, max_bits: int, blocks: int, pick: int) -> Dat
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "bits").distinct()
 
 
+def _labelled(docs: DataFrame, words: int, max_bits: int, blocks: int, pick: int, seed: int) -> DataFrame:
+    """(doc_id, rid, fp, label, component_id) of each row of ``docs``."""
+    prints = cut(fingerprints(docs, words, seed))
+    first = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    links = close_links(prints, max_bits, blocks, pick)
+    label = connected_components(links.select("a", "b"))
+    named = first.join(label, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
+    smallest = named.groupBy("label").agg(F.min("first").alias("component_id"))
+    return prints.join(named.join(smallest, "label").select("fp", "label", "component_id"), "fp")
+
+
 def groups(docs: DataFrame, words: int = 3, max_bits: int = 3, blocks: int = 6, pick: int = 3, seed: int = 42) -> DataFrame:
     """(doc_id, fp, component_id): the near-duplicate group of each row of ``docs``.
 
@@ -116,27 +131,30 @@ def groups(docs: DataFrame, words: int = 3, max_bits: int = 3, blocks: int = 6,
     0; repeated rows stay repeated; a null doc_id is never the smallest unless
     its group has no other; an empty table gives an empty result.
     """
-    prints = cut(fingerprints(docs, words, seed))
-    first = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    links = close_links(prints, max_bits, blocks, pick)
-    label = connected_components(links.select("a", "b"))
-    named = first.join(label, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
-    smallest = named.groupBy("label").agg(F.min("first").alias("component_id"))
-    return prints.join(named.join(smallest, "label").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return _labelled(docs, words, max_bits, blocks, pick, seed).select("doc_id", "fp", "component_id")
 
 
-def dedup(docs: DataFrame, words: int = 3, seed: int = 42, min_similarity: float | None = None, **bits: int) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of their group, once each.
+def dedup(docs: DataFrame, words: int = 3, seed: int = 42, min_similarity: float | None = None, max_bits: int = 3, blocks: int = 6, pick: int = 3) -> DataFrame:
+    """One row of each group of ``docs``: the one with the smallest doc_id, a null one
+    last; of several with that doc_id the one whose key of doc_id and text is least.
 
     With ``min_similarity`` the groups are those of all pairs whose shingle sets
-    are that similar (Jaccard); fingerprints and their options (``bits``) have no
-    part in it then, since they leave similar pairs out and can't tell sets apart.
-    Columns and their order stay. Rows without a doc_id can't be named by a
-    group and stay as they are.
+    are that similar (Jaccard): blocks of fingerprints propose pairs, and what
+    they leave out a prefix filter finds (see ``jaccard``). Without it,
+    fingerprints within ``max_bits`` bits are linked unverified. Columns and
+    their order stay; of rows with equal doc_id and text one stays. Texts with one
+    doc_id and different contents are documents of their own.
     """
     from . import jaccard
 
-    found = groups(docs, words, seed=seed, **bits) if min_similarity is None else jaccard.groups(docs, min_similarity, words, seed)
-    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    named = docs.join(kept, F.col("doc_id") == F.col("__kept"), "left_semi").dropDuplicates(["doc_id"])
-    return named.union(docs.where("doc_id is null"))
+    found = _labelled(docs, words, max_bits, blocks, pick, seed) if min_similarity is None else jaccard.groups(docs, min_similarity, words, seed, max_bits, blocks, pick)
+    found = cut(found.select("doc_id", "rid", "label").groupBy("rid").agg(F.first("doc_id").alias("doc_id"), F.first("label").alias("label"), F.count("*").alias("many")))
+    kept = found.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid"))["rid"].alias("kept"), F.count("*").alias("members"))
+    kept = cut(kept)
+    gone = found.join(kept.where("members > 1"), "label").where("rid <> kept").select("rid")
+    twice = found.where("many > 1").join(kept, "label").where("rid = kept").select("rid")
+    rid = fresh(docs, "rid")
+    keyed = docs.withColumn(rid, row_key())
+    once = lookup_join(keyed, gone.union(twice).withColumnRenamed("rid", rid), rid, "left_anti")
+    again = lookup_join(keyed, twice.withColumnRenamed("rid", rid), rid, "left_semi").dropDuplicates([rid])
+    return once.unionByName(again).select(*docs.columns)
