@@ -10,19 +10,18 @@ distributed and are never gathered by source.
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut
 
-#: The knapsack runs over budgets of about this many tokens; what lies above is
-#: taken greedily from the longest lengths first.
+#: Budget that the knapsack is first run over; see fit().
 KNAPSACK = 1 << 16
 #: Documents of one source and length that are ranked together.
 RANKED = 4096
-#: How far above the budget the knapsack looks for a nearer sum.
-_ABOVE = 4096
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -54,21 +53,21 @@ def targets(sizes: DataFrame, weights: tuple[float, ...], share: float, most: fl
     return ranked.select("source", "s", "source_size", "weight", F.least(target, F.col("most")).alias("target"))
 
 
-def fit(lengths: list[int], counts: list[int], budget: int) -> list[int]:
-    """How many documents of each length to take so that their tokens sum as near
-    to ``budget`` as the knapsack over the last part of it can reach."""
+def _knapsack(lengths: list[int], counts: list[int], budget: int, part: int) -> list[int]:
+    """Takes about ``budget - part`` in proportion and fits the rest by a bounded
+    knapsack: a bit for each sum that the free documents reach, up to a length
+    beyond the budget. With ``part`` no less than the budget nothing is taken
+    beforehand and the result is the nearest sum there is."""
     total = sum(a * c for a, c in zip(lengths, counts, strict=True))
-    if budget >= total:
-        return list(counts)
-    take = [c * max(0, budget - KNAPSACK) // total for c in counts]
+    take = [c * max(0, budget - part) // total for c in counts]
     left = budget - sum(a * t for a, t in zip(lengths, take, strict=True))
-    order = sorted((i for i, a in enumerate(lengths) if a > 0), key=lambda i: -lengths[i])
+    order = sorted(range(len(lengths)), key=lambda i: -lengths[i])
     for i in order:
-        if left > KNAPSACK:
-            more = min(counts[i] - take[i], (left - KNAPSACK) // lengths[i])
+        if left > part:
+            more = min(counts[i] - take[i], (left - part) // lengths[i])
             take[i] += more
             left -= more * lengths[i]
-    bits, within, steps = 1, (1 << (left + _ABOVE)) - 1, []
+    bits, within, steps = 1, (1 << (left + max(lengths) + 1)) - 1, []
     for i in reversed(order):
         free, lot = counts[i] - take[i], 1
         while free > 0 and not bits >> left & 1:
@@ -89,6 +88,43 @@ def fit(lengths: list[int], counts: list[int], budget: int) -> list[int]:
     return take
 
 
+def fit(lengths: list[int], counts: list[int], budget: int) -> list[int]:
+    """How many documents of each length to take so that their tokens sum as near to
+    ``budget`` as any choice of them can (below it, if two are equally near).
+
+    Lengths are divided by their greatest common divisor, so the nearest multiple
+    is the least distance there can be. The knapsack runs over the last part of
+    the budget; a part in which that distance isn't reached is made larger, up to
+    the whole budget, where the knapsack leaves nothing out. With many lengths the
+    first part does; few or rare ones make the budget small or the search long.
+    """
+    some = [i for i, (a, c) in enumerate(zip(lengths, counts, strict=True)) if a > 0 and c > 0]
+    total = sum(lengths[i] * counts[i] for i in some)
+    if budget >= total:
+        return list(counts)
+    unit = math.gcd(*(lengths[i] for i in some))
+    goal = budget // unit
+    if 2 * (budget - goal * unit) > unit:
+        goal += 1
+    least, part = abs(budget - goal * unit), KNAPSACK
+    small, many = [lengths[i] // unit for i in some], [counts[i] for i in some]
+    while True:
+        found = _knapsack(small, many, goal, part)
+        sum_ = sum(a * t for a, t in zip(small, found, strict=True)) * unit
+        if abs(sum_ - budget) <= least or part >= goal:
+            break
+        part *= 16
+    if abs(sum_ - budget) > least and unit > 1:
+        # The nearest sum to the goal need not be the nearest to the budget between two multiples.
+        other = _knapsack(small, many, 2 * (budget // unit) + 1 - goal, part)
+        if abs(sum(a * t for a, t in zip(small, other, strict=True)) * unit - budget) < abs(sum_ - budget):
+            found = other
+    take = [0] * len(lengths)
+    for i, t in zip(some, found, strict=True):
+        take[i] = t
+    return take
+
+
 def plan(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 17) -> DataFrame:
     """One row per row of ``docs``: doc_id, source, mark (hash of the text), size,
     source_size, target (of its source), copies (how often the mix takes it).
@@ -96,7 +132,8 @@ def plan(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     A null text has size 0; a null source is a source of its own; an empty table
     gives an empty plan; a source of size 0 has target 0. Repeated rows are
     documents of their own: which of two equal rows is taken makes no difference.
-    A rerun on the same rows gives the same plan.
+    A rerun on the same rows gives the same plan. Other columns of ``docs``, of
+    whatever name, take no part.
     """
     rows = cut(docs.select("doc_id", "source", token_length().alias("size"), F.xxhash64("text").alias("mark")))
     histogram = rows.groupBy("source", "size").agg(F.count("*").alias("n"))
@@ -124,11 +161,12 @@ def plan(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` as mixed: each row as often as the plan takes it, columns unchanged."""
-    same = Window.partitionBy("__id", "__source", "__mark").orderBy("__mark")
-    takes = plan(docs, **options).select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("mark").alias("__mark"), "copies")
-    takes = takes.select("__id", "__source", "__mark", F.row_number().over(same).alias("__nth"), F.col("copies").alias("__copies"))
-    marked = docs.withColumns({"__d": F.col("doc_id"), "__s": F.col("source"), "__m": F.xxhash64("text")})
-    marked = marked.withColumn("__n", F.row_number().over(Window.partitionBy("__d", "__s", "__m").orderBy("__m")))
-    joined = marked.join(takes, F.col("__d").eqNullSafe(F.col("__id")) & F.col("__s").eqNullSafe(F.col("__source")) & (F.col("__m") == F.col("__mark")) & (F.col("__n") == F.col("__nth")))
-    return joined.where("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+    """``docs`` as mixed: each row as often as the plan takes it; columns stay, those
+    with names of this operator's own too."""
+    own = Window.partitionBy("doc_id", "source", "mark").orderBy("mark")
+    takes = plan(docs, **options).select(F.struct("doc_id", "source", "mark").alias("row"), F.row_number().over(own).alias("nth"), "copies")
+    doc = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
+    rows = docs.select(doc, F.struct("doc_id", "source", F.xxhash64("text").alias("mark")).alias("of"))
+    rows = rows.withColumn("place", F.row_number().over(Window.partitionBy("of").orderBy("of.mark")))
+    joined = rows.join(takes, F.col("of").eqNullSafe(F.col("row")) & (F.col("place") == F.col("nth"))).where("copies > 0")
+    return joined.select("doc", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select("doc.*")

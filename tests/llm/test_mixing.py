@@ -1,3 +1,7 @@
+import random
+
+from pyspark.sql import functions as F
+
 from sluice.llm import mixing
 from sluice.llm import queries as Q
 
@@ -37,16 +41,26 @@ def test_query_follows_the_contract(spark, sf):
     assert again == {r["doc_id"]: r["taken"] for r in rows}
 
 
-def test_fit_reaches_what_can_be_reached():
-    import itertools
+def reachable(lengths, counts):
+    sums = {0}
+    for a, c in zip(lengths, counts):
+        sums = {s + a * t for s in sums for t in range(c + 1)}
+    return sums
+
 
-    for lengths, counts in (([2, 5, 9], [3, 2, 2]), ([7, 11], [2, 3]), ([0, 4], [5, 3]), ([100_000, 70_000, 3], [4, 3, 2])):
-        sums = {sum(a * t for a, t in zip(lengths, c)) for c in itertools.product(*(range(n + 1) for n in counts))}
-        for budget in range(0, max(sums) + 1, max(1, max(sums) // 50)):
-            take = mixing.fit(lengths, counts, budget)
-            got = sum(a * t for a, t in zip(lengths, take))
-            assert all(0 <= t <= n for t, n in zip(take, counts))
-            assert abs(budget - got) <= min(abs(budget - s) for s in sums) + (0 if max(counts) < 4 else max(lengths))
+def test_fit_reaches_the_nearest_sum(monkeypatch):
+    draw = random.Random(6)
+    for case in range(600):
+        monkeypatch.setattr(mixing, "KNAPSACK", draw.choice([1, 40, 1 << 16]))
+        unit, top = draw.choice([1, 1, 2, 7, 30]), draw.choice([9, 300, 60_000])
+        lengths = [0] * draw.randint(0, 1) + [unit * a for a in draw.sample(range(1, top), draw.randint(1, 4))]
+        counts = [draw.randint(0, 4) for _ in lengths]
+        sums = reachable(lengths, counts)
+        budget = draw.randint(0, max(sums) + 3)
+        take = mixing.fit(lengths, counts, budget)
+        assert all(0 <= t <= n for t, n in zip(take, counts))
+        assert abs(budget - sum(a * t for a, t in zip(lengths, take))) == min(abs(budget - s) for s in sums), (lengths, counts, budget)
+    assert sum(a * t for a, t in zip((70_001, 90_001), mixing.fit([70_001, 90_001], [3, 3], 200_000))) == 210_003
 
 
 def test_hot_length_is_dealt_by_parts(spark, monkeypatch):
@@ -62,5 +76,7 @@ def test_odd_rows(odd, none):
     rows = mixing.plan(odd).collect()
     assert len(rows) == odd.count() and all(r["size"] * r["copies"] <= 2 * r["size"] for r in rows)
     assert mixing.plan(none).count() == 0 and mixing.mix(none).count() == 0
-    mixed = mixing.mix(odd)
+    mixed = mixing.mix(odd.withColumns({"doc": F.lit("x"), "row": F.lit(2), "nth": F.lit(0), "place": F.lit(0)}).select(*odd.columns, "doc", "row", "nth", "place"))
+    assert mixed.columns[-4:] == ["doc", "row", "nth", "place"]
+    mixed = mixed.select(*odd.columns)
     assert mixed.columns == odd.columns and mixed.count() == sum(r["copies"] for r in rows)
