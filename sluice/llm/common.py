@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sluice.plans.session import cut
 
-__all__ = ["BROADCAST", "connected_components", "cut", "fresh", "lookup_join", "map_rows", "read", "row_key", "text_bytes"]
+__all__ = ["BROADCAST", "connected_components", "cut", "fresh", "lookup_join", "map_rows", "read", "row_key", "stream_shards", "text_bytes"]
 
 #: Rows of a few numbers that may be broadcast (some 30 MB on an executor).
 BROADCAST = 400_000
@@ -64,6 +64,50 @@ def map_rows(df: DataFrame, each: Callable[[dict], Iterator[tuple]], schema: str
     return df.mapInArrow(run, schema)
 
 
+def stream_shards(held: DataFrame, asked: DataFrame, keys: list[str], order: str, build: Callable, answer: Callable, schema: str) -> DataFrame:
+    """Brings rows of ``asked`` to the shard of ``held`` with the same ``keys``. Each
+    shard is shuffled and put together once: ``build`` gets its rows (an Arrow table,
+    sorted by ``order``), then ``answer`` gets what it made and the rows asked,
+    batch by batch, and returns columns in the order of ``schema``. One shard and
+    one batch are in memory at a time; rows asked of no shard are answered nothing."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+    rest = [[c for c in df.columns if c not in keys] for df in (held, asked)]
+    left = held.select(*keys, F.lit(0).alias("side"), F.col(order).alias("place"), F.struct(*rest[0]).alias("held"))
+    right = asked.select(*keys, F.lit(1).alias("side"), F.lit(None).cast(left.schema["place"].dataType).alias("place"), F.struct(*rest[1]).alias("asked"))
+    rows = left.unionByName(right, allowMissingColumns=True).repartition(*keys).sortWithinPartitions(*keys, "side", "place")
+
+    def table(batch: pa.RecordBatch, name: str) -> pa.Table:
+        return pa.Table.from_struct_array(batch.column(name))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, waiting, made = None, [], None
+        for batch in batches:
+            marks = list(zip(*[batch.column(k).to_pylist() for k in (*keys, "side")], strict=True))
+            at = 0
+            while at < len(marks):
+                end = at + 1
+                while end < len(marks) and marks[end] == marks[at]:
+                    end += 1
+                *key, side = marks[at]
+                part = batch.slice(at, end - at)
+                if key != now:
+                    now, waiting, made = key, [], None
+                if side == 0:
+                    waiting.append(table(part, "held"))
+                else:
+                    if waiting:
+                        made, waiting = build(pa.concat_tables(waiting)), []
+                    if made is not None:
+                        found = answer(made, table(part, "asked"))
+                        yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(found, arrow, strict=True)], schema=arrow)
+                at = end
+
+    return rows.mapInArrow(run, schema)
+
+
 def connected_components(links: DataFrame) -> DataFrame:
     """(node, label) for every node of ``links`` (columns a, b: long, not null);
     label is the smallest node that can be reached.

@@ -13,13 +13,14 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, stream_shards
 
-#: Distinct vectors of a shard and queries of a block: what one unit of work holds.
-SHARD, BLOCK = 4096, 4096
+#: Distinct vectors of a shard: what one unit of work holds.
+SHARD = 4096
 _LOT = 512
 _EXPAND = 4
 _FAR = np.float32(9.0)
@@ -133,11 +134,14 @@ def index(vectors: DataFrame, k: int, degree: int = 24, width: int = 48, alpha:
     """(dim, shard, place, v, vec_ids, edges): the graph of every shard, one row per
     distinct vector; edges hold places of the same shard.
 
-    Equal vectors are one node. vec_ids holds its k + 1 smallest ids: in ties the
-    smaller id wins, so a later copy can be in no result of k.
+    Equal vectors are one node. vec_ids holds its k + 1 smallest ids, each as often
+    as it occurs and k times at most: in ties the smaller id wins, so a later copy
+    can be in no result of k.
     """
-    rows = usable(vectors).withColumn("copy", F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))).where(F.col("copy") <= k + 1)
-    nodes = cut(rows.groupBy("v", "dim").agg(F.array_sort(F.collect_list("vec_id")).alias("vec_ids")))
+    ids = usable(vectors).groupBy("v", "dim", "vec_id").agg(F.least(F.count("*"), F.lit(k)).cast("int").alias("n"))
+    ids = ids.withColumn("copy", F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))).where(F.col("copy") <= k + 1)
+    each = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("vec_id", "n"))), lambda x: F.array_repeat(x["vec_id"], x["n"])))
+    nodes = cut(ids.groupBy("v", "dim").agg(each.alias("vec_ids")))
     shards = max(1, math.ceil(nodes.count() / SHARD))
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
@@ -153,33 +157,35 @@ def index(vectors: DataFrame, k: int, degree: int = 24, width: int = 48, alpha:
 def search(graph: DataFrame, queries: DataFrame, k: int, width: int = 64) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found by cosine for each row
     (vec_id, v, dim) of ``queries``; score is the cosine in double precision."""
-    blocks = max(1, math.ceil(queries.count() / BLOCK))
-    shards = graph.select(F.col("dim").alias("of"), F.col("shard").alias("into")).distinct()
-    left = graph.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    right = queries.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).join(shards, F.col("dim") == F.col("of")).select("dim", F.col("into").alias("shard"), "block", "vec_id", "v")
-
-    def unit(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        if len(rows) and len(asked):
-            rows = rows.sort_values("place")
-            exact, edges = np.stack(rows["v"].to_list()), np.stack(rows["edges"].to_list())
-            norms = np.linalg.norm(exact, axis=1)
-            x, ids = (exact / norms[:, None]).astype(np.float32), rows["vec_ids"].to_list()
-            entry = entries(x)
-            for lot in range(0, len(asked), _LOT):
-                some = asked.iloc[lot : lot + _LOT]
-                q = np.stack(some["v"].to_list())
-                q_norms = np.linalg.norm(q, axis=1)
-                beams, _far = _beam_search(x, edges, entry, (q / q_norms[:, None]).astype(np.float32), width)
-                for own, v, norm, beam in zip(some["vec_id"], q, q_norms, beams, strict=True):
-                    beam = beam[beam >= 0]
-                    scores = (exact[beam] * v).sum(axis=1) / (norms[beam] * norm)
-                    named = [(-s, i) for s, b in zip(scores.tolist(), beam.tolist(), strict=True) for i in ids[b] if i != own]
-                    found += [(own, i, -s) for s, i in sorted(named)[:k]]
-        return pd.DataFrame(found, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
-
-    keys = ["dim", "shard", "block"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(unit, "query_id long, vec_id long, score double")
+    shards = graph.select(F.col("dim").alias("of"), "shard").distinct()
+    asked = queries.join(shards, F.col("dim") == F.col("of")).select("dim", "shard", "vec_id", "v")
+
+    def stacked(column: pa.ChunkedArray, rows: int) -> np.ndarray:
+        return np.asarray(column.combine_chunks().flatten()).reshape(rows, -1)
+
+    def opened(rows: pa.Table):
+        exact, edges = stacked(rows["v"], len(rows)), stacked(rows["edges"], len(rows))
+        norms = np.linalg.norm(exact, axis=1)
+        x = (exact / norms[:, None]).astype(np.float32)
+        return exact, norms, x, edges, entries(x), rows["vec_ids"].to_pylist()
+
+    def answer(shard, rows: pa.Table):
+        exact, norms, x, edges, entry, ids = shard
+        found = [[], [], []]
+        for lot in range(0, len(rows), _LOT):
+            some = rows.slice(lot, _LOT)
+            q = stacked(some["v"], len(some))
+            q_norms = np.linalg.norm(q, axis=1)
+            beams, _far = _beam_search(x, edges, entry, (q / q_norms[:, None]).astype(np.float32), width)
+            for own, v, norm, beam in zip(some["vec_id"].to_pylist(), q, q_norms, beams, strict=True):
+                beam = beam[beam >= 0]
+                scores = (exact[beam] * v).sum(axis=1) / (norms[beam] * norm)
+                named = sorted((-s, i) for s, b in zip(scores.tolist(), beam.tolist(), strict=True) for i in ids[b] if i != own)[:k]
+                for column, values in zip(found, ([own] * len(named), [i for _, i in named], [-s for s, _ in named]), strict=True):
+                    column.extend(values)
+        return found
+
+    found = stream_shards(graph.select("dim", "shard", "place", "v", "vec_ids", "edges"), asked, ["dim", "shard"], "place", opened, answer, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

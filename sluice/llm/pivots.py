@@ -12,14 +12,14 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, map_rows
+from .common import cut, map_rows, stream_shards
 
-#: Rows of a shard and queries of a block: what one unit of work holds.
-SHARD, BLOCK = 4096, 4096
+#: Rows of a shard: what one unit of work holds.
+SHARD = 4096
 _STEP = 128
 
 
@@ -50,6 +50,17 @@ def pivot_table(vectors: DataFrame, pivots: int, seed: int) -> DataFrame:
     return map_rows(vectors, each, "vec_id long, x array<bigint>, d array<double>")
 
 
+def exact(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Inner products. Where one could leave a long they are worked out in integers
+    of any size; one that does is an error."""
+    if float(np.abs(rows).max(initial=0)) * float(np.abs(query).sum()) < 2.0**62:
+        return rows @ query
+    out = [sum(int(a) * int(b) for a, b in zip(row, query, strict=True)) for row in rows]
+    if any(abs(v) >= 1 << 63 for v in out):
+        raise OverflowError("an inner product does not fit a long")
+    return np.array(out, dtype=np.int64)
+
+
 def best_of(query: np.ndarray, query_far: np.ndarray, rows: np.ndarray, far: np.ndarray, norms: np.ndarray, ids: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray, int]:
     """Ids and scores of the k best of ``rows``, best first, ties to the smaller
     id, and how many rows were evaluated."""
@@ -63,7 +74,7 @@ def best_of(query: np.ndarray, query_far: np.ndarray, rows: np.ndarray, far: np.
         at = order[seen : seen + _STEP]
         seen += len(at)
         at = at[ids[at] != own]
-        got_ids, got = np.concatenate((got_ids, ids[at])), np.concatenate((got, rows[at] @ query))
+        got_ids, got = np.concatenate((got_ids, ids[at])), np.concatenate((got, exact(rows[at], query)))
         keep = np.lexsort((got_ids, -got))[:k]
         got_ids, got = got_ids[keep], got[keep]
     return got_ids, got, seen
@@ -76,26 +87,30 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, pivots: int = 24, sca
     Vectors are compared within their own dimension. Rows with the query's
     vec_id are its own and no candidates. Fewer candidates than k give fewer
     rows; equal query rows count once; an empty table gives an empty result.
-    Components beyond about 2^28 would overflow a long score.
+    A score beyond a long is an error. Other columns of ``vectors`` take no part.
     """
     table = cut(pivot_table(quantised(vectors, scale), pivots, seed)).withColumn("dim", F.size("x"))
     queries = table.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id", "x"])
-    shards, blocks = max(1, math.ceil(table.count() / SHARD)), max(1, math.ceil(queries.count() / BLOCK))
-    own_shard, own_block = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(shards)).cast("int"), F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(blocks)).cast("int")
-    left = table.select("dim", own_shard.alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "vec_id", "x", "d")
-    right = queries.select(F.col("dim").alias("dim"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), own_block.alias("block"), F.col("vec_id").alias("own"), F.col("x").alias("q"), F.col("d").alias("q_far"))
-
-    def unit(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        if len(rows) and len(asked):
-            x, far, ids = np.stack(rows["x"].to_list()), np.stack(rows["d"].to_list()), rows["vec_id"].to_numpy()
-            norms = (x.astype(np.float64) ** 2).sum(axis=1)
-            for own, query, query_far in zip(asked["own"], asked["q"], asked["q_far"], strict=True):
-                got_ids, got, seen = best_of(np.asarray(query), np.asarray(query_far), x, far, norms, ids, own, k)
-                found += [(own, int(i), int(s), seen) for i, s in zip(got_ids, got, strict=True)]
-        return pd.DataFrame(found, columns=["query_id", "vec_id", "score", "evaluated"]).astype("int64")
-
-    keys = ["dim", "shard", "block"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(unit, "query_id long, vec_id long, score long, evaluated long")
+    shards = max(1, math.ceil(table.count() / SHARD))
+    held = table.select("dim", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(shards)).cast("int").alias("shard"), "vec_id", "x", "d")
+    asked = queries.select("dim", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "vec_id", "x", "d")
+
+    def stacked(column: pa.ChunkedArray, rows: int) -> np.ndarray:
+        return np.asarray(column.combine_chunks().flatten()).reshape(rows, -1)
+
+    def build(rows: pa.Table):
+        x, far = stacked(rows["x"], len(rows)), stacked(rows["d"], len(rows))
+        return x, far, (x.astype(np.float64) ** 2).sum(axis=1), rows["vec_id"].to_numpy()
+
+    def answer(shard, rows: pa.Table):
+        x, far, norms, ids = shard
+        found = [[], [], [], []]
+        for own, query, query_far in zip(rows["vec_id"].to_pylist(), stacked(rows["x"], len(rows)), stacked(rows["d"], len(rows)), strict=True):
+            got_ids, got, seen = best_of(query, query_far, x, far, norms, ids, own, k)
+            for column, values in zip(found, ([own] * len(got), got_ids.tolist(), got.tolist(), [seen] * len(got)), strict=True):
+                column.extend(values)
+        return found
+
+    found = stream_shards(held, asked, ["dim", "shard"], "vec_id", build, answer, "query_id long, vec_id long, score long, evaluated long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score", "evaluated")

@@ -81,3 +81,26 @@ def test_odd_vectors(spark):
     top = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in pivots.top_k(df).collect()}
     assert top[(0, 1)] == (1, 65536) and top[(0, 2)] == (2, 65536) and top[(0, 5)] == (3, 0) and top[(50, 1)] == (0, 32768)
     assert graph_ann.nearest(df.where("false")).count() == 0 and pivots.top_k(df.where("false")).count() == 0
+
+
+def test_many_copies_hide_no_other_id(spark):
+    rows = [(0, [3.0, 4.0])] * 6 + [(1, [3.0, 4.0]), (2, [3.0, 4.0])] + [(3, [0.0, 1.0])] * 7
+    near = graph_ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
+    assert sorted((r["rank"], r["vec_id"]) for r in near) == [(1, 1), (2, 2), (3, 3), (4, 3), (5, 3)]
+
+
+def test_clashing_names_and_shards(spark, monkeypatch, vectors):
+    monkeypatch.setattr(pivots, "SHARD", 100)
+    names = ("dim", "shard", "side", "place", "held", "asked", "x", "d", "v", "block", "own")
+    df = spark.createDataFrame([(int(i), v.tolist(), *([1] * len(names))) for i, v in zip(*(a[:700] for a in vectors))], "vec_id long, embedding array<double>, " + ", ".join(f"{n} int" for n in names))
+    plain = df.select("vec_id", "embedding")
+    want = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in pivots.top_k(plain).collect()}
+    assert {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in pivots.top_k(df).collect()} == want and len(want) >= 50
+    assert graph_ann.nearest(df).count() == len(want)
+
+
+def test_large_products_are_exact_or_an_error():
+    big = np.array([[1 << 31, 3], [-(1 << 31), 5]])
+    assert pivots.exact(big, np.array([1 << 30, 7])).tolist() == [(1 << 61) + 21, -(1 << 61) + 35]
+    with pytest.raises(OverflowError):
+        pivots.exact(big, np.array([1 << 40, 7]))
