@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, map_rows, row_key, text_bytes
+from .common import cut, fresh, map_rows, row_key, text_bytes
 
 #: Lines of fewer words are compared as a whole only: one word is too much of them.
 MIN_WORDS = 8
@@ -101,45 +101,49 @@ def near_duplicates(docs: DataFrame, min_words: int = MIN_WORDS, removed: str =
     word for word or, from ``min_words`` words on, within one edit of a word.
     White space within lines does not count; lines without words stay. A null
     text stays null; rows without a doc_id come last; rows with equal doc_id and
-    text are one document and stay repeated; an empty table gives none.
+    text are one document and stay repeated; an empty table gives none. A column of
+    ``docs`` with the name ``removed`` stands for is replaced by it.
     """
+    docs = docs.drop(removed)
     columns = docs.columns
     lines = cut(_lines(docs, min_words)).withColumn("at", F.struct("doc", "rid", "line"))
     classes = lines.groupBy("whole").agg(F.min("at").alias("at"), *[F.min(c).alias(c) for c in ("words", "halves", "halves_less")])
     repeats = lines.join(classes.select("whole", F.col("at").alias("low")), "whole").where("at <> low").select("at", F.lit(None).cast("binary").alias("witness"))
 
-    keyed = docs.withColumn("__rid", row_key()).withColumn("__text", text_bytes())
-    asked = _candidates(classes).groupBy(F.col("at.rid").alias("__rid")).agg(F.collect_list("at").alias("__ask"))
+    # Names of no column of the table.
+    rid, raw, ask, marked = (fresh(docs, n) for n in ("rid", "raw", "ask", "marks"))
+    keyed = docs.withColumns({rid: row_key(), raw: text_bytes()})
+    asked = _candidates(classes).groupBy(F.col("at.rid").alias(rid)).agg(F.collect_list("at").alias(ask))
 
     def variants(batch):
-        for text, ask in zip(batch["__text"], batch["__ask"].to_pylist(), strict=True):
+        for text, wanted in zip(batch[raw], batch[ask].to_pylist(), strict=True):
             split, out = text.as_py().split(b"\n"), []
-            for at in ask:
+            for at in wanted:
                 out.append((at, variant_keys(split[at["line"]].split())))
             yield (np.concatenate([k for _, k in out]), np.concatenate([np.arange(-1, len(k) - 1) for _, k in out]).astype(np.int32), *[pa.array(np.repeat(np.array([a[f] for a, _ in out], dtype=np.int64), [len(k) for _, k in out])) for f in ("doc", "rid", "line")])
 
-    met = map_rows(keyed.join(asked.hint("shuffle_hash"), "__rid"), variants, "key long, gap int, doc long, rid long, line int")
+    met = map_rows(keyed.join(asked.hint("shuffle_hash"), rid), variants, "key long, gap int, doc long, rid long, line int")
     met = met.select("key", "gap", F.struct("doc", "rid", "line").alias("at"))
     by_key, by_gap = Window.partitionBy("key"), Window.partitionBy("key", "gap")
     low = F.when(F.col("gap") < 0, F.min("at").over(by_key)).otherwise(F.least(F.min("at").over(by_gap), F.min(F.when(F.col("gap") < 0, F.col("at"))).over(by_key)))
     hits = met.withColumn("low", low).where("low < at").groupBy("at").agg(F.min("low").alias("low"))
 
-    lent = hits.groupBy(F.col("low.rid").alias("__rid")).agg(F.collect_list(F.struct("at", F.col("low.line").alias("from"))).alias("__ask"))
+    lent = hits.groupBy(F.col("low.rid").alias(rid)).agg(F.collect_list(F.struct("at", F.col("low.line").alias("from"))).alias(ask))
 
     def witnesses(batch):
-        for text, ask in zip(batch["__text"], batch["__ask"].to_pylist(), strict=True):
+        for text, wanted in zip(batch[raw], batch[ask].to_pylist(), strict=True):
             split = text.as_py().split(b"\n")
-            yield [a["at"]["rid"] for a in ask], [a["at"]["line"] for a in ask], [split[a["from"]] for a in ask]
+            yield [a["at"]["rid"] for a in wanted], [a["at"]["line"] for a in wanted], [split[a["from"]] for a in wanted]
 
-    near = map_rows(keyed.join(lent.hint("shuffle_hash"), "__rid"), witnesses, "rid long, line int, witness binary")
-    marks = repeats.select("at.rid", "at.line", "witness").union(near).groupBy(F.col("rid").alias("__rid")).agg(F.collect_list(F.struct("line", "witness")).alias("__marks"))
+    near = map_rows(keyed.join(lent.hint("shuffle_hash"), rid), witnesses, "rid long, line int, witness binary")
+    marks = repeats.select("at.rid", "at.line", "witness").union(near).groupBy(F.col("rid").alias(rid)).agg(F.collect_list(F.struct("line", "witness")).alias(marked))
 
     at = columns.index("text")
     schema = [f for f in docs.schema.fields if f.name != "text"]
 
     def cleaned(batch):
         texts, lost = [], []
-        for original, text, marks in zip(batch["text"], batch["__text"], batch["__marks"].to_pylist(), strict=True):
+        for original, text, marks in zip(batch["text"], batch[raw], batch[marked].to_pylist(), strict=True):
             gone = set()
             if marks:
                 split = text.as_py().split(b"\n")
@@ -152,10 +156,11 @@ def near_duplicates(docs: DataFrame, min_words: int = MIN_WORDS, removed: str =
         yield (*rest[:at], texts, *rest[at:], lost)
 
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + f", `{removed}` array<int>"
-    return map_rows(keyed.join(marks.hint("shuffle_hash"), "__rid", "left"), cleaned, ddl)
+    return map_rows(keyed.join(marks.hint("shuffle_hash"), rid, "left"), cleaned, ddl)
 
 
 def clean(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` without duplicate lines; rows that lose all their lines go, columns stay."""
-    found = near_duplicates(docs, removed="__lines", **options)
-    return found.where((F.size("__lines") == 0) | (F.length(F.regexp_replace("text", r"\s+", "")) > 0)).select(*docs.columns)
+    lines = fresh(docs, "lines")
+    found = near_duplicates(docs, removed=lines, **options)
+    return found.where((F.size(lines) == 0) | (F.length(F.regexp_replace("text", r"\s+", "")) > 0)).select(*docs.columns)

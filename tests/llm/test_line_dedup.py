@@ -3,6 +3,7 @@ from collections import defaultdict
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from sluice.llm import line_dedup
 from sluice.llm import queries as Q
@@ -70,7 +71,7 @@ def test_edits_at_every_place(spark):
 
 
 def test_odd_rows(odd, none):
-    rows = line_dedup.near_duplicates(odd.drop("removed")).collect()
+    rows = line_dedup.near_duplicates(odd).collect()
     assert len(rows) == odd.count()
     gone = {}
     for r in rows:
@@ -82,4 +83,13 @@ def test_odd_rows(odd, none):
     kept = line_dedup.clean(odd)
     assert kept.columns == odd.columns
     assert sorted(r["doc_id"] for r in kept.collect() if r["doc_id"] is not None) == [1, 2, 3, 5, 5, 7, 8, 9]
-    assert line_dedup.near_duplicates(none.drop("removed")).count() == 0
+    assert line_dedup.near_duplicates(none).count() == 0
+
+
+def test_clashing_names(spark, odd):
+    names = ("rid", "raw", "ask", "marks", "removed", "lines", "doc", "words")
+    df = odd.select("doc_id", "text", *[F.lit(7).alias(n) for n in names])
+    want = sorted((repr(r["doc_id"]), r["text"], list(r["removed"])) for r in line_dedup.near_duplicates(odd.select("doc_id", "text")).collect() if r["text"])
+    rows = line_dedup.near_duplicates(df).collect()
+    assert sorted((repr(r["doc_id"]), r["text"], list(r["removed"])) for r in rows if r["text"]) == want and all(r["rid"] == r["raw"] == 7 for r in rows)
+    assert line_dedup.clean(df).columns == df.columns
