@@ -7,7 +7,7 @@ share of its distinct symbols (method C), and symbols of the longer context are
 excluded there. Code lengths are worked out once per distinct (context, symbol)
 by joins of count tables; no model is ever gathered in one place. Documents are
 dealt into blocks; a block asks for the entries it needs and gets them by a join,
-in single precision.
+code lengths in single precision and counts of words exactly.
 """
 
 from __future__ import annotations
@@ -167,8 +167,9 @@ def score_block(docs: pa.Table, entries: pa.Table) -> pa.Table:
     for piece in _pieces(texts):
         keys, starts = grams(texts[piece])
         scores[piece] = np.add.reduceat(lookup.of(keys), starts)
-    count_of = _Counts(zip(key[is_word].tolist(), value[is_word].tolist(), strict=True))
-    stop = float(value[key == STOP][0])
+    words, which = np.unique(key[is_word], return_inverse=True)
+    count_of = _Counts(zip(words.tolist(), np.bincount(which, weights=value[is_word], minlength=len(words)).tolist(), strict=True))
+    stop = float(value[key == STOP].sum())
     n_tokens, n_known, sums = [], [], []
     for t in texts:
         w = t.lower().split()
@@ -225,7 +226,8 @@ def score(docs: DataFrame, apart: Column | None = None) -> DataFrame:
 
     The model learns from the rows where ``apart`` is false and all rows are
     scored. Whole texts count; a null text is empty and has one symbol, its end.
-    Without training rows all symbols are equally likely. Repeated rows stay.
+    Without training rows all symbols are equally likely. Repeated rows stay; other
+    columns of ``docs`` take no part.
     """
     rows = docs.select("doc_id", text_bytes().alias("text"), (held_out() if apart is None else apart).alias("held_out"))
 
@@ -236,7 +238,11 @@ def score(docs: DataFrame, apart: Column | None = None) -> DataFrame:
     counts = cut(learned.groupBy("key").agg(F.sum("n").alias("n")))
     known = counts.where(~_is_gram()).agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     seen = counts.where(_is_gram())
-    values = code_lengths(seen, seen.select("key")).union(counts.where(~_is_gram()).select("key", F.col("n").cast("double")))
+    # A count of words that a float can't hold comes in two rows, which add up to it.
+    near = F.col("n").cast("float").cast("double")
+    words = counts.where(~_is_gram()).select("key", "n")
+    values = code_lengths(seen, seen.select("key")).union(words.select("key", near))
+    values = values.union(words.where(F.col("n") > 1 << 24).select("key", F.col("n") - near))
 
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(size / BLOCK))

@@ -2,6 +2,8 @@ import math
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from sluice.llm import ppm
@@ -92,3 +94,14 @@ def test_odd_rows(odd, none):
     from pyspark.sql import functions as F
 
     assert ppm.score(apart, F.lit(True)).first()["score"] == pytest.approx(-math.log10(257))
+
+
+def test_counts_of_words_are_exact():
+    n = (1 << 24) + 1
+    near = float(np.float32(n))
+    key = int(ppm._word_keys([b"often"])[0])
+    docs = pa.table({"doc_id": [1], "held_out": [False], "text": [b"often often"]})
+    texts = ppm.keys_of_block(pa.table({"block": pa.array([0], pa.int32()), "text": [b"often often"]}))
+    entries = [(k, -1.0) for k in texts["key"].to_pylist() if k >= 0 and k != ppm.STOP] + [(key, near), (key, n - near), (ppm.STOP, 2.0)]
+    got = ppm.score_block(docs, pa.table({"key": pa.array([k for k, _ in entries], pa.int64()), "value": pa.array([v for _, v in entries], pa.float32())}))
+    assert got["words"][0].as_py() == pytest.approx(2 * math.log10(n + 1) + math.log10(3), rel=1e-15)
