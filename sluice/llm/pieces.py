@@ -23,8 +23,11 @@ from .common import map_rows, text_bytes
 
 SPACE = "▁"
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-#: Stretches that a worker remembers; at this many it starts anew, which changes no result.
-REMEMBERED = 300_000
+#: Stretches that a worker remembers, their length at most; at this many it starts
+#: anew. Neither changes a result.
+REMEMBERED, SHORT = 80_000, 48
+#: From this length on the table of a stretch is held in 16 bytes a character.
+LONG = 1 << 12
 _STRETCH = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
@@ -85,40 +88,49 @@ class Automaton:
         self.byte_ids = vocabulary.byte_ids
         self.unknown = min(s for _, _, s in vocabulary.pieces if s > -1e8) - 10.0 if vocabulary.pieces else -10.0
         self.bytes_of = {i: t.replace(SPACE, " ").encode() for t, i, _ in vocabulary.pieces} | {i: bytes([b]) for b, i in enumerate(self.byte_ids)}
+        self.ends: list[tuple | None] = [None] * len(self.next)
         self.remembered: dict[str, array] = {}
 
+    def outputs(self, at: int) -> tuple[tuple[int, int, float], ...]:
+        """The pieces that end in a state, longest first: its own and, over the output
+        links, all shorter ones. Followed once for each state."""
+        found = self.ends[at]
+        if found is None:
+            own = (self.piece[at],) if self.piece[at] else ()
+            found = self.ends[at] = own + (self.outputs(self.output[at]) if self.output[at] else ())
+        return found
+
     def segment(self, text: str) -> list[tuple[int, int]]:
         """(start, id) of the best segmentation, id -1 for a character without a
         piece. Of equal scores the longer last piece wins."""
-        best: list[float] = [0.0]
-        taken: list[tuple[int, int]] = [(0, -1)]
+        table = (lambda kind, first: array(kind, [first])) if len(text) >= LONG else (lambda _kind, first: [first])
+        best, start, taken = table("d", 0.0), table("q", 0), table("i", -1)
+        next_, fail, ends, unknown = self.next, self.fail, self.ends, self.unknown
         at = 0
         for end, ch in enumerate(text, 1):
-            while at and ch not in self.next[at]:
-                at = self.fail[at]
-            at = self.next[at].get(ch, 0)
-            top, how = best[end - 1] + self.unknown, (end - 1, -1)
-            found = at if self.piece[at] else self.output[at]
-            single, first = False, True
-            while found:
-                length, id_, score = self.piece[found]
+            while at and ch not in next_[at]:
+                at = fail[at]
+            at = next_[at].get(ch, 0)
+            bare = top = best[end - 1] + unknown
+            begin, id_, length = end - 1, -1, 0
+            found = ends[at]
+            for length, piece, score in self.outputs(at) if found is None else found:
                 total = best[end - length] + score
-                if first or total > top:
-                    top, how, first = total, (end - length, id_), False
-                single = single or length == 1
-                found = self.output[found]
-            if not single and best[end - 1] + self.unknown > top:
-                top, how = best[end - 1] + self.unknown, (end - 1, -1)
+                if id_ < 0 or total > top:
+                    top, begin, id_ = total, end - length, piece
+            if length != 1 and bare > top:
+                top, begin, id_ = bare, end - 1, -1
             best.append(top)
-            taken.append(how)
+            start.append(begin)
+            taken.append(id_)
         path, end = [], len(text)
         while end:
-            path.append(taken[end])
-            end = taken[end][0]
+            path.append((start[end], taken[end]))
+            end = start[end]
         return path[::-1]
 
     def stretch(self, text: str) -> array:
-        """Ids of one stretch, remembered."""
+        """Ids of one stretch; short ones are remembered."""
         ids = self.remembered.get(text)
         if ids is None:
             ids = array("i")
@@ -127,9 +139,10 @@ class Automaton:
                     ids.append(id_)
                 else:
                     ids.extend(self.byte_ids[b] for b in text[start].encode())
-            if len(self.remembered) >= REMEMBERED:
-                self.remembered.clear()
-            self.remembered[text] = ids
+            if len(text) <= SHORT:
+                if len(self.remembered) >= REMEMBERED:
+                    self.remembered.clear()
+                self.remembered[text] = ids
         return ids
 
     def encode(self, text: str) -> array:

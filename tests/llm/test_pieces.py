@@ -80,3 +80,13 @@ def test_forgetting_changes_nothing(docs, monkeypatch):
     other = pieces.automaton(pieces.load())
     for r in docs.limit(5).collect():
         assert machine.encode(r["text"][:2000]) == other.encode(r["text"][:2000])
+
+
+def test_very_long_stretch(monkeypatch):
+    machine, draw = pieces.Automaton(VOCABULARY), random.Random(8)
+    text = "".join(draw.choice("abcx") for _ in range(30_000))
+    long = machine.segment(text)
+    monkeypatch.setattr(pieces, "LONG", 1 << 30)
+    assert machine.segment(text) == long and cost(VOCABULARY, machine, text) == pytest.approx(best(VOCABULARY, text[:0]) + sum({i: s for _, i, s in VOCABULARY.pieces}.get(i, machine.unknown) for _, i in long))
+    ids = machine.encode(text)
+    assert machine.decode(ids) == text and not machine.remembered
