@@ -78,3 +78,13 @@ def test_similarity_is_verified(spark):
     df = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(far))], "doc_id long, text string")
     found = simhash.dedup(df, words=5, max_bits=14, blocks=9, pick=3, min_similarity=0.8)
     assert sorted(r["doc_id"] for r in found.collect()) == [1, 3]
+
+
+def test_texts_with_one_id_are_documents_of_their_own(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    rows = [(1, a), (1, b), (1, b), (2, b), (None, a), (None, "c d")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "9 rid", "8 label")
+    for options in ({}, {"min_similarity": 0.8, "words": 5}):
+        kept = simhash.dedup(df, **options)
+        assert kept.columns == df.columns
+        assert sorted((str(r["doc_id"]), r["text"], r["rid"]) for r in kept.collect()) == sorted([("1", a, 9), ("1", b, 9), ("None", "c d", 9)])
