@@ -14,6 +14,8 @@ __all__ = ["BROADCAST", "connected_components", "cut", "fresh", "lookup_join", "
 
 #: Rows of a few numbers that may be broadcast (some 30 MB on an executor).
 BROADCAST = 400_000
+#: Rows of a batch that a Python worker holds objects of at once.
+SLICE = 1024
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -48,18 +50,20 @@ def row_key() -> Column:
 
 
 def map_rows(df: DataFrame, each: Callable[[dict], Iterator[tuple]], schema: str) -> DataFrame:
-    """Arrow batches in, Arrow batches out. ``each`` gets a batch as a dict of
-    lists and yields a tuple of columns (lists or Arrow arrays) in the order of
-    ``schema``."""
+    """Arrow batches in, Arrow batches out. ``each`` gets SLICE rows at a time as a
+    dict of Arrow arrays and yields a tuple of columns (lists or Arrow arrays) in the
+    order of ``schema``. What Arrow holds is given back at the end of a task, since
+    workers live on."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
     arrow = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(at, SLICE) for whole in batches for at in range(0, whole.num_rows, SLICE)):
             for columns in each({n: batch.column(i) for i, n in enumerate(batch.schema.names)}):
                 yield pa.RecordBatch.from_arrays([c.cast(f.type) if isinstance(c, pa.Array) else pa.array(c, type=f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 
