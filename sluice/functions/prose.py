@@ -1,5 +1,5 @@
 """Readers of folded prose: mentions that no negation takes back, heating, lift,
-floor, amenities and pay. Each is a short regular expression reader over Arrow
+floor and amenities. Each is a short regular expression reader over Arrow
 batches; Java's expressions can't look behind as far as a negation reaches."""
 
 from __future__ import annotations
@@ -9,20 +9,30 @@ import re
 import pandas as pd
 from pyspark.sql.functions import pandas_udf
 
-#: Words that take a mention back, and how far before it they are looked for.
-NEGATIONS = r"\b(?:sans|pas|non|aucune?|ni|jamais|hors)\b"
+#: Negations up to two words before a mention and right after it, how far
+#: they are looked for, and negations of other readers.
+BEFORE = r"\b(?:pas|non|hors|sans|aucune?|ni|exclus?)\b[ ]*(?:besoin[ ]+d['’](?:etre|avoir)[ ]+|de[ ]+|d['’]|en[ ]+)?(?:[^ .\n]+[ ]+){0,2}$"
+AFTER = r"^[ ]*[(:,]?[ ]*(?:non\b|exclus?\b|refuses?\b|n['’]est pas\b|pas (?:possible|accepte|envisage)|(?:[^ .\n]+[ ]+)?s['’]abstenir|not accepted|excluded)"
 WINDOW = 40
+NEGATIONS = r"\b(?:sans|pas|non|aucune?|ni|jamais|hors)\b"
+_BEFORE, _AFTER = re.compile(BEFORE), re.compile(AFTER)
 
 
 def mentioned(text: str | None, pattern: re.Pattern, window: int = WINDOW) -> bool:
-    """True if the pattern occurs without a negation before it in the same sentence."""
+    """True if the pattern occurs in folded text with no negation beside it: up to two
+    words before it in its own sentence, or right after it. Every occurrence is tried."""
     for m in pattern.finditer(text or ""):
-        before = re.split(r"[.!?;\n]", text[max(0, m.start() - window) : m.start()])[-1]
-        if not re.search(NEGATIONS, before):
+        before = re.split(r"\n|\. ", text[max(0, m.start() - window) : m.start()])[-1]
+        if not _BEFORE.search(before) and not _AFTER.search(text[m.end() : m.end() + window]):
             return True
     return False
 
 
+def hits(text: str | None, terms: dict[str, re.Pattern]) -> list[str]:
+    """Labels of the terms that are mentioned, in their order."""
+    return [label for label, pattern in terms.items() if mentioned(text, pattern)]
+
+
 def mention(pattern: str, window: int = WINDOW):
     """Column function: does the folded text mention the pattern un-negated?"""
     compiled = re.compile(pattern)
@@ -33,8 +43,15 @@ def mention(pattern: str, window: int = WINDOW):
     return _reader("boolean", read)
 
 
+#: A mention of hail, and a negation up to two words before it.
+HAIL = r"\bgrel(?:e|ee|es|ees)\b"
+NO_HAIL = r"(?:\bnon|\bsans|\bpas\s+de|\baucune?|\bjamais|\bni)[\s-]+(?:\w+[\s-]+){0,2}$"
+_HAIL, _NO_HAIL = re.compile(HAIL), re.compile(NO_HAIL)
+
+
 def hail(text: str | None) -> bool:
-    return mentioned(text, re.compile(r"\bgrele(?:e|s|es)?\b"), 24)
+    """True if folded text states damage by hail."""
+    return any(not _NO_HAIL.search(text[max(0, m.start() - 40) : m.start()]) for m in _HAIL.finditer(text or ""))
 
 
 #: Sources of energy and what names them.
@@ -89,40 +106,28 @@ def floor(text: str | None) -> int | None:
     return None
 
 
-#: Amenities and what names them.
-AMENITIES = (("terrace", r"\bterrasse"), ("balcony", r"\bbalcon"), ("loggia", r"\bloggia"), ("garden", r"\bjardin"), ("cellar", r"\bcave\b"), ("parking", r"\b(?:parking|garage|box)\b"))
+#: Amenities, the words for parking, and words that include it.
+AMENITIES = ("terrasse", "balcon", "loggia", "jardin", "cave")
+PARKING = ("parking", "stationnement", "garage", "box")
+INCLUDED = ("inclus", "incluse", "compris", "comprise", "attribue", "attribuee")
+_NAMED = re.compile(r"[,\d]\s*(?:les|des|aux)\s+$")
+_GROUND = re.compile(r"\brez[\s-]*de[\s-]*$")
 
 
 def amenities(text: str | None) -> list[str]:
-    return [name for name, pattern in AMENITIES if mentioned(text, re.compile(pattern), 24)]
-
-
-_PAY = re.compile(r"(\d{1,3}(?:[ .]\d{3})+|\d+(?:[.,]\d+)?) ?(k)?(?: ?(?:€|eur\w*))? ?(?:-|a|et|/) ?(\d{1,3}(?:[ .]\d{3})+|\d+(?:[.,]\d+)?) ?(k)? ?(?:€|eur\w*)|(\d{1,3}(?:[ .]\d{3})+|\d+(?:[.,]\d+)?) ?(k)? ?(?:€|eur\w*)")
-
-
-def pay(text: str | None) -> list[tuple[str, int, int]]:
-    """(period, min, max) of each pay stated: hourly pay is left out, DAY below 2,000
-    or by its word, MONTH below 12,000 or by its word, else YEAR; each once."""
-    out = []
-
-    def amount(digits, kilo):
-        value = float(digits.replace(" ", "").replace(",", ".") if "," in digits or re.fullmatch(r"\d+\.\d{1,2}", digits) else re.sub(r"[ .]", "", digits))
-        return round(value * (1000 if kilo else 1))
-
-    for m in _PAY.finditer(text or ""):
-        after = text[m.end() : m.end() + 16]
-        if re.match(r"\s*(?:/ ?h\b|de l'heure|par heure|brut/h)", after):
-            continue
-        low = amount(m[1] or m[5], m[2] or m[6] or (m[1] and m[4]))
-        high = amount(m[3], m[4]) if m[3] else low
-        if re.match(r"\s*(?:/ ?j|par jour)", after) or high < 2_000:
-            period = "DAY"
-        elif re.match(r"\s*(?:/ ?mois|par mois)", after) or high < 12_000:
-            period = "MONTH"
-        else:
-            period = "YEAR"
-        if 50 <= low <= high and (period, low, high) not in out:
-            out.append((period, low, high))
+    """What folded prose offers. A plural behind an article names a street or a
+    residence, a floor is no garden; parking is included only by a word for it
+    within 40 characters, unless it comes on top of the rent."""
+    text, out = text or "", []
+    for stem in AMENITIES:
+        for m in re.finditer(rf"\b{stem}s?\b", text):
+            before = text[max(0, m.start() - 16) : m.start()]
+            if not (m[0].endswith("s") and _NAMED.search(before)) and not (stem == "jardin" and _GROUND.search(before)):
+                out.append(stem)
+                break
+    places = [text[m.end() : m.end() + 40] for stem in PARKING for m in re.finditer(rf"\b{stem}s?\b", text)]
+    if places:
+        out.append("parking inclus" if any("en sus" not in p and any(w in p for w in INCLUDED) for p in places) else "parking")
     return out
 
 
@@ -152,12 +157,16 @@ def _amenities(text: pd.Series) -> pd.Series:
     return text.map(amenities)
 
 
-def _pay(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: [{"period": p, "low": a, "high": b} for p, a, b in pay(t)])
 
 
 heating_of = _reader("struct<mode:string,energy:string>", _heating)
 lift_of = _reader("boolean", _lift)
 floor_of = _reader("int", _floor)
 amenities_of = _reader("array<string>", _amenities)
-pay_of = _reader("array<struct<period:string,low:int,high:int>>", _pay)
+hail_of = _reader("boolean", lambda text: text.map(hail).astype(bool))
+
+
+def hits_of(text, terms: dict[str, str]):
+    """Column: labels of the terms that folded text mentions without a negation."""
+    compiled = {label: re.compile(pattern) for label, pattern in terms.items()}
+    return _reader("array<string>", lambda texts: texts.map(lambda t: hits(t, compiled)))(text)

@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from sluice.functions.prose import mentioned
 from sluice.functions.text import field_key, fold
 
 #: Classes that are never announced, and those that may be.
@@ -151,45 +150,85 @@ def tenure(listings: DataFrame) -> DataFrame:
 
 def landlord_profiles(listings: DataFrame, landlords: DataFrame) -> DataFrame:
     """Adds landlord: the longest known name (column name, folded) that the folded
-    advertiser contains, null without one. landlords is configuration: it is small."""
-    hit = listings.select("id", fold(F.col("advertiser")).alias("who")).join(landlords.select("name"), F.col("who").contains(F.col("name")))
-    best = hit.groupBy("id").agg(F.max_by("name", F.struct(F.length("name"), "name")).alias("landlord"))
+    advertiser contains, null without one.
+
+    Every stretch of an advertiser that is as long as some name is joined to the
+    names, so no pair of rows is tried that doesn't match; of the names only their
+    lengths, a few tens of numbers, come to the driver.
+    """
+    known = landlords.select("name").where("name <> ''").distinct()
+    lengths = sorted(r["n"] for r in known.select(F.length("name").alias("n")).distinct().collect())
+    if not lengths:
+        return listings.withColumn("landlord", F.lit(None).cast("string"))
+    who = fold(F.col("advertiser"))
+    starts = lambda n: F.when(F.length("who") >= n, F.sequence(F.lit(1), F.length("who") - (n - 1)))
+    parts = F.flatten(F.array_compact(F.array(*[F.transform(starts(n), lambda at, n=n: F.substring("who", at, F.lit(n))) for n in lengths])))
+    cut_up = listings.select("id", who.alias("who")).select("id", F.explode(F.array_distinct(parts)).alias("name"))
+    best = cut_up.join(known, "name").groupBy("id").agg(F.max_by("name", F.struct(F.length("name"), "name")).alias("landlord"))
     return listings.join(best, "id", "left")
 
 
+#: Ranks of a default class: an excluded one is stricter than none, none than any other.
+def _strictness(tenure: Column) -> Column:
+    return F.when(tenure.isNull(), 1).when(tenure.isin(*EXCLUDED), 2).otherwise(0)
+
+
+def effective_profiles(listings: DataFrame, profiles: DataFrame) -> DataFrame:
+    """Adds profile, family, default_tenure and mixed of each listing's source, made
+    stricter by the profile of a known landlord who advertises there.
+
+    listings has source, landlord (a name or null) and landlord_source (its own
+    source, null if it has none); profiles has (source, family, default_tenure,
+    mixed). A source or a landlord without a profile counts as institutional,
+    mixed and without a default."""
+    named = lambda side: profiles.select(*[F.col(c).alias(f"{side}_{c}") for c in ("source", "family", "default_tenure", "mixed")])
+    rows = listings.join(named("s"), F.col("source") == F.col("s_source"), "left").join(named("l"), F.col("landlord_source") == F.col("l_source"), "left")
+
+    def strict(side, column, otherwise):
+        return F.when(F.col(f"{side}_source").isNull(), otherwise).otherwise(F.col(f"{side}_{column}"))
+
+    other = F.col("landlord").isNotNull() & (F.col("landlord_source").isNull() | (F.col("landlord_source") != F.col("source")))
+    alone = other & F.col("landlord_source").isNull()
+    none = F.lit(None).cast("string")
+    own, theirs = ([strict(side, "family", F.lit("institutional")), strict(side, "default_tenure", none), strict(side, "mixed", F.lit(True))] for side in ("s", "l"))
+    out = rows.withColumns({
+        "profile": F.when(other, F.coalesce("landlord_source", "landlord")).otherwise(F.col("source")),
+        "family": F.when(alone, "institutional").when(other & ((own[0] == "institutional") | (theirs[0] == "institutional")), "institutional").when(other, "private").otherwise(own[0]),
+        "default_tenure": F.when(alone, none).when(other & (_strictness(theirs[1]) >= _strictness(own[1])), theirs[1]).otherwise(own[1]),
+        "mixed": F.when(alone, True).when(other, own[2] | theirs[2]).otherwise(own[2]),
+    })
+    return out.select(*listings.columns, "profile", "family", "default_tenure", "mixed")
+
+
 #: What makes a vehicle unfit unless it is negated, and what is unfit as said.
 UNFIT = {
-    "accident": r"\baccident(?:e|ee|es|ees|s)?\b",
-    "pledge": r"\bgage(?:e|ee|es|ees)?\b",
+    "accidenté": r"\baccident(?:e|ee|es|ees|s)?\b",
+    "gagé": r"\bgage(?:e|ee|es|ees)?\b",
     "opposition": r"\bopposition\b",
-    "wreck": r"\bepaves?\b",
+    "épave": r"\bepaves?\b",
     "VEI": r"\bvei\b",
     "VGE": r"\bvge\b",
-    "procedure": r"\bprocedure ve\b",
-    "beyond repair": r"\beconomiquement irreparable\b",
-    "for parts": r"\bpour pieces?\b",
+    "procédure VE": r"\bprocedure ve\b",
+    "économiquement irréparable": r"\beconomiquement irreparable\b",
+    "pour pièces": r"\bpour pieces?\b",
 }
 UNFIT_AS_SAID = {
-    "no papers": r"\bsans carte grise\b|\bpas de carte grise\b|\bcarte grise (?:absente|manquante)\b",
-    "no inspection": r"\b(?:ct|controle technique) (?:non|pas) (?:fourni|fait|ok)\b|\bsans (?:ct|controle technique)\b|\bpas de (?:ct|controle technique)\b",
-    "does not run": r"\bnon roulant\b|\bne roule (?:pas|plus)\b|\bne demarre (?:pas|plus)\b",
+    "sans carte grise": r"\bsans carte grise\b|\bpas de carte grise\b|\bcarte grise (?:absente|manquante)\b",
+    "CT non fourni": r"\b(?:ct|controle technique) (?:non|pas) (?:fourni|fait|ok)\b|\bsans (?:ct|controle technique)\b|\bpas de (?:ct|controle technique)\b",
+    "non roulant": r"\bnon roulant\b|\bne roule (?:pas|plus)\b|\bne demarre (?:pas|plus)\b",
 }
-_BEFORE = re.compile(r"\b(?:jamais|non|pas|aucun|aucune|sans|ni|zero|0)\b\s*(?:\S+\s+){0,2}$")
-_AFTER = re.compile(r"^\s*[:?]?\s*(?:non|jamais)\b")
-_UNFIT = {k: re.compile(p) for k, p in UNFIT.items()}
+#: A negation up to two words before a word, and right after it.
+BEFORE_UNFIT = r"\b(?:jamais|non|pas|aucun|aucune|sans|ni|zero|0)\b\s*(?:\S+\s+){0,2}$"
+AFTER_UNFIT = r"^\s*[:?]?\s*(?:non|jamais)\b"
+_BEFORE, _AFTER = re.compile(BEFORE_UNFIT), re.compile(AFTER_UNFIT)
+_ANY_UNFIT = re.compile("|".join(f"(?P<r{i}>{p})" for i, p in enumerate(UNFIT.values())))
 
 
 def vehicle_reasons(folded: str | None) -> list[str]:
-    """Labels of what makes a vehicle unfit; bytes around a word decide if it is negated."""
-    raw, out = (folded or ""), []
-    for label, pattern in _UNFIT.items():
-        for m in pattern.finditer(raw):
-            before = raw[: m.start()].encode()[-40:].decode("utf-8", "ignore")
-            after = raw[m.end() :].encode()[:12].decode("utf-8", "ignore")
-            if not _BEFORE.search(before) and not _AFTER.search(after):
-                out.append(label)
-                break
-    return out
+    """Labels of what makes a vehicle unfit, each once; a negation beside a word takes it back."""
+    text = folded or ""
+    stated = {m.lastgroup for m in _ANY_UNFIT.finditer(text) if not _BEFORE.search(text[max(0, m.start() - 40) : m.start()]) and not _AFTER.search(text[m.end() : m.end() + 12])}
+    return [label for i, label in enumerate(UNFIT) if f"r{i}" in stated]
 
 
 def vehicle(listings: DataFrame) -> DataFrame:
@@ -201,51 +240,6 @@ def vehicle(listings: DataFrame) -> DataFrame:
     return out.withColumn("outcome", F.when(F.size("reasons") > 0, "REJECT").otherwise("MATCH"))
 
 
-#: Kinds of contract, levels and work modes in folded text.
-CONTRACTS = {"alternance": r"\b(?:alternan(?:ce|t\w*)|apprenti\w*)\b", "cdd": r"\bcdd\b", "cdi": r"\bcdi\b", "freelance": r"\b(?:freelance|independant\w*|portage)\b", "interim": r"\binterim\b", "stage": r"\b(?:stage|stagiaire|internship)\b"}
-LEVELS = (("lead", r"\b(?:lead|tech lead|principal|staff)\b"), ("senior", r"\b(?:senior|sr)\b"), ("confirmed", r"\b(?:confirme\w*|experimente\w*)\b"), ("junior", r"\b(?:junior|debutant\w*)\b"))
-MODES = {"remote": r"\b(?:full remote|100 ?% (?:remote|teletravail)|teletravail (?:complet|total))\b", "hybrid": r"\b(?:hybride?|teletravail partiel)\b", "onsite": r"\b(?:sur site|presentiel|on-?site)\b"}
-_MODES = {k: re.compile(p) for k, p in MODES.items()}
-_DAYS = re.compile(r"\b([1-5]) ?(?:j|jours?|days?)\b[^.\n]{0,12}?\b(teletravail|remote|distance|sur site|presentiel|bureau)")
-
-
-def work_mode(folded: str | None, stated: str | None = None) -> tuple[str | None, float | None]:
-    """(mode, days at home): a stated field holds; modes that contradict are unknown,
-    but days decide between remote and hybrid."""
-    text = folded or ""
-    m = _DAYS.search(text)
-    days = None
-    if m:
-        days = float(m[1]) if m[2] in ("teletravail", "remote", "distance") else 5.0 - float(m[1])
-    if stated == "remote":
-        return "remote", 5.0
-    if stated == "onsite":
-        return "onsite", 0.0
-    if stated is not None:
-        return "hybrid", days if days and 0 < days < 5 else None
-    modes = {k for k, p in _MODES.items() if mentioned(text, p)}
-    if days is not None:
-        modes.add("remote" if days >= 5 else "onsite" if days <= 0 else "hybrid")
-    if "onsite" in modes and len(modes) > 1:
-        return None, None
-    if {"remote", "hybrid"} <= modes:
-        return ("remote" if days >= 5 else "hybrid", days) if days is not None else (None, None)
-    return ("remote", 5.0) if "remote" in modes else ("hybrid", days) if "hybrid" in modes else ("onsite", 0.0) if "onsite" in modes else (None, None)
-
-
-def job_facts(jobs: DataFrame) -> DataFrame:
-    """Adds contracts, level, work (mode, days) to jobs with title, text and mode (may be null)."""
-    title, text = fold(F.coalesce("title", F.lit(""))), fold(F.concat_ws("\n", "title", "text"))
-    level = F.coalesce(*[F.when(title.rlike(p), F.lit(name)) for name, p in LEVELS])
-    contracts = F.array_sort(F.array_compact(F.array(*[F.when(text.rlike(p), F.lit(name)) for name, p in CONTRACTS.items()])))
-    read = pandas_udf(_work, "struct<mode:string,days:double>")
-    return jobs.withColumns({"contracts": contracts, "level": level, "work": read(text, F.col("mode"))})
-
-
-def _work(text: pd.Series, stated: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([work_mode(t, s) for t, s in zip(text, stated, strict=True)], columns=["mode", "days"])
-
-
 def urgent(closes: Column, now: Column, rollup: Column) -> Column:
     """An auction that closes after now and before the next rollup."""
     return F.coalesce((closes > now) & (closes < rollup), F.lit(False))

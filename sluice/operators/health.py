@@ -52,9 +52,9 @@ def window_counts(runs: DataFrame, now: Column, days: int) -> list[Column]:
     return [F.sum(inside.cast("long")).alias(f"runs_{days}d"), F.sum((inside & ~F.col("ok")).cast("long")).alias(f"failed_{days}d")]
 
 
-def verdicts(runs: DataFrame, now: int, feed_silent_days: int | None = None) -> DataFrame:
+def verdicts(runs: DataFrame, now: int | Column, feed_silent_days: int | None = None) -> DataFrame:
     """(source, status): the first of the verdicts that applies to a source's runs,
-    judged at ``now`` (epoch seconds)."""
+    judged at ``now`` (epoch seconds, a number or a column)."""
     seen = last_productive(rolling_mean(observed(runs)))
     by_source = Window.partitionBy("source")
     last_other = F.coalesce(F.max(F.when(~(F.col("ok") & (F.col("items") == 0)), F.col("id"))).over(by_source), F.lit(-1))
@@ -95,7 +95,7 @@ def verdicts(runs: DataFrame, now: int, feed_silent_days: int | None = None) ->
     return whole.join(tail, "source").select("source", status.alias("status"))
 
 
-def due_alerts(verdict: DataFrame, alerts: DataFrame, now: int, hours: int) -> DataFrame:
+def due_alerts(verdict: DataFrame, alerts: DataFrame, now: int | Column, hours: int) -> DataFrame:
     """Alerting verdicts without an alert of the same status in the last hours; an
     alert in the future doesn't count. alerts has (source, status, at)."""
     last = alerts.groupBy("source", "status").agg(F.max("at").alias("at"))
@@ -111,9 +111,12 @@ def recoveries(statuses: DataFrame) -> DataFrame:
 
 def same_filter(judged: DataFrame) -> DataFrame:
     """(source, reason, n): sources with three or more judged listings that all were
-    refused for one reason; digits in a reason don't count."""
-    key = F.regexp_replace("reason", "[0-9]+", "N")
-    per = judged.groupBy("source").agg(F.count("*").alias("n"), F.count("reason").alias("refused"), F.min(key).alias("low"), F.max(key).alias("high"))
+    refused for one reason. Figures in a reason don't count; a reason of class is the
+    classifier at work and none of these."""
+    lower = F.lower("reason")
+    plain = F.trim(F.regexp_replace(lower, "[0-9]+(?:[.,][0-9]+)?", "N"))
+    key = F.when((F.trim("reason") != "") & ~lower.rlike("^(tenure:|exclu ?:)"), plain)
+    per = judged.withColumn("reason", key).groupBy("source").agg(F.count("*").alias("n"), F.count("reason").alias("refused"), F.min("reason").alias("low"), F.max("reason").alias("high"))
     return per.where("n >= 3 and refused = n and low = high").select("source", F.col("low").alias("reason"), "n")
 
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sluice.functions.text import fold
+from sluice.functions.text import commune_key, fold
 
 
 def known(condition: Column) -> Column:
@@ -84,10 +85,89 @@ def vehicle_verdict(cars: DataFrame, criteria: VehicleCriteria) -> DataFrame:
 
 @dataclass(frozen=True)
 class RentCriteria:
+    """communes (as keys) and prefixes of postcodes say where: with communes the name
+    decides and a known postcode narrows it, without them the prefix alone does.
+    ranks gives the place of preferred communes, 1 the best."""
+
     max_rent: float
     min_surface: float
     min_rooms: int
     min_price_m2: float
+    communes: tuple[str, ...] = ()
+    prefixes: tuple[str, ...] = ()
+    title_excludes: tuple[str, ...] = ()
+    text_excludes: tuple[str, ...] = ()
+    ranks: dict[str, int] = field(default_factory=dict)
+    high_priority: int = 73
+
+    def __post_init__(self):
+        for pattern in (*self.title_excludes, *self.text_excludes):
+            re.compile(pattern)
+        if self.communes and not set(self.ranks) <= set(self.communes):
+            raise ValueError("a commune has a rank and isn't listed")
+
+    @classmethod
+    def of(cls, given: dict) -> RentCriteria:
+        """Criteria out of a loaded configuration; an unknown name or no place at all is an error."""
+        unknown = set(given) - set(cls.__dataclass_fields__)
+        if unknown:
+            raise ValueError(f"unknown criteria: {', '.join(sorted(unknown))}")
+        if not given.get("communes") and not given.get("prefixes"):
+            raise ValueError("no commune and no prefix: every place would match")
+        return cls(**{k: tuple(v) if isinstance(v, list) else v for k, v in given.items()})
+
+
+def starts_with_any(text: Column, prefixes) -> Column:
+    return F.greatest(*[text.startswith(p) for p in prefixes], F.lit(False), F.lit(False))
+
+
+def in_place(commune: Column, postcode: Column, c: RentCriteria) -> Column:
+    """Whether a listing is where one is looked for; without a commune and a postcode it
+    is nowhere. An unknown postcode narrows nothing, and proves nothing on its own."""
+    digits = F.regexp_replace(F.coalesce(postcode, F.lit("")), "[^0-9]", "")
+    by_prefix = F.lit(not c.prefixes) | starts_with_any(digits, c.prefixes)
+    evidence = commune.isNotNull() | postcode.isNotNull()
+    if not c.communes:
+        return evidence & F.when(commune.isNull(), by_prefix).otherwise(starts_with_any(digits, c.prefixes))
+    listed = commune_key(commune).isin(*c.communes) & ((digits == "") | by_prefix)
+    return evidence & F.when(commune.isNull(), by_prefix).otherwise(listed)
+
+
+def excluded_kind(title: Column, description: Column, c: RentCriteria) -> Column:
+    """The first pattern that tells another kind of property: in the title, then in title
+    and description; null if none does."""
+    head, both = fold(title), fold(F.concat_ws("\n", title, description))
+    return F.coalesce(*[F.when(head.rlike(p), F.lit(p)) for p in c.title_excludes], *[F.when(both.rlike(p), F.lit(p)) for p in c.text_excludes], F.lit(None).cast("string"))
+
+
+def heating_penalty(individual: Column, electric: Column, of_individual: int, of_electric: int) -> Column:
+    """Points off for heating of one's own, and more for electric heating."""
+    return F.when(individual, of_individual + F.when(electric, of_electric).otherwise(0)).otherwise(0)
+
+
+def is_high_priority(score: Column, confidence: Column, bar: int, sure: int = 80) -> Column:
+    """A high score of a listing whose class is sure enough."""
+    return known((score >= bar) & (confidence >= sure))
+
+
+def rent_judge(flats: DataFrame, c: RentCriteria) -> DataFrame:
+    """Adds reason and outcome in the order in which a listing is judged: an excluded
+    class, no evidence of a place, another place, another kind, too few rooms, too
+    small, too dear; then a class in doubt and an implausible price are for the
+    digest. flats has class_outcome, tenure, commune, postcode, title, description
+    and what rent_verdict() needs."""
+    rows = rent_verdict(flats, c).withColumnRenamed("outcome", "__sized")
+    kind = excluded_kind(F.col("title"), F.col("description"), c)
+    reject = F.coalesce(
+        F.when(F.col("class_outcome") == "REJECT", F.concat(F.lit("tenure: "), "tenure")),
+        F.when(F.col("commune").isNull() & F.col("postcode").isNull(), "no location"),
+        F.when(~in_place(F.col("commune"), F.col("postcode"), c), "commune"),
+        F.when(kind.isNotNull(), F.concat(F.lit("kind: "), kind)),
+        F.col("disqualifier"),
+    )
+    doubt = F.when(F.col("class_outcome") == "DIGEST", "class").when(F.col("__sized") == "DIGEST", "price")
+    out = rows.withColumn("reason", F.coalesce(reject, doubt))
+    return out.withColumn("outcome", F.when(reject.isNotNull(), "REJECT").when(doubt.isNotNull(), "DIGEST").otherwise("MATCH")).drop("__sized")
 
 
 def effective_rent(cc: Column, hc: Column, charges: Column) -> Column:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,25 +30,52 @@ def same_flat(a: str, b: str) -> Column:
     return agree & (facts >= FACTS)
 
 
+#: Bands are this wide in the logarithm; two values within tolerance are in one band or
+#: in neighbouring ones: up to RENT_EUR / RENT_RATIO the absolute tolerance rules.
+BAND = 0.031
+
+
+def _band(value: Column, absolute: float, ratio: float) -> Column:
+    return F.floor(F.log(F.greatest(value, F.lit(0.0)) / (absolute / ratio) + 1) / BAND)
+
+
+def _banded(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Pairs of rows (structs a, b) of a commune that may be one flat. At least two facts
+    are known on both sides, so either both surfaces are, or both rents and equal
+    rooms: each of the two has its own key, and no large commune is compared in full."""
+    by_surface = lambda df, name, near: df.where("surface is not null").select("commune", F.struct("*").alias(name), near(_band(F.col("surface"), SURFACE_M2, SURFACE_RATIO)).alias("band"))
+    by_rent = lambda df, name, near: df.where("rent is not null and rooms is not null").select("commune", "rooms", F.struct("*").alias(name), near(_band(F.col("rent"), RENT_EUR, RENT_RATIO)).alias("band"))
+    own, near = (lambda band: band), (lambda band: F.explode(F.array(band - 1, band, band + 1)))
+    sized = by_surface(a, "a", own).join(by_surface(b, "b", near), ["commune", "band"]).select("a", "b")
+    priced = by_rent(a, "a", own).join(by_rent(b, "b", near), ["commune", "rooms", "band"]).where("a.surface is null or b.surface is null").select("a", "b")
+    return sized.unionByName(priced).where(same_flat("a", "b"))
+
+
+def _matchable(flats: DataFrame) -> DataFrame:
+    return flats.where("commune is not null and commune <> ''").select("id", "commune", "rent", "surface", "rooms", "floor", "source", "family")
+
+
+def related(flats: DataFrame) -> DataFrame:
+    """(a, b, other_source, other_family): ids of the same flat, a < b."""
+    rows = _matchable(flats)
+    found = _banded(rows, rows).where("a.id < b.id")
+    return found.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.expr("a.source <> b.source").alias("other_source"), F.expr("a.family <> b.family").alias("other_family"))
+
+
 def pairs(flats: DataFrame, kind: str = "any") -> DataFrame:
     """(a, b): ids of the same flat, a < b. kind: duplicate (other source, same
-    family), twin (other source, other family) or any. The commune is the key of
-    the join and the tolerances are its residual; adaptive execution splits a
-    commune that is large."""
-    rows = flats.where("commune is not null and commune <> ''").select("id", "commune", "rent", "surface", "rooms", "floor", "source", "family")
-    a, b = rows.alias("a"), rows.alias("b")
-    on = (F.col("a.commune") == F.col("b.commune")) & (F.col("a.id") < F.col("b.id")) & same_flat("a", "b")
+    family), twin (other source, other family) or any."""
+    found = related(flats)
     if kind != "any":
-        on = on & (F.col("a.source") != F.col("b.source")) & ((F.col("a.family") == F.col("b.family")) if kind == "duplicate" else (F.col("a.family") != F.col("b.family")))
-    return a.join(b, on).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
+        found = found.where("other_source and " + ("not other_family" if kind == "duplicate" else "other_family"))
+    return found.select("a", "b")
 
 
 def excluded_witness(flats: DataFrame, excluded: DataFrame) -> DataFrame:
     """(id, witness): listings that are the same flat as an excluded one, with the
     smallest such id."""
-    a, b = flats.alias("a"), excluded.alias("b")
-    on = (F.col("a.commune") == F.col("b.commune")) & (F.col("a.id") != F.col("b.id")) & same_flat("a", "b")
-    return a.join(b, on).groupBy(F.col("a.id").alias("id")).agg(F.min("b.id").alias("witness"))
+    found = _banded(_matchable(flats), _matchable(excluded)).where("a.id <> b.id")
+    return found.groupBy(F.col("a.id").alias("id")).agg(F.min("b.id").alias("witness"))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -81,43 +107,25 @@ def spread_rank(listings: DataFrame, twins: DataFrame) -> DataFrame:
 
 def greedy_clusters(flats: DataFrame) -> DataFrame:
     """(id, survivor): in order of arrival each listing joins the first survivor it
-    duplicates. Only duplicates can join, so each component of duplicate pairs is a
-    task of its own, in which survivors are compared one after the other; listings
-    without a duplicate never leave the join."""
-
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("id")
-        kept: list[tuple] = []
-        out = []
-        for r in rows.itertuples(index=False):
-            home = next((k.id for k in kept if k.source != r.source and _same(k, r)), None)
-            if home is None:
-                kept.append(r)
-            out.append((r.id, r.id if home is None else home))
-        return pd.DataFrame(out, columns=["id", "survivor"])
-
-    label = components(pairs(flats, "duplicate")).select(F.col("node").alias("id"), "label")
-    rows = flats.select("id", "source", "rent", "surface", "rooms", "floor").join(label, "id")
-    lone = flats.select("id", F.col("id").alias("survivor")).join(label, "id", "left_anti")
-    return rows.groupBy("label").applyInPandas(one, "id long, survivor long").unionByName(lone)
-
-
-def _same(a, b) -> bool:
-    facts = 0
-    for name, absolute, ratio in (("rent", RENT_EUR, RENT_RATIO), ("surface", SURFACE_M2, SURFACE_RATIO)):
-        x, y = getattr(a, name), getattr(b, name)
-        if pd.notna(x) and pd.notna(y):
-            scale = max(abs(x), abs(y))
-            if not (abs(x - y) <= absolute or (scale > 0 and abs(x - y) / scale <= ratio)):
-                return False
-            facts += 1
-    if pd.notna(a.rooms) and pd.notna(b.rooms):
-        if a.rooms != b.rooms:
-            return False
-        facts += 1
-    if pd.notna(a.floor) and pd.notna(b.floor) and a.floor != b.floor:
-        return False
-    return facts >= FACTS
+    duplicates, and survives if there is none.
+
+    Settled in rounds over the table of duplicate pairs: a listing whose earlier
+    duplicates all joined others survives, one with an earlier survivor joins. A
+    round is a join and a grouped minimum; a listing without duplicates never
+    leaves the first join. Each round settles the earliest open one of every
+    component at least."""
+    from sluice.plans.session import cut
+
+    earlier = cut(pairs(flats, "duplicate").select(F.col("b").alias("id"), F.col("a").alias("before")))
+    state = cut(earlier.select("id").union(earlier.select("before")).distinct().withColumn("survives", F.lit(None).cast("boolean")))
+    while not state.where("survives is null").isEmpty():
+        ahead = earlier.join(state.select(F.col("id").alias("before"), F.col("survives").alias("s")), "before")
+        seen = ahead.groupBy("id").agg(F.coalesce(F.bool_or("s"), F.lit(False)).alias("joins"), F.count_if(F.col("s").isNull()).alias("open"))
+        now = F.when(F.col("joins"), False).when(F.coalesce("open", F.lit(0)) == 0, True)
+        state = cut(state.join(seen, "id", "left").select("id", F.coalesce("survives", now).alias("survives")))
+    homes = earlier.join(state.where("survives").select(F.col("id").alias("before")), "before").groupBy("id").agg(F.min("before").alias("home"))
+    joined = state.where("not survives").select("id").join(homes, "id")
+    return flats.select("id").join(joined, "id", "left").select("id", F.coalesce("home", "id").alias("survivor"))
 
 
 def group_veto(rows: DataFrame) -> DataFrame:
@@ -130,10 +138,22 @@ def group_veto(rows: DataFrame) -> DataFrame:
 def gate(rows: DataFrame, own: DataFrame, group: DataFrame, twin: DataFrame, dwelling: DataFrame) -> DataFrame:
     """Adds route: the first of own, group, twin and dwelling that refuses a listing,
     null if none does. Each of the four has the ids it refuses."""
-    out = rows
-    for name, refused in (("own", own), ("group", group), ("twin", twin), ("dwelling", dwelling)):
-        out = out.join(refused.select("id").distinct().withColumn(f"by_{name}", F.lit(name)), "id", "left")
-    return out.withColumn("route", F.coalesce("by_own", "by_group", "by_twin", "by_dwelling")).drop("by_own", "by_group", "by_twin", "by_dwelling")
+    ids = [refused.select("id", F.lit(place).alias("place")) for place, refused in enumerate((own, group, twin, dwelling))]
+    first = ids[0].union(ids[1]).union(ids[2]).union(ids[3]).groupBy("id").agg(F.min("place").alias("place"))
+    names = F.array(*map(F.lit, ("own", "group", "twin", "dwelling")))
+    return rows.join(first, "id", "left").withColumn("route", F.try_element_at(names, F.col("place") + 1)).drop("place")
+
+
+def collapse_twins(entries: DataFrame, twins: DataFrame) -> DataFrame:
+    """(id, keys): of entries that are twins of one another the direct one stands for
+    all, then the earliest; keys are the ids it stands for. Twins of twins are one
+    flat: a component, so no order of arrival changes the result. entries has id and
+    family; twins has (a, b)."""
+    ids = entries.select("id")
+    inside = twins.join(ids.withColumnRenamed("id", "a"), "a").join(ids.withColumnRenamed("id", "b"), "b").select("a", "b")
+    rows = entries.join(components(inside).withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
+    best = F.min_by("id", F.struct((F.col("family") != "institutional").cast("int"), "id"))
+    return rows.groupBy("label").agg(best.alias("id"), F.array_sort(F.collect_list("id")).alias("keys")).select("id", "keys")
 
 
 def institutional_first(rows: DataFrame) -> DataFrame:

@@ -9,29 +9,18 @@ from pyspark.sql import functions as F
 
 from sluice.functions import prose, text
 from sluice.operators import classify, drains, health, history, judge, match
+from sluice.plans.registry import QUERIES, SQL, query, sql_fold, sql_list
 from sluice.plans.views import CARS_SQL, FLATS_SQL, PRICES_SQL, QUEUE_SQL, RUNS_SQL, cars, flats, prices, queue, runs, table
 from sluice.sources import mail, pages
 
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        _QUERIES[f.__name__] = f
-        if sql:
-            _SQL[f.__name__] = sql
-        return f
-
-    return add
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return dict(SQL)
 
 
 # --- judging and scoring -------------------------------------------------------------
@@ -206,7 +195,13 @@ def twin_fixed_point(spark, sf_dir):
     return match.spread_rank(ranked, match.pairs(rows, "twin"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {FLATS_SQL}, dup AS (SELECT b AS id, a AS before FROM same WHERE sa <> sb AND fa = fb),
+  walk AS (SELECT 0 AS round, id, CAST(NULL AS BOOLEAN) AS survives FROM (SELECT id FROM dup UNION SELECT before FROM dup)
+    UNION ALL SELECT w.round + 1, w.id, any_value(coalesce(w.survives, CASE WHEN e.joins THEN false WHEN coalesce(e.open_, 0) = 0 THEN true END))
+      FROM walk w LEFT JOIN (SELECT d.id, bool_or(coalesce(x.survives, false)) AS joins, sum(CAST(x.survives IS NULL AS INTEGER)) AS open_ FROM dup d JOIN walk x ON x.id = d.before GROUP BY d.id) e ON e.id = w.id
+      WHERE w.round < 12 GROUP BY w.round, w.id),
+  done AS (SELECT id, survives FROM walk WHERE round = 12)
+  SELECT f.id, coalesce((SELECT min(d.before) FROM dup d JOIN done s ON s.id = d.before AND s.survives JOIN done o ON o.id = d.id AND NOT o.survives WHERE d.id = f.id), f.id) AS survivor FROM flats f""")
 def greedy_cluster(spark, sf_dir):
     return match.greedy_clusters(flats(spark, sf_dir))
 
@@ -216,12 +211,16 @@ def greedy_cluster(spark, sf_dir):
   twin AS (SELECT DISTINCT id FROM linked WHERE t = 'R' AND s <> t AND f <> g), dwell AS (SELECT DISTINCT id FROM linked WHERE t = 'R')
   SELECT id, CASE WHEN id IN (SELECT id FROM own) THEN 'own' WHEN id IN (SELECT id FROM grp) THEN 'group' WHEN id IN (SELECT id FROM twin) THEN 'twin' WHEN id IN (SELECT id FROM dwell) THEN 'dwelling' END AS route FROM flats""")
 def gate_four_routes(spark, sf_dir):
+    from sluice.plans.session import cut
+
     rows = flats(spark, sf_dir)
-    refused = rows.where("source = 'R'")
-    group = rows.join(refused.where("rooms = 7").select("commune").distinct(), "commune", "left_semi")
-    twins = match.pairs(rows, "twin")
-    twins = twins.union(twins.select("b", "a")).toDF("id", "other").join(refused.select(F.col("id").alias("other")), "other")
-    return match.gate(rows.select("id"), refused, group, twins, match.excluded_witness(rows, refused))
+    refused = rows.where("source = 'R'").select("id")
+    group = rows.join(rows.where("source = 'R' and rooms = 7").select("commune").distinct(), "commune", "left_semi")
+    links = cut(match.related(rows))  # found once; twins and dwellings both come from it
+    near = links.withColumn("twin", F.expr("other_source and other_family"))
+    near = near.select(F.col("a").alias("id"), F.col("b").alias("other"), "twin").union(near.select("b", "a", "twin"))
+    bad = near.join(refused.withColumnRenamed("id", "other"), "other")
+    return match.gate(rows.select("id"), refused, group.select("id"), bad.where("twin").select("id"), bad.select("id"))
 
 
 # --- price history and state ---------------------------------------------------------
@@ -320,14 +319,15 @@ def last_productive(spark, sf_dir):
 
 
 def _now(rows):
-    return rows.agg(F.max("at")).first()[0] or 0
+    """The time of the last run, as a scalar subquery: nothing runs while a query is built."""
+    return rows.select(F.coalesce(F.max("at"), F.lit(0))).scalar()
 
 
 @query(f"""WITH {RUNS_SQL}, n AS (SELECT max("at") AS now FROM runs) SELECT source, CAST(sum(CAST("at" >= now - 604800 AS INTEGER)) AS BIGINT) AS runs_7d, CAST(sum(CAST("at" >= now - 604800 AND NOT ok AS INTEGER)) AS BIGINT) AS failed_7d,
   CAST(sum(CAST("at" >= now - 86400 AS INTEGER)) AS BIGINT) AS runs_1d, CAST(sum(CAST("at" >= now - 86400 AND NOT ok AS INTEGER)) AS BIGINT) AS failed_1d FROM runs, n GROUP BY source""")
 def window_counts(spark, sf_dir):
     rows = runs(spark, sf_dir)
-    now = F.lit(_now(rows))
+    now = _now(rows)
     return rows.groupBy("source").agg(*health.window_counts(rows, now, 7), *health.window_counts(rows, now, 1))
 
 
@@ -363,11 +363,16 @@ def recovery_edges(spark, sf_dir):
     return health.recoveries(runs(spark, sf_dir).select("source", "id", F.when(F.col("ok"), "OK").otherwise("BROKEN").alias("status")))
 
 
-@query("""WITH j AS (SELECT l_suppkey AS source, CASE WHEN l_quantity > 3 THEN 'rent ' || CAST(l_quantity AS INTEGER) || ' above' END AS reason FROM lineitem WHERE l_linenumber = 7)
-  SELECT source, min(regexp_replace(reason, '[0-9]+', 'N', 'g')) AS reason, count(*) AS n FROM j GROUP BY source HAVING count(*) >= 3 AND count(reason) = count(*) AND count(DISTINCT regexp_replace(reason, '[0-9]+', 'N', 'g')) = 1""")
+@query("""WITH j AS (SELECT l_suppkey AS source, CASE l_suppkey % 4 WHEN 0 THEN 'Rent ' || l_quantity || ' € above' WHEN 1 THEN 'tenure: PLS' WHEN 2 THEN CASE WHEN l_quantity > 3 THEN 'rooms: 1' END ELSE CASE WHEN l_quantity > 3 THEN 'rooms: 1' ELSE 'surface: 2' END END AS reason FROM lineitem),
+  k AS (SELECT source, CASE WHEN reason NOT LIKE 'tenure:%' THEN regexp_replace(lower(reason), '[0-9]+(\\.[0-9]+)?', 'N', 'g') END AS reason FROM j)
+  SELECT source, min(reason) AS reason, count(*) AS n FROM k GROUP BY source HAVING count(*) >= 3 AND count(reason) = count(*) AND count(DISTINCT reason) = 1""")
 def same_filter_warning(spark, sf_dir):
-    i = table(spark, sf_dir, "lineitem").where("l_linenumber = 7")
-    return health.same_filter(i.select(F.col("l_suppkey").alias("source"), F.when(F.col("l_quantity") > 3, F.concat(F.lit("rent "), F.col("l_quantity").cast("int").cast("string"), F.lit(" above"))).alias("reason")))
+    many = F.col("l_quantity") > 3
+    kinds = (F.concat(F.lit("Rent "), F.col("l_quantity").cast("string"), F.lit(" € above")), F.lit("tenure: PLS"), F.when(many, "rooms: 1"), F.when(many, "rooms: 1").otherwise("surface: 2"))
+    reason = kinds[3]
+    for i in range(3):
+        reason = F.when(F.col("l_suppkey") % 4 == i, kinds[i]).otherwise(reason)
+    return health.same_filter(table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("source"), reason.alias("reason")))
 
 
 @query("SELECT l_suppkey AS source, l_returnflag || l_linenumber AS pattern, count(*) AS calls FROM lineitem GROUP BY ALL HAVING count(*) >= 3 AND sum(CAST(l_discount > 0.08 AS INTEGER)) = 0")
@@ -414,47 +419,56 @@ def delivered(spark, sf_dir):
 # --- text ----------------------------------------------------------------------------
 
 
-def _sql_fold(x: str) -> str:
-    for a, b in text.DIGRAPHS:
-        x = f"replace({x}, '{a}', '{b}')"
-    accents, plain = text.ACCENTED.replace("'", "''"), text.FOLDED.replace("'", "''")
-    x = f"translate(translate({x}, '{accents}{text.UPPER}', '{plain}{text.LOWER}'), '{text.UPPER}', '{text.LOWER}')"
-    x = rf"regexp_replace({x}, '[\x{{0300}}-\x{{036F}}\x{{00AD}}\x{{200B}}-\x{{200D}}\x{{FEFF}}]', '', 'g')"
-    return rf"trim(regexp_replace({x}, '{text.BLANKS}', ' ', 'g'))"
-
-
-@query(f"SELECT doc_id, md5({_sql_fold('text')}) AS folded FROM documents")
+@query(f"SELECT doc_id, md5({sql_fold('text')}) AS folded FROM documents")
 def fold_text(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.fold(F.col("text"))).alias("folded"))
 
 
-@query(f"SELECT conv_id, turn, md5(trim(regexp_replace({_sql_fold('text')}, '[^a-z0-9]+', ' ', 'g'))) AS key FROM conversations")
+@query(f"SELECT conv_id, turn, md5(trim(regexp_replace({sql_fold('text')}, '[^a-z0-9]+', ' ', 'g'))) AS key FROM conversations")
 def commune_key(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.md5(text.commune_key(F.col("text"))).alias("key"))
 
 
-@query(rf"SELECT p_partkey AS id, regexp_replace(regexp_replace({_sql_fold('p_name')}, '(^|[^a-z0-9])(des|de|du|d'')', ' ', 'g'), '[^a-z0-9]', '', 'g') AS key FROM part")
+#: Names of fields with the words that a key leaves out, between others and inside of them.
+_NAMES = ("", " de la rue", " d'achat", " du bail", " des lieux", " description designation duree", " DU D'Été des")
+_KEYED = sql_fold(f"p_name || {sql_list(_NAMES)}[p_partkey % 7 + 1]")
+
+
+@query(f"""SELECT p_partkey AS id, regexp_replace(replace(replace(replace(replace({_KEYED}, ' de ', ' '), ' d''', ' '), ' du ', ' '), ' des ', ' '), '[^a-z0-9]', '', 'g') AS key FROM part""")
 def field_key(spark, sf_dir):
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), text.field_key(F.col("p_name")).alias("key"))
+    name = F.concat("p_name", F.element_at(F.array(*map(F.lit, _NAMES)), (F.col("p_partkey") % 7 + 1).cast("int")))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), text.field_key(name).alias("key"))
 
 
 TERMS = {"licence": "licen[cs]ed? ", "secret": "(password|token|secret)", "mail": "[a-z0-9.]+@[a-z0-9.]+", "version": "version [0-9]"}
 
 
-@query("SELECT doc_id, list_filter([" + ", ".join(f"CASE WHEN regexp_matches({_sql_fold('text')}, '{p}') THEN '{k}' END" for k, p in TERMS.items()) + "], lambda x: x IS NOT NULL) AS hits FROM documents")
+@query("SELECT doc_id, list_filter([" + ", ".join(f"CASE WHEN regexp_matches(folded, '{p}') THEN '{k}' END" for k, p in TERMS.items()) + f"], lambda x: x IS NOT NULL) AS hits FROM (SELECT doc_id, {sql_fold('text')} AS folded FROM documents)")
 def term_hits(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", text.term_hits(text.fold(F.col("text")), TERMS).alias("hits"))
+    folded = table(spark, sf_dir, "documents").select("doc_id", text.fold(F.col("text")).alias("folded"))
+    return folded.select("doc_id", text.term_hits(F.col("folded"), TERMS).alias("hits"))
 
 
-@query(f"SELECT doc_id, CASE WHEN regexp_matches({_sql_fold('text')}, 'licensed under') THEN 'licensed under' WHEN regexp_matches({_sql_fold('text')}, 'http[s]?://') THEN 'http[s]?://' END AS pattern FROM documents")
+@query(f"SELECT doc_id, CASE WHEN regexp_matches({sql_fold('text')}, 'licensed under') THEN 'licensed under' WHEN regexp_matches({sql_fold('text')}, 'http[s]?://') THEN 'http[s]?://' END AS pattern FROM documents")
 def kind_exclusion(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", text.first_pattern(text.fold(F.col("text")), ["licensed under", "http[s]?://"]).alias("pattern"))
+    folded = table(spark, sf_dir, "documents").select("doc_id", text.fold(F.col("text")).alias("folded"))
+    return folded.select("doc_id", text.first_pattern(F.col("folded"), ["licensed under", "http[s]?://"]).alias("pattern"))
+
+
+def _sql_redact(x: str) -> str:
+    for pattern, mask in text.SECRETS:
+        x = "regexp_replace({}, '{}', '{}', 'g')".format(x, pattern, mask.replace("$", "\\"))
+    return x
 
 
-@query(r"""SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '[email]', 'g'), '(?i)(bearer) +[A-Za-z0-9._~+/-]{8,}=*', '\1 [secret]', 'g'),
-  '(?i)(password|passwd|token|secret|api[_-]?key)( *[:=] *)[^ \n\r\t]{4,}', '\1\2[secret]', 'g'), '(https?://)[^/@ \n]+:[^/@ \n]+@', '\1[secret]@', 'g')) AS masked FROM documents""")
+#: Secrets of several kinds behind every text, so that each pattern has something to mask.
+_LEAKS = (" me@host.example", " api.telegram.org/bot123:abc/send", " 1234567890:abcdefghijklmnopqrstuvwxyzABCDEF", " ntfy.sh/topic?x", " AUTH PLAIN AGFiY2RlZmdoaWprbA==", " RFR : 1234,5", " Basic dXNlcjpwYXNz", " token=abcdefgh", " https://u:p@h/x", " QWxhZGRpbjpvcGVuIHNlc2FtZQ==", " a%40b.org")
+
+
+@query(f"SELECT doc_id, md5({_sql_redact(f'(text || {sql_list(_LEAKS)}[doc_id % 11 + 1])')}) AS masked FROM documents")
 def redact_text(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.redact(F.col("text"))).alias("masked"))
+    leak = F.element_at(F.array(*map(F.lit, _LEAKS)), (F.col("doc_id") % 11 + 1).cast("int"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.redact(F.concat("text", leak))).alias("masked"))
 
 
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, json_extract_string(props, '$.none') AS none FROM events")
@@ -481,17 +495,46 @@ def url_normalise(spark, sf_dir):
     return p.select("page_id", text.normalise_url(F.col("url")).alias("url"), text.stable_url_id(F.col("url")).alias("stable"))
 
 
-@query()
+def sql_mentioned(x: str, pattern: str) -> str:
+    """mentioned() as DuckDB SQL: each occurrence with the 40 characters beside it."""
+    before, after = prose.BEFORE.replace("'", "''"), prose.AFTER.replace("'", "''")
+    words, parts = f"regexp_extract_all({x}, '{pattern}')", f"string_split_regex({x}, '{pattern}')"
+    total = lambda items: f"coalesce(list_sum(list_transform({items}, lambda w: length(w))), 0)"
+    at = f"CAST({total(f'{parts}[1:i]')} + {total(f'{words}[1:i-1]')} AS BIGINT)"
+    left = f"regexp_replace(substr({x}, greatest(1, {at} - 39), least(40, {at})), '(?s)^.*(\\n|\\. )', '')"
+    right = f"substr({x}, {at} + 1 + length({words}[i]), 40)"
+    return f"len(list_filter(range(1, len({words}) + 1), lambda i: NOT regexp_matches({left}, '{before}') AND NOT regexp_matches({right}, '{after}'))) > 0"
+
+
+_WORDS = r"\b(?:of|de|der)\b"
+
+
+@query(f"SELECT conv_id, turn, {sql_mentioned('folded', _WORDS)} AS mentioned FROM (SELECT conv_id, turn, {sql_fold('text')} AS folded FROM conversations)")
 def negated_mentions(spark, sf_dir):
-    read = prose.mention(r"\b(?:of|de|der)\b")
+    read = prose.mention(_WORDS)
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", read(text.fold(F.col("text"))).alias("mentioned"))
 
 
-@query()
+#: Prose about a flat and what it states: heating, lift, floor, amenities, damage by hail.
+_PROSE = (
+    ("Chauffage individuel électrique. Sans ascenseur, 3ème étage. Balcon et cave.", "individuel", "electrique", False, 3, ("balcon", "cave"), False),
+    ("Immeuble avec ascenseur. Chauffage collectif au gaz. Parking inclus.", "collectif", "gaz", True, None, ("parking inclus",), False),
+    ("Ascenseur : non. Rez-de-chaussée, rez de jardin. 12, les terrasses de la mare. Garage en sus.", None, None, False, 0, ("parking",), False),
+    ("Véhicule grêlé. Chauffage urbain. Loggia, jardin, terrasse.", None, "urbain", None, None, ("terrasse", "loggia", "jardin"), True),
+    ("Aucune trace de grêle. Sans chauffage. Premier étage.", None, None, None, 1, (), False),
+)
+
+
+def _prose_case(place: int) -> str:
+    return "CASE o_orderkey % 5 " + " ".join(f"WHEN {i} THEN {sql_list([row[place]])[1:-1] if not isinstance(row[place], tuple) else sql_list(row[place]) + '::VARCHAR[]'}" for i, row in enumerate(_PROSE)) + " END"
+
+
+@query(f"SELECT o_orderkey AS id, {_prose_case(1)} AS mode, {_prose_case(2)} AS energy, CAST({_prose_case(3)} AS BOOLEAN) AS lift, {_prose_case(4)} AS floor, {_prose_case(5)} AS amenities, CAST({_prose_case(6)} AS BOOLEAN) AS hail FROM orders")
 def prose_facts(spark, sf_dir):
-    folded = text.fold(F.col("text"))
-    d = table(spark, sf_dir, "documents").select("doc_id", folded.alias("folded"))
-    return d.select("doc_id", prose.heating_of("folded").alias("heating"), prose.lift_of("folded").alias("lift"), prose.floor_of("folded").alias("floor"), prose.amenities_of("folded").alias("amenities"), prose.pay_of("folded").alias("pay"))
+    words = F.element_at(F.array(*[F.lit(row[0]) for row in _PROSE]), (F.col("o_orderkey") % 5 + 1).cast("int"))
+    d = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), text.fold(words).alias("folded"))
+    out = d.select("id", prose.heating_of("folded").alias("heating"), prose.lift_of("folded").alias("lift"), prose.floor_of("folded").alias("floor"), prose.amenities_of("folded").alias("amenities"), prose.hail_of("folded").alias("hail"))
+    return out.select("id", F.col("heating.mode").alias("mode"), F.col("heating.energy").alias("energy"), "lift", "floor", "amenities", "hail")
 
 
 # --- pages and mails -----------------------------------------------------------------
@@ -519,13 +562,16 @@ def html_cards(spark, sf_dir):
     return pages.cards(table(spark, sf_dir, "pages"), "li")
 
 
+#: Rules of every host: whether a path is allowed, and its pattern.
+_ROBOTS = ((False, "/en/"), (True, "/en/1*"), (True, "/*/0$"), (False, ""))
+
+
 @query(r"""WITH p AS (SELECT regexp_extract(url, '://([^/]*)', 1) AS host, regexp_extract(url, '://[^/]*(/[^?#]*)', 1) AS path FROM pages)
-  SELECT host, path, CASE WHEN path LIKE '/en/1%' THEN true WHEN path LIKE '/en/%' THEN false ELSE true END AS allowed FROM p GROUP BY ALL""")
+  SELECT host, path, CASE WHEN path LIKE '/en/1%' THEN true WHEN regexp_matches(path, '^/.*/0$') THEN true WHEN path LIKE '/en/%' THEN false ELSE true END AS allowed FROM p GROUP BY ALL""")
 def robots_longest_match(spark, sf_dir):
     p = table(spark, sf_dir, "pages").select(F.regexp_extract("url", "://([^/]*)", 1).alias("host"), F.regexp_extract("url", "://[^/]*(/[^?#]*)", 1).alias("path"))
-    hosts = p.select("host").distinct()
-    rules = spark.createDataFrame([(False, "/en/"), (True, "/en/1*"), (True, "/*/0$"), (False, "")], "allow boolean, pattern string").join(hosts)
-    return pages.robots_allowed(p, rules.where("pattern <> '/*/0$'"))
+    each = F.array(*[F.struct(F.lit(allow).alias("allow"), F.lit(pattern).alias("pattern")) for allow, pattern in _ROBOTS])
+    return pages.robots_allowed(p, p.select("host").distinct().select("host", F.inline(each)))
 
 
 @query(r"""WITH s AS (SELECT conv_id, turn, unnest(string_split_regex(text, '\.\s')) AS seg, generate_subscripts(string_split_regex(text, '\.\s'), 1) - 1 AS place FROM conversations),
@@ -566,12 +612,6 @@ def vehicle_classify(spark, sf_dir):
     return classify.vehicle(table(spark, sf_dir, "conversations")).select("conv_id", "turn", "reasons", "outcome")
 
 
-@query()
-def job_facts(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.substring("text", 1, 60).alias("title"), "text", F.when(F.col("turn") == 1, "hybrid").alias("mode"))
-    return classify.job_facts(c).select("conv_id", "turn", "contracts", "level", "work")
-
-
 @query("""WITH n AS (SELECT s_suppkey AS id, s_name || ' ' || n_name AS advertiser FROM supplier JOIN nation ON s_nationkey = n_nationkey),
   l AS (SELECT lower(n_name) AS name FROM nation UNION SELECT lower(left(n_name, 5)) FROM nation)
   SELECT n.id, (SELECT name FROM l WHERE contains(lower(n.advertiser), name) ORDER BY length(name) DESC, name DESC LIMIT 1) AS landlord FROM n""")
@@ -596,3 +636,7 @@ def commute_enrich(spark, sf_dir):
     cache = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("commune"), F.lit("x").alias("postcode"), F.floor(F.col("s_acctbal") / 100).cast("int").alias("minutes"))
     listings = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("commune"), F.lit("x").alias("postcode"))
     return classify.add_commute(listings, cache, 60).select("id", "minutes", F.when(F.col("minutes").isNotNull(), F.col("commute_share")).alias("share"))
+
+
+# Queries of jobs, fields and stored state register themselves when they are imported.
+from sluice.plans import field_queries, job_queries, state_queries  # noqa: E402, F401

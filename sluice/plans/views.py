@@ -39,10 +39,10 @@ CARS_SQL = """cars AS (SELECT p_partkey AS key, p_retailprice AS price,
 
 def flats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as rental listings; a discount of none leaves the rent unknown, a tax
-    of none the floor."""
+    of none the floor. The id puts order, line, part and supplier side by side."""
     item = table(spark, sf_dir, "lineitem")
     return item.select(
-        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"),
+        (((F.col("l_orderkey").cast("long") * 10 + F.col("l_linenumber")) * 100_000 + F.col("l_partkey")) * 1000 + F.col("l_suppkey")).cast("long").alias("id"),
         F.col("l_partkey").cast("string").alias("commune"),
         F.when(F.col("l_discount") > 0, F.col("l_extendedprice")).alias("rent"),
         F.col("l_quantity").alias("surface"),
@@ -50,13 +50,13 @@ def flats(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("l_tax") > 0, F.round(F.col("l_tax") * 100, 0).cast("int")).alias("floor"),
         F.col("l_returnflag").alias("source"),
         F.when(F.col("l_linestatus") == "O", "institutional").otherwise("private").alias("family"),
-    ).dropDuplicates(["id"])
+    )
 
 
-FLATS_SQL = """flats AS (SELECT DISTINCT ON (id) * FROM (SELECT l_orderkey * 10 + l_linenumber AS id, CAST(l_partkey AS VARCHAR) AS commune,
+FLATS_SQL = """flats AS (SELECT CAST(((CAST(l_orderkey AS BIGINT) * 10 + l_linenumber) * 100000 + l_partkey) * 1000 + l_suppkey AS BIGINT) AS id, CAST(l_partkey AS VARCHAR) AS commune,
   CASE WHEN l_discount > 0 THEN l_extendedprice END AS rent, l_quantity AS surface, l_linenumber AS rooms,
   CASE WHEN l_tax > 0 THEN CAST(round(l_tax * 100) AS INTEGER) END AS floor, l_returnflag AS source,
-  CASE WHEN l_linestatus = 'O' THEN 'institutional' ELSE 'private' END AS family FROM lineitem)),
+  CASE WHEN l_linestatus = 'O' THEN 'institutional' ELSE 'private' END AS family FROM lineitem),
 same AS (SELECT a.id AS a, b.id AS b, a.source AS sa, b.source AS sb, a.family AS fa, b.family AS fb FROM flats a JOIN flats b ON a.commune = b.commune AND a.id < b.id
   WHERE (a.rent IS NULL OR b.rent IS NULL OR abs(a.rent - b.rent) <= 30 OR abs(a.rent - b.rent) / greatest(a.rent, b.rent) <= 0.03)
   AND (abs(a.surface - b.surface) <= 2 OR abs(a.surface - b.surface) / greatest(a.surface, b.surface) <= 0.03)

@@ -46,12 +46,10 @@ def test_vehicles(spark):
     assert [(r["text"]) for r in classify.vehicle(df).where("outcome <> want").collect()] == []
 
 
-def test_jobs(spark):
-    rows = [("Dev senior CDI", "2 jours de télétravail", None, ["cdi"], "senior", ("hybrid", 2.0)), ("Lead", "full remote", None, [], "lead", ("remote", 5.0)), ("Stage", "sur site, hybride", None, ["stage"], None, (None, None)), ("Dev", "3 jours sur site", "hybrid", [], None, ("hybrid", 2.0)), ("Dev", "", None, [], None, (None, None))]
-    df = spark.createDataFrame([(i, *r[:3]) for i, r in enumerate(rows)], "id int, title string, text string, mode string")
-    for r in classify.job_facts(df).collect():
-        _, _, _, contracts, level, work = rows[r["id"]]
-        assert (r["contracts"], r["level"], tuple(r["work"])) == (contracts, level, work)
+def test_unfit_words_are_taken_back():
+    assert classify.vehicle_reasons("jamais accidente. tres bon etat. procedure ve") == ["procédure VE"]
+    assert classify.vehicle_reasons("accidente : non. malgre son age une epave") == ["épave"] and classify.vehicle_reasons(None) == []
+    assert classify.vehicle_reasons("0 accident en dix ans puis accidente") == ["accidenté"]
 
 
 def test_auctions(spark):

@@ -119,9 +119,69 @@ def test_heating(words, want):
 def test_prose_readers():
     assert prose.lift("immeuble avec ascenseur") is True and prose.lift("sans ascenseur") is False and prose.lift("ascenseur : non") is False and prose.lift("calme") is None
     assert prose.floor("au 3eme etage") == 3 and prose.floor("rez-de-chaussee") == 0 and prose.floor("deuxieme etage") == 2 and prose.floor("maison") is None
-    assert prose.amenities("balcon, cave et parking. sans terrasse") == ["balcony", "cellar", "parking"]
-    assert prose.hail("vehicule grele") and not prose.hail("non grele") and not prose.hail("sans grele")
-    assert prose.pay("45-55 k€") == [("YEAR", 45_000, 55_000)] and prose.pay("tjm 500 €/jour") == [("DAY", 500, 500)] and prose.pay("12 €/h") == [] and prose.pay("3 000 € par mois") == [("MONTH", 3000, 3000)]
+    assert prose.amenities("balcon, cave et parking. en sus la terrasse") == ["terrasse", "balcon", "cave", "parking"]
+    assert prose.amenities("stationnement attribue. 3, les jardins du lac") == ["parking inclus"]
+    assert prose.hail("vehicule grele") and not prose.hail("non grele") and not prose.hail("sans grele") and not prose.hail("aucune trace de grele")
+
+
+def test_mentions():
+    import re
+
+    balcony, freelance = re.compile(r"\bbalcon\b"), re.compile(r"\bfreelance\b")
+    assert prose.mentioned("pas de vis a vis mais un grand et beau balcon", balcony)
+    assert not prose.mentioned("pas de grand balcon", balcony) and not prose.mentioned("freelance non accepte", freelance)
+    assert prose.mentioned("sans cave. balcon", balcony) and prose.mentioned("pas de balcon\nun balcon", balcony)
+    assert not prose.mentioned("freelances s'abstenir", re.compile(r"\bfreelances\b")) and not prose.mentioned(None, balcony)
+
+
+def test_pay():
+    from sluice.functions.pay import Pay, pay
+
+    assert pay("salaire 45-55 k€ brut") == [Pay("salary", "gross", "year", 45_000, 55_000)]
+    assert pay("tjm 500 €/jour") == [Pay("tjm", "ht", "day", 500, 500)] and pay("600 € ttc par jour") == [Pay("tjm", "ht", "day", 500, 500)]
+    assert pay("12 €/h") == [] and pay("prime 3 000 € par mois") == [] and pay("ref 850\n1 450 € par mois") == [Pay("salary", "gross", "month", 1450, 1450)]
+    assert pay("salaire 60000") == [] and pay("55k utilisateurs") == [] and pay("5 € par an") == [] and pay(None) == []
+    assert pay("variable jusqu'a 10 k€. salaire fixe entre 60 et 70 k€") == [Pay("salary", "gross", "year", 60_000, 70_000)]
+    assert pay("salaire 40 k€ net. salaire 40 k€ net") == [Pay("salary", "net", "year", 40_000, 40_000)]
+
+
+def test_jobs():
+    from sluice.operators import jobs
+
+    assert jobs.contracts("stage developpeur", "nous accueillons des alternants et des stages, pas de cdd") == ["stage"]
+    assert jobs.contracts("", "portage ou freelance", ["contractuel", None, "cdi"]) == ["cdi", "contractuel", "freelance", "portage"]
+    assert jobs.work_mode("dev", "dev\n3 jours sur site", "hybrid") == ("hybrid", 2.0) and jobs.work_mode("dev remote", "dev remote\nsur site uniquement") == (None, None)
+    assert jobs.work_mode("dev", "dev\nteletravail : 5 jours") == ("remote", 5.0) and jobs.work_mode("dev", "dev\n2 jours de teletravail par mois") == (None, None)
+    assert jobs.work_mode("dev", "dev\nremote teams") == (None, None)
+    with pytest.raises(ValueError):
+        jobs.JobCriteria({"stack": 100}, 1, 2, 1, 2)
+
+
+def test_criteria_are_checked():
+    assert judge.RentCriteria.of({"max_rent": 1.0, "min_surface": 1.0, "min_rooms": 1, "min_price_m2": 1.0, "prefixes": ["78"]}).prefixes == ("78",)
+    for wrong in ({"prefixes": ["78"], "colour": 1}, {}, {"communes": ["a"], "ranks": {"b": 1}}, {"prefixes": ["7"], "title_excludes": ["("]}):
+        with pytest.raises((ValueError, judge.re.error)):
+            judge.RentCriteria.of({"max_rent": 1.0, "min_surface": 1.0, "min_rooms": 1, "min_price_m2": 1.0} | wrong)
+
+
+def test_inflected_phrases(spark):
+    cases = [("logement social", "des logements sociaux", False, True), ("plai", "p.l-a i", True, True), ("plai", "plaisir", True, False), ("p.l.u.s", "plus", True, False), ("p.l.u.s", "p.l.u.s", True, True), ("lli", "llis", False, False), ("loyer libre", "loyer-libre", True, True), ("loyer libre", "loyer-libre", False, False)]
+    for phrase, said, apart, want in cases:
+        row = spark.createDataFrame([(said,)], "t string").select(F.col("t").rlike(text.inflected(phrase, apart)).alias("hit")).first()
+        assert row["hit"] == want, (phrase, said)
+
+
+def test_run_log_masks_secrets(spark, tmp_path):
+    from sluice.operators import store
+
+    for error in ("token=abcdef12345", None):
+        store.append_runs(spark.createDataFrame([("s", error)], "source string, error string"), str(tmp_path / "log"))
+    assert sorted(str(r["error"]) for r in spark.read.parquet(str(tmp_path / "log")).collect()) == ["None", "token=[secret]"]
+
+
+def test_last_facts_and_titles(spark):
+    r = spark.createDataFrame([("https://h/a\n\n Clio 5 \nprix 100\nprix 200",)], "t string").select(mail.last_match(F.col("t"), "prix ([0-9]+)").alias("p"), mail.last_match(F.col("t"), "km").alias("k"), mail.title_line(F.col("t")).alias("l")).first()
+    assert (r["p"], r["k"], r["l"]) == ("200", None, "Clio 5")
 
 
 def test_pages(spark):
