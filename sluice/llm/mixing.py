@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -140,14 +140,14 @@ def plan(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     sources = cut(targets(histogram.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), weights, share, most))
     placed = histogram.join(sources, histogram["source"].eqNullSafe(sources["source"])).select("s", "size", "n", "source_size", "target")
 
-    def fitted(rows: pd.DataFrame) -> pd.DataFrame:
-        lengths, counts = rows["size"].tolist(), rows["n"].tolist()
-        size, target = int(rows["source_size"].iloc[0]), float(rows["target"].iloc[0])
+    def fitted(rows: pa.Table) -> pa.Table:
+        lengths, counts = rows["size"].to_pylist(), rows["n"].to_pylist()
+        size, target = rows["source_size"][0].as_py(), rows["target"][0].as_py()
         passes = int(target // size) if size else 0
         take = fit(lengths, counts, max(0, round(target - passes * size))) if size else [0] * len(lengths)
-        return pd.DataFrame({"s": rows["s"], "size": lengths, "n": counts, "passes": passes, "extra": take})
+        return pa.table({"s": rows["s"], "size": rows["size"], "n": rows["n"], "passes": pa.array([passes] * len(take), pa.int32()), "extra": pa.array(take, pa.int64())})
 
-    counts = placed.groupBy("s").applyInPandas(fitted, "s int, size long, n long, passes int, extra long")
+    counts = placed.groupBy("s").applyInArrow(fitted, "s int, size long, n long, passes int, extra long")
     known = rows.join(sources, rows["source"].eqNullSafe(sources["source"])).select("doc_id", rows["source"], "mark", "size", "s", "source_size", "target")
     dealt = known.join(counts, ["s", "size"]).withColumn("draw", F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "mark"), 34))
     dealt = dealt.withColumn("parts", F.ceil(F.col("n") / RANKED)).withColumn("part", F.shiftright(F.col("draw") * F.col("parts"), 30))

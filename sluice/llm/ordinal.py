@@ -11,10 +11,11 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, map_rows, text_bytes
+from .common import SLICE, cut, map_rows, text_bytes
 
 #: Hashed features: words without case and outer punctuation, and shape features.
 BITS = 20
@@ -248,13 +249,15 @@ def ratings(labels: DataFrame) -> DataFrame:
 
 def select(docs: DataFrame, model: Model, grade: int, at_least: float) -> DataFrame:
     """The rows of ``docs`` whose tail probability of ``grade`` is ``at_least`` that;
-    columns stay. The decision is made row by row in the scan, without a shuffle."""
-    from pyspark.sql.functions import pandas_udf
-
-    @pandas_udf("double")
-    def tail(text):
-        import pandas as pd
-
-        return pd.Series([float(model.tails(bytes(t))[grade - 1]) for t in text])
-
-    return docs.where(tail(text_bytes()) >= at_least)
+    columns stay. The decision is made row by row in the scan, without a shuffle; rows
+    pass through as Arrow batches."""
+
+    def kept(batches):
+        for whole in batches:
+            for at in range(0, whole.num_rows, SLICE):
+                batch = whole.slice(at, SLICE)
+                texts = batch.column(batch.schema.get_field_index("text"))
+                yield batch.filter(pa.array([float(model.tails((t.as_py() or "").encode())[grade - 1]) >= at_least for t in texts], type=pa.bool_()))
+        pa.default_memory_pool().release_unused()
+
+    return docs.mapInArrow(kept, docs.schema)
