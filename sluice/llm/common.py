@@ -49,8 +49,8 @@ def row_key() -> Column:
     return F.xxhash64("doc_id", "text")
 
 
-def map_rows(df: DataFrame, each: Callable[[dict], Iterator[tuple]], schema: str) -> DataFrame:
-    """Arrow batches in, Arrow batches out. ``each`` gets SLICE rows at a time as a
+def map_rows(df: DataFrame, each: Callable[[dict], Iterator[tuple]], schema: str, rows: int = SLICE) -> DataFrame:
+    """Arrow batches in, Arrow batches out. ``each`` gets ``rows`` rows at a time as a
     dict of Arrow arrays and yields a tuple of columns (lists or Arrow arrays) in the
     order of ``schema``. What Arrow holds is given back at the end of a task, since
     workers live on."""
@@ -60,7 +60,7 @@ def map_rows(df: DataFrame, each: Callable[[dict], Iterator[tuple]], schema: str
     arrow = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (whole.slice(at, SLICE) for whole in batches for at in range(0, whole.num_rows, SLICE)):
+        for batch in (whole.slice(at, rows) for whole in batches for at in range(0, whole.num_rows, rows)):
             for columns in each({n: batch.column(i) for i, n in enumerate(batch.schema.names)}):
                 yield pa.RecordBatch.from_arrays([c.cast(f.type) if isinstance(c, pa.Array) else pa.array(c, type=f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
         pa.default_memory_pool().release_unused()

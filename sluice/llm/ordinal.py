@@ -216,7 +216,7 @@ def fit(docs: DataFrame, ratings: DataFrame, grades: int, sample: int = 15_000,
             yield [got], [np.concatenate((of_w, of_f)).tobytes()]
 
         value, slope = 0.0, np.zeros(len(x))
-        for part in map_rows(small, each, "value double, slope binary").collect():
+        for part in map_rows(small, each, "value double, slope binary", rows=sample).collect():
             value += part["value"]
             slope += np.frombuffer(part["slope"])
         return value / total + ridge / 2 * float(w @ w), slope / total + ridge * np.concatenate((w, np.zeros(len(free))))
