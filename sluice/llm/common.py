@@ -16,6 +16,8 @@ __all__ = ["BROADCAST", "connected_components", "cut", "fresh", "lookup_join", "
 BROADCAST = 400_000
 #: Rows of a batch that a Python worker holds objects of at once.
 SLICE = 1024
+#: Links of two numbers that one partition may hold (some 2 MB); more are shuffled.
+FEW_LINKS = 50_000
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -118,7 +120,9 @@ def connected_components(links: DataFrame) -> DataFrame:
 
     Alternates the large-star and small-star steps until the set of links is
     stable; each round is two grouped minima and two joins, and is cut from its
-    lineage in the shared checkpoint folder. No link is ever collected.
+    lineage in the shared checkpoint folder. No link is ever collected. Links are
+    counted each round; up to FEW_LINKS are one partition, so that the same steps
+    need no shuffle and no files for hundreds of empty partitions.
     """
     edges = cut(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = None
@@ -127,10 +131,12 @@ def connected_components(links: DataFrame) -> DataFrame:
         if tuple(now) == before or not now["n"]:
             break
         before = tuple(now)
-        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        if now["n"] <= FEW_LINKS:
+            edges = edges.coalesce(1)
+        both = edges.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.*")
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         edges = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = edges.groupBy("a").agg(F.min("b").alias("m"))
         edges = edges.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
         edges = cut(edges)
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("label")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("label"))).distinct()
+    return edges.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("label")), F.struct(F.col("b").alias("node"), F.col("b").alias("label")))).alias("e")).select("e.*").distinct()
