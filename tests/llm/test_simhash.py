@@ -1,6 +1,8 @@
 import numpy as np
+import pytest
 import xxhash
 
+from sluice.llm import common
 from sluice.llm import queries as Q
 from sluice.llm import simhash
 
@@ -88,3 +90,14 @@ def test_texts_with_one_id_are_documents_of_their_own(spark):
         kept = simhash.dedup(df, **options)
         assert kept.columns == df.columns
         assert sorted((str(r["doc_id"]), r["text"], r["rid"]) for r in kept.collect()) == sorted([("1", a, 9), ("1", b, 9), ("None", "c d", 9)])
+
+
+@pytest.mark.parametrize("few", [0, 50_000])
+def test_components_shuffled_or_in_one_partition(spark, monkeypatch, few):
+    monkeypatch.setattr(common, "FEW_LINKS", few)
+    links = [(i, i + 1) for i in range(40)] + [(100, 99), (99, 98), (7, 7), (200, 201), (200, 201)]
+    found = common.connected_components(spark.createDataFrame(links, "a long, b long"))
+    want = {i: 0 for i in range(41)} | {98: 98, 99: 98, 100: 98, 200: 200, 201: 200}
+    rows = found.collect()
+    assert {r.node: r.label for r in rows} == want and len(rows) == len(want)
+    assert common.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
