@@ -15,6 +15,7 @@ from array import array
 from collections import deque
 from dataclasses import dataclass
 from functools import lru_cache
+from math import inf
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,8 +24,9 @@ from .common import map_rows, text_bytes
 
 SPACE = "▁"
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-#: Stretches that a worker remembers, their length at most; at this many it starts
-#: anew. Neither changes a result.
+#: Stretches of a generation, their length at most. A worker remembers two: at this
+#: many the newer becomes the older one, whose stretches come back as they are met.
+#: Neither changes a result.
 REMEMBERED, SHORT = 80_000, 48
 #: From this length on the table of a stretch is held in 16 bytes a character.
 LONG = 1 << 12
@@ -89,14 +91,18 @@ class Automaton:
         self.unknown = min(s for _, _, s in vocabulary.pieces if s > -1e8) - 10.0 if vocabulary.pieces else -10.0
         self.bytes_of = {i: t.replace(SPACE, " ").encode() for t, i, _ in vocabulary.pieces} | {i: bytes([b]) for b, i in enumerate(self.byte_ids)}
         self.ends: list[tuple | None] = [None] * len(self.next)
-        self.remembered: dict[str, array] = {}
+        self.remembered: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def outputs(self, at: int) -> tuple[tuple[int, int, float], ...]:
-        """The pieces that end in a state, longest first: its own and, over the output
-        links, all shorter ones. Followed once for each state."""
+        """(-length, id, score) of the pieces that end in a state, longest first: its own
+        and, over the output links, all shorter ones. Followed once for each state."""
         found = self.ends[at]
         if found is None:
-            own = (self.piece[at],) if self.piece[at] else ()
+            own = ()
+            if self.piece[at]:
+                length, id_, score = self.piece[at]
+                own = ((-length, id_, score),)
             found = self.ends[at] = own + (self.outputs(self.output[at]) if self.output[at] else ())
         return found
 
@@ -108,20 +114,22 @@ class Automaton:
         next_, fail, ends, unknown = self.next, self.fail, self.ends, self.unknown
         at = 0
         for end, ch in enumerate(text, 1):
-            while at and ch not in next_[at]:
+            to = next_[at].get(ch)
+            while to is None and at:
                 at = fail[at]
-            at = next_[at].get(ch, 0)
-            bare = top = best[end - 1] + unknown
-            begin, id_, length = end - 1, -1, 0
+                to = next_[at].get(ch)
+            at = to or 0
+            top, back, id_, length = -inf, -1, -1, 0
             found = ends[at]
+            # best ends at the character before this one; lengths are negative.
             for length, piece, score in self.outputs(at) if found is None else found:
-                total = best[end - length] + score
-                if id_ < 0 or total > top:
-                    top, begin, id_ = total, end - length, piece
-            if length != 1 and bare > top:
-                top, begin, id_ = bare, end - 1, -1
+                total = best[length] + score
+                if total > top:
+                    top, back, id_ = total, length, piece
+            if length != -1 and best[-1] + unknown > top:
+                top, back, id_ = best[-1] + unknown, -1, -1
             best.append(top)
-            start.append(begin)
+            start.append(end + back)
             taken.append(id_)
         path, end = [], len(text)
         while end:
@@ -129,28 +137,32 @@ class Automaton:
             end = start[end]
         return path[::-1]
 
-    def stretch(self, text: str) -> array:
-        """Ids of one stretch; short ones are remembered."""
+    def stretch(self, text: str) -> bytes:
+        """Ids of one stretch, four bytes each; short ones are remembered."""
+        if len(text) > SHORT:
+            return self._ids(text).tobytes()
         ids = self.remembered.get(text)
         if ids is None:
-            ids = array("i")
-            for start, id_ in self.segment(text):
-                if id_ >= 0:
-                    ids.append(id_)
-                else:
-                    ids.extend(self.byte_ids[b] for b in text[start].encode())
-            if len(text) <= SHORT:
-                if len(self.remembered) >= REMEMBERED:
-                    self.remembered.clear()
-                self.remembered[text] = ids
+            ids = self.older.get(text) or self._ids(text).tobytes()
+            if len(self.remembered) >= REMEMBERED:
+                self.remembered, self.older = {}, self.remembered
+            self.remembered[text] = ids
+        return ids
+
+    def _ids(self, text: str) -> array:
+        ids = array("i")
+        for start, id_ in self.segment(text):
+            if id_ >= 0:
+                ids.append(id_)
+            else:
+                ids.extend(self.byte_ids[b] for b in text[start].encode())
         return ids
 
     def encode(self, text: str) -> array:
         ids = array("i")
         if text:
             known, stretch = self.remembered.get, self.stretch
-            for part in _STRETCH.findall(SPACE + text.replace(" ", SPACE)):
-                ids.extend(known(part) or stretch(part))
+            ids.frombytes(b"".join([known(part) or stretch(part) for part in _STRETCH.findall(SPACE + text.replace(" ", SPACE))]))
         return ids
 
     def decode(self, ids) -> str:
