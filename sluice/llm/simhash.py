@@ -67,6 +67,8 @@ def nearest_forest(values: np.ndarray, max_bits: int) -> list[tuple[int, int, in
     """(a, b, distance): a minimum spanning forest of the pairs of ``values``
     within ``max_bits``, grown from one member at a time."""
     size = len(values)
+    # NumPy counts the bits of a signed number's absolute value.
+    bits = values.view(np.uint64)
     best = np.full(size, 65, dtype=np.int64)
     parent, out = np.zeros(size, dtype=np.int64), np.zeros(size, dtype=bool)
     links = []
@@ -76,7 +78,7 @@ def nearest_forest(values: np.ndarray, max_bits: int) -> list[tuple[int, int, in
         if best[at] <= max_bits:
             links.append((int(values[parent[at]]), int(values[at]), int(best[at])))
         out[at] = True
-        far = np.bitwise_count(values ^ values[at]).astype(np.int64)
+        far = np.bitwise_count(bits ^ bits[at]).astype(np.int64)
         closer = far < best
         best[closer], parent[closer] = far[closer], at
     return links

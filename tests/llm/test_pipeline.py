@@ -53,7 +53,7 @@ def test_near_duplicates_leave_one_of_each_group(stages):
     for gone in set(sets) - kept:
         assert any(len(sets[gone] & s) >= 0.8 * len(sets[gone] | s) for d, s in sets.items() if d != gone)
     ids = sorted(kept)
-    left = [(a, b) for i, a in enumerate(ids) for b in ids[:i] if len(sets[a] & sets[b]) >= 0.9 * len(sets[a] | sets[b])]
+    left = [(a, b) for i, a in enumerate(ids) for b in ids[:i] if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
     assert not left
 
 

@@ -61,6 +61,52 @@ def test_large_bucket_is_dealt_into_chunks(spark, monkeypatch):
     assert all((find(prints[i]) == find(prints[j])) == (want[i] == want[j]) for i in ids for j in ids)
 
 
+def signed(v):
+    return v - (1 << 64) if v >> 63 else v
+
+
+def test_distances_over_all_bits():
+    """Families within a few bits of each other, at any place of the 64, in groups of three and more."""
+    rng = np.random.default_rng(11)
+    for _ in range(2000):
+        base = int(rng.integers(1 << 63)) << 1 | int(rng.integers(2))
+        family = {base}
+        for _ in range(int(rng.integers(2, 8))):
+            at = rng.choice(64, int(rng.integers(1, 7)), replace=False).tolist() + [63] * int(rng.integers(2))
+            family.add(base ^ sum({1 << int(x) for x in at}))
+        ids = dict(enumerate(sorted(family)))
+        want = components(ids)
+        links = simhash.nearest_forest(np.array([signed(v) for v in ids.values()], dtype=np.int64), 3)
+        label = {signed(v): signed(v) for v in family}
+        for a, b, far in links:
+            assert far == ((a ^ b) & (1 << 64) - 1).bit_count() <= 3
+            low, high = sorted((label[a], label[b]))
+            label = {v: low if x == high else x for v, x in label.items()}
+        for i in ids:
+            for j in ids:
+                assert (want[i] == want[j]) == (label[signed(ids[i])] == label[signed(ids[j])])
+
+
+def test_links_over_all_bits(spark):
+    rng = np.random.default_rng(12)
+    prints = {}
+    for _ in range(40):
+        base = int(rng.integers(1 << 63)) << 1 | int(rng.integers(2))
+        prints[len(prints)] = base
+        for _ in range(6):
+            at = rng.choice(64, int(rng.integers(1, 6)), replace=False).tolist()
+            prints[len(prints)] = base ^ sum(1 << int(x) for x in at)
+        prints[len(prints)] = base ^ 1 << 63
+    links = simhash.close_links(spark.createDataFrame([(signed(v),) for v in prints.values()], "fp long"), 3, 6, 3).collect()
+    label = {signed(v): signed(v) for v in prints.values()}
+    for r in links:
+        assert r["bits"] == ((r["a"] ^ r["b"]) & (1 << 64) - 1).bit_count() <= 3
+        low, high = sorted((label[r["a"]], label[r["b"]]))
+        label = {v: low if x == high else x for v, x in label.items()}
+    want = components(prints)
+    assert all((want[i] == want[j]) == (label[signed(prints[i])] == label[signed(prints[j])]) for i in prints for j in prints)
+
+
 def test_odd_rows(odd, none):
     rows = simhash.groups(odd).collect()
     assert len(rows) == odd.count()
