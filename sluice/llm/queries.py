@@ -1,11 +1,11 @@
-"""The ten corpus queries over the given tables and the SQL that checks them."""
+"""The corpus queries over the given tables and the SQL that checks them."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import graph_ann, licences, line_dedup, mixing, ordinal, pieces, pivots, ppm, simhash, suffix_dedup
+from . import graph_ann, licences, line_dedup, mixing, ordinal, periods, pieces, pivots, ppm, simhash, suffix_dedup
 from .common import read
 
 
@@ -58,6 +58,10 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(read(spark, sf_dir, "documents"))
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periods.digests(periods.find(read(spark, sf_dir, "documents"), planted=True))
+
+
 def queries() -> dict:
     return {
         "op1_ordinal_quality": op1_ordinal_quality,
@@ -70,6 +74,7 @@ def queries() -> dict:
         "op8_ppm_scoring": op8_ppm_scoring,
         "op9_simhash_near_dedup": op9_simhash_near_dedup,
         "op10_sentencepiece": op10_sentencepiece,
+        "op13_periodic_runs": op13_periodic_runs,
     }
 
 
