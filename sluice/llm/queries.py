@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import graph_ann, licences, line_dedup, mixing, ordinal, periods, pieces, pivots, ppm, simhash, suffix_dedup
+from . import graph_ann, licences, line_dedup, mixing, ordinal, periods, pieces, pivots, ppm, simhash, suffix_dedup, whitening
 from .common import read
 
 
@@ -58,6 +58,10 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(read(spark, sf_dir, "documents"))
 
 
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read(spark, sf_dir, "embeddings"), components=16, scale=64, offset=1_000_000)
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periods.digests(periods.find(read(spark, sf_dir, "documents"), planted=True))
 
@@ -74,6 +78,7 @@ def queries() -> dict:
         "op8_ppm_scoring": op8_ppm_scoring,
         "op9_simhash_near_dedup": op9_simhash_near_dedup,
         "op10_sentencepiece": op10_sentencepiece,
+        "op12_embedding_whitening": op12_embedding_whitening,
         "op13_periodic_runs": op13_periodic_runs,
     }
 
