@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import graph_ann, licences, line_dedup, mixing, ordinal, periods, pieces, pivots, ppm, simhash, suffix_dedup, whitening
+from . import graph_ann, licences, line_dedup, mixing, ordinal, periods, pieces, pivots, ppm, set_join, simhash, suffix_dedup, whitening
 from .common import read
 
 
@@ -58,6 +58,10 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(read(spark, sf_dir, "documents"))
 
 
+def op11_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return set_join.groups(read(spark, sf_dir, "documents"), per_cent=80, words=5)
+
+
 def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(read(spark, sf_dir, "embeddings"), components=16, scale=64, offset=1_000_000)
 
@@ -78,6 +82,7 @@ def queries() -> dict:
         "op8_ppm_scoring": op8_ppm_scoring,
         "op9_simhash_near_dedup": op9_simhash_near_dedup,
         "op10_sentencepiece": op10_sentencepiece,
+        "op11_ngram_jaccard": op11_ngram_jaccard,
         "op12_embedding_whitening": op12_embedding_whitening,
         "op13_periodic_runs": op13_periodic_runs,
     }
@@ -91,4 +96,13 @@ def oracle_sql() -> dict[str, str]:
             r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
             SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
         "op7_licence_scan": licences.oracle(),
+        "op11_ngram_jaccard": r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+            s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] ELSE list_transform(range(greatest(len(w) - 4, 1)), lambda i: hash(array_to_string(w[i + 1 : i + 5], ' '))) END) AS h FROM w),
+            n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+            c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM s a JOIN s b ON a.h = b.h AND a.doc_id <> b.doc_id GROUP BY ALL),
+            l AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 80 * (x.n + y.n - i)),
+            r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b),
+            m AS (SELECT a, min(b) AS b FROM r GROUP BY a), k AS (SELECT a, count(*) AS k FROM l GROUP BY a)
+            SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(k.k, 0) AS n_links, least(d.doc_id, coalesce(m.b, d.doc_id)) AS component_id
+            FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN m ON m.a = d.doc_id LEFT JOIN k ON k.a = d.doc_id""",
     }
