@@ -639,4 +639,4 @@ def commute_enrich(spark, sf_dir):
 
 
 # Queries of jobs, fields and stored state register themselves when they are imported.
-from sluice.plans import field_queries, job_queries, state_queries  # noqa: E402, F401
+from sluice.plans import field_queries, job_queries, state_queries, text_queries  # noqa: E402, F401
