@@ -1,12 +1,14 @@
-"""Readers of folded prose: mentions that no negation takes back, heating, lift,
-floor and amenities. Each is a short regular expression reader over Arrow
-batches; Java's expressions can't look behind as far as a negation reaches."""
+"""Readers of folded prose: mentions that no negation takes back, heating, lift, floor and
+amenities. Mentions are Column expressions over sentences; the other readers are short
+regular expression readers over Arrow batches."""
 
 from __future__ import annotations
 
 import re
 
 import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 #: Negations up to two words before a mention and right after it, how far
@@ -15,32 +17,51 @@ BEFORE = r"\b(?:pas|non|hors|sans|aucune?|ni|exclus?)\b[ ]*(?:besoin[ ]+d['’](
 AFTER = r"^[ ]*[(:,]?[ ]*(?:non\b|exclus?\b|refuses?\b|n['’]est pas\b|pas (?:possible|accepte|envisage)|(?:[^ .\n]+[ ]+)?s['’]abstenir|not accepted|excluded)"
 WINDOW = 40
 NEGATIONS = r"\b(?:sans|pas|non|aucune?|ni|jamais|hors)\b"
-_BEFORE, _AFTER = re.compile(BEFORE), re.compile(AFTER)
 
 
-def mentioned(text: str | None, pattern: re.Pattern, window: int = WINDOW) -> bool:
-    """True if the pattern occurs in folded text with no negation beside it: up to two
-    words before it in its own sentence, or right after it. Every occurrence is tried."""
-    for m in pattern.finditer(text or ""):
-        before = re.split(r"\n|\. ", text[max(0, m.start() - window) : m.start()])[-1]
-        if not _BEFORE.search(before) and not _AFTER.search(text[m.end() : m.end() + window]):
-            return True
-    return False
+def let(value: Column, body) -> Column:
+    """What ``body`` makes of a value that is worked out once, however often it is used."""
+    return F.transform(F.array(value), body)[0]
 
 
-def hits(text: str | None, terms: dict[str, re.Pattern]) -> list[str]:
-    """Labels of the terms that are mentioned, in their order."""
-    return [label for label, pattern in terms.items() if mentioned(text, pattern)]
+def sentences(text: Column) -> Column:
+    """Folded text by its lines and full stops."""
+    return F.split(text, r"\n|\. ")
 
 
-def mention(pattern: str, window: int = WINDOW):
-    """Column function: does the folded text mention the pattern un-negated?"""
-    compiled = re.compile(pattern)
+def occurrences(sentence: Column, pattern: str, before: int, after: int) -> Column:
+    """(before, word, after) of each place in a sentence where the pattern holds, with so
+    many characters at most on either side."""
+    words, rest = F.regexp_extract_all(sentence, F.lit(pattern), F.lit(0)), F.split(sentence, pattern, -1)
+    length = lambda parts: F.aggregate(parts, F.lit(0), lambda n, part: n + F.length(part))
+
+    def place(word: Column, i: Column) -> Column:
+        at = length(F.slice(rest, F.lit(1), i + 1)) + length(F.slice(words, F.lit(1), i))
+        left = F.substring(sentence, F.greatest(at - before, F.lit(0)) + 1, F.least(at, F.lit(before)))
+        return F.struct(left.alias("before"), word.alias("word"), F.substring(sentence, at + F.length(word) + 1, F.lit(after)).alias("after"))
+
+    return F.transform(words, place)
+
+
+def last_of(text: Column, cues: dict[str, str]) -> Column:
+    """The name of the cue that comes last in a text, null if none does."""
+    # As much as can stand before a cue is left to it, so what follows is the last one.
+    tail = F.regexp_extract(text, f"(?s)^.*((?:{'|'.join(cues.values())}).*)$", 1)
+    return let(tail, lambda t: F.coalesce(*[F.when(t.rlike(f"^(?:{pattern})"), F.lit(name)) for name, pattern in cues.items()]))
 
-    def read(text: pd.Series) -> pd.Series:
-        return text.map(lambda t: mentioned(t, compiled, window)).astype(bool)
 
-    return _reader("boolean", read)
+def mentions(text: Column, pattern: str, window: int = WINDOW) -> Column:
+    """Does folded text hold the pattern with no negation beside it: up to two words before
+    it in its sentence, or right after it? Every occurrence is tried."""
+    open_ = lambda o: ~o["before"].rlike(BEFORE) & ~o["after"].rlike(AFTER)
+    stated = lambda s: s.rlike(pattern) & F.exists(occurrences(s, pattern, window, window), open_)
+    # Few texts hold a pattern at all; only those are taken apart.
+    return F.when(text.rlike(pattern), F.exists(sentences(text), stated)).otherwise(False)
+
+
+def mention(pattern: str, window: int = WINDOW):
+    """Column function: does the folded text mention the pattern un-negated?"""
+    return lambda text: mentions(text, pattern, window)
 
 
 #: A mention of hail, and a negation up to two words before it.
@@ -157,8 +178,6 @@ def _amenities(text: pd.Series) -> pd.Series:
     return text.map(amenities)
 
 
-
-
 heating_of = _reader("struct<mode:string,energy:string>", _heating)
 lift_of = _reader("boolean", _lift)
 floor_of = _reader("int", _floor)
@@ -166,7 +185,6 @@ amenities_of = _reader("array<string>", _amenities)
 hail_of = _reader("boolean", lambda text: text.map(hail).astype(bool))
 
 
-def hits_of(text, terms: dict[str, str]):
-    """Column: labels of the terms that folded text mentions without a negation."""
-    compiled = {label: re.compile(pattern) for label, pattern in terms.items()}
-    return _reader("array<string>", lambda texts: texts.map(lambda t: hits(t, compiled)))(text)
+def hits_of(text: Column, terms: dict[str, str]) -> Column:
+    """Labels of the terms that folded text mentions without a negation, in their order."""
+    return F.array_compact(F.array(*[F.when(mentions(text, pattern), F.lit(label)) for label, pattern in terms.items()]).cast("array<string>"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sluice.operators.rank import place
+
 #: Entries that one announcement holds.
 BATCH = 50
 
@@ -39,7 +41,7 @@ def stale(rows: DataFrame, tenures: tuple[str, ...] = ("UNKNOWN",)) -> DataFrame
     """Rows whose class is missing or one of ``tenures``, to be judged again, with their
     place: the latest seen first."""
     open_ = rows.where(F.col("tenure").isNull() | F.col("tenure").isin(*tenures))
-    return open_.withColumn("place", F.row_number().over(Window.orderBy(F.desc("seen"), "key")))
+    return place(open_, [F.desc("seen"), F.col("key")], "place")
 
 
 def sendable(entries: DataFrame, refused: DataFrame) -> DataFrame:
@@ -61,10 +63,12 @@ def daily_drain(rows: DataFrame, refused: DataFrame, push_min: int, delivered_:
     open_ = rows.where(F.col("notified_at").isNull() & F.col("outcome").isin("MATCH", "DIGEST"))
     open_ = open_.join(refused.where("route is not null").select("key", F.lit(True).alias("no")), "key", "left")
     queue = F.when(F.col("no"), "refused").when((F.col("outcome") == "MATCH") & (F.col("score") >= push_min), "retry").when(F.col("outcome") == "MATCH", "rollup").otherwise("digest")
-    place = F.row_number().over(Window.partitionBy("queue").orderBy("seen", "key"))
+    out = open_.withColumn("queue", queue).select("key", "seen", "queue")
     batched = F.col("queue").isin("rollup", "digest")
-    out = open_.withColumn("queue", queue).withColumn("place", place)
-    out = out.withColumn("action", F.when(batched & (F.col("place") > limit), "overflow").otherwise(F.col("queue")))
+    # The first of either queue are two top-ks; nothing else has to be put in order.
+    first = [out.where(F.col("queue") == q).orderBy("seen", "key").limit(limit).select("key", F.lit(True).alias("first")) for q in ("rollup", "digest")]
+    out = out.join(F.broadcast(first[0].union(first[1])), "key", "left")
+    out = out.withColumn("action", F.when(batched & F.col("first").isNull(), "overflow").otherwise(F.col("queue")))
     sent = F.lit(delivered_) & batched & (F.col("action") == F.col("queue"))
     return out.select("key", "action", F.when(F.col("action") == "retry", "MATCH").when(sent, F.upper("queue")).alias("kind"))
 

@@ -67,8 +67,9 @@ def verdicts(runs: DataFrame, now: int | Column, feed_silent_days: int | None =
         F.min_by("mean", F.when(F.col("id") > F.col("other"), F.col("id"))).alias("mean_before"),
         F.min_by("productive", F.when(F.col("id") > F.col("other"), F.col("id"))).alias("productive_before"),
     )
-    at = F.lit(now)
+    runs, at = runs.withColumn("__now", F.lit(now)), F.col("__now")
     whole = runs.groupBy("source").agg(
+        F.max(at).alias("__now"),
         F.max(F.when(F.col("at") <= at, F.col("at"))).alias("credible"),
         (F.max("at") - F.min("at")).alias("span"),
         F.sum(F.col("ok").cast("long")).alias("good"),

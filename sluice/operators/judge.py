@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sluice.functions.prose import let
 from sluice.functions.text import commune_key, fold
 
 
@@ -133,10 +134,9 @@ def in_place(commune: Column, postcode: Column, c: RentCriteria) -> Column:
     return evidence & F.when(commune.isNull(), by_prefix).otherwise(listed)
 
 
-def excluded_kind(title: Column, description: Column, c: RentCriteria) -> Column:
-    """The first pattern that tells another kind of property: in the title, then in title
-    and description; null if none does."""
-    head, both = fold(title), fold(F.concat_ws("\n", title, description))
+def excluded_kind(head: Column, both: Column, c: RentCriteria) -> Column:
+    """The first pattern that tells another kind of property: in the folded title, then in
+    folded title and description; null if none does."""
     return F.coalesce(*[F.when(head.rlike(p), F.lit(p)) for p in c.title_excludes], *[F.when(both.rlike(p), F.lit(p)) for p in c.text_excludes], F.lit(None).cast("string"))
 
 
@@ -157,7 +157,10 @@ def rent_judge(flats: DataFrame, c: RentCriteria) -> DataFrame:
     digest. flats has class_outcome, tenure, commune, postcode, title, description
     and what rent_verdict() needs."""
     rows = rent_verdict(flats, c).withColumnRenamed("outcome", "__sized")
-    kind = excluded_kind(F.col("title"), F.col("description"), c)
+    rows = rows.withColumns({"__title": fold(F.col("title")), "__text": fold(F.concat_ws("\n", "title", "description"))})
+    # Folded once: a value that is worked out in a step of its own is not put into its uses.
+    rows = rows.withColumn("__kind", let(F.struct("__title", "__text"), lambda t: excluded_kind(t["__title"], t["__text"], c)))
+    kind = F.col("__kind")
     reject = F.coalesce(
         F.when(F.col("class_outcome") == "REJECT", F.concat(F.lit("tenure: "), "tenure")),
         F.when(F.col("commune").isNull() & F.col("postcode").isNull(), "no location"),
@@ -167,7 +170,7 @@ def rent_judge(flats: DataFrame, c: RentCriteria) -> DataFrame:
     )
     doubt = F.when(F.col("class_outcome") == "DIGEST", "class").when(F.col("__sized") == "DIGEST", "price")
     out = rows.withColumn("reason", F.coalesce(reject, doubt))
-    return out.withColumn("outcome", F.when(reject.isNotNull(), "REJECT").when(doubt.isNotNull(), "DIGEST").otherwise("MATCH")).drop("__sized")
+    return out.withColumn("outcome", F.when(reject.isNotNull(), "REJECT").when(doubt.isNotNull(), "DIGEST").otherwise("MATCH")).drop("__sized", "__title", "__text", "__kind")
 
 
 def effective_rent(cc: Column, hc: Column, charges: Column) -> Column:

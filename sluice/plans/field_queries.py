@@ -23,15 +23,14 @@ def sql_turn(values, key: str) -> str:
 #: (raw value, whole number, yes or no, floor)
 _RAW = (
     ("1 450 €", 1450, None, None), ("1450,60", 1451, None, None), ("oui", None, True, None), ("Sans", None, False, None), ("RDC", None, None, 0),
-    ("3 pièces - 4ème étage - 82m²", None, None, 4), ("au 3? étage d'un immeuble de 4 étages", None, None, None), ("-1", -1, None, -1), ("1", 1, True, 1), ("rez-de-chaussée", None, None, 0), (" ascenseur ", None, True, None), ("0", 0, False, 0),
+    ("3 pièces - 4ème étage - 82m²", 3, None, 4), ("au 3? étage d'un immeuble de 4 étages", 3, None, None), ("-1", -1, None, -1), ("1", 1, True, 1), ("rez-de-chaussée", None, None, 0), (" ascenseur ", None, True, None), ("0", 0, False, 0),
 )
 
 
-@query(f"SELECT o_orderkey AS id, CASE WHEN o_orderkey % 12 IN (5, 6) THEN NULL ELSE {sql_turn([r[1] for r in _RAW], 'o_orderkey')} END AS whole, {sql_turn([None if r[2] is None else str(r[2]) for r in _RAW], 'o_orderkey')}::BOOLEAN AS yes, {sql_turn([r[3] for r in _RAW], 'o_orderkey')} AS floor FROM orders")
+@query(f"SELECT o_orderkey AS id, {sql_turn([r[1] for r in _RAW], 'o_orderkey')} AS whole, {sql_turn([None if r[2] is None else str(r[2]) for r in _RAW], 'o_orderkey')}::BOOLEAN AS yes, {sql_turn([r[3] for r in _RAW], 'o_orderkey')} AS floor FROM orders")
 def coerced_fields(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), turn([r[0] for r in _RAW], "o_orderkey").alias("raw"))
-    # The two card headings lead with another figure and are only read as floors.
-    return o.select("id", F.when(~(F.col("id") % 12).isin(5, 6), coerce.int_of(F.col("raw"))).cast("int").alias("whole"), coerce.bool_of(F.col("raw")).alias("yes"), coerce.floor_field(F.col("raw")).alias("floor"))
+    return o.select("id", coerce.int_of(F.col("raw")).cast("int").alias("whole"), coerce.bool_of(F.col("raw")).alias("yes"), coerce.floor_field(F.col("raw")).alias("floor"))
 
 
 _BOXED = (('["AVON"]', "AVON"), ('["", "n/a", "Lyon"]', "Lyon"), ('{"name": "AVON"}', None), ("[[1], 2]", "2"), ("[0]", "0"), ("[]", None), ("plain", "plain"), ("[false]", "false"))

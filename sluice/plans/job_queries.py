@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sluice.operators import jobs
 from sluice.plans.registry import query
-from sluice.plans.views import table
+from sluice.plans.views import spread, table
 
 TITLES = ("Développeur PHP senior", "Lead developer Java (H/F)", "Stage développeur web", "Ingénieur logiciel confirmé", "Chef de cuisine", "Développeur junior alternance", "Tech lead Symfony remote", "")
 DESCRIPTIONS = (
@@ -73,7 +73,7 @@ _JUDGED = (
 
 def offers(spark, sf_dir):
     """Orders as job offers."""
-    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"))
+    o = spread(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key")))
     turn = lambda values, place: F.element_at(F.array(*map(F.lit, values)), (place + 1).cast("int"))
     every = lambda n, value: F.when(F.col("key") % n == 0, value)
     return o.select(

@@ -112,9 +112,9 @@ def unreadable_rows(spark, sf_dir):
     return store.unreadable(e, "j").groupBy("type").agg(F.count("*").alias("n"))
 
 
-@query("SELECT p_partkey AS id, 1700000000 AS notified_at FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 30)")
+@query("SELECT p_partkey AS id, 1700000000 AS notified_at FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 49 AND l_discount > 0.08)")
 def seeded_index(spark, sf_dir):
-    known = table(spark, sf_dir, "lineitem").where("l_quantity > 30").select(F.col("l_partkey").alias("id"))
+    known = table(spark, sf_dir, "lineitem").where("l_quantity > 49 and l_discount > 0.08").select(F.col("l_partkey").alias("id"))
     return store.seeded(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id")), known, F.lit(1_700_000_000))
 
 

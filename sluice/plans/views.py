@@ -10,6 +10,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores: a small table in one file would be one task, which is slow
+    where texts are read. A table of more parts than cores stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def cars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as car listings; small sizes have no known age, one type no known body."""
     part = table(spark, sf_dir, "part")
@@ -39,10 +46,10 @@ CARS_SQL = """cars AS (SELECT p_partkey AS key, p_retailprice AS price,
 
 def flats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as rental listings; a discount of none leaves the rent unknown, a tax
-    of none the floor. The id puts order, line, part and supplier side by side."""
+    of none the floor. The id is a digest of order, line, part and supplier, 60 bits of it."""
     item = table(spark, sf_dir, "lineitem")
     return item.select(
-        (((F.col("l_orderkey").cast("long") * 10 + F.col("l_linenumber")) * 100_000 + F.col("l_partkey")) * 1000 + F.col("l_suppkey")).cast("long").alias("id"),
+        F.conv(F.left(F.md5(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").cast("binary")), F.lit(15)), 16, 10).cast("long").alias("id"),
         F.col("l_partkey").cast("string").alias("commune"),
         F.when(F.col("l_discount") > 0, F.col("l_extendedprice")).alias("rent"),
         F.col("l_quantity").alias("surface"),
@@ -53,7 +60,7 @@ def flats(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-FLATS_SQL = """flats AS (SELECT CAST(((CAST(l_orderkey AS BIGINT) * 10 + l_linenumber) * 100000 + l_partkey) * 1000 + l_suppkey AS BIGINT) AS id, CAST(l_partkey AS VARCHAR) AS commune,
+FLATS_SQL = """flats AS (SELECT CAST('0x' || left(md5(concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey)), 15) AS BIGINT) AS id, CAST(l_partkey AS VARCHAR) AS commune,
   CASE WHEN l_discount > 0 THEN l_extendedprice END AS rent, l_quantity AS surface, l_linenumber AS rooms,
   CASE WHEN l_tax > 0 THEN CAST(round(l_tax * 100) AS INTEGER) END AS floor, l_returnflag AS source,
   CASE WHEN l_linestatus = 'O' THEN 'institutional' ELSE 'private' END AS family FROM lineitem),

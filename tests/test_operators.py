@@ -124,35 +124,76 @@ def test_prose_readers():
     assert prose.hail("vehicule grele") and not prose.hail("non grele") and not prose.hail("sans grele") and not prose.hail("aucune trace de grele")
 
 
-def test_mentions():
-    import re
-
-    balcony, freelance = re.compile(r"\bbalcon\b"), re.compile(r"\bfreelance\b")
-    assert prose.mentioned("pas de vis a vis mais un grand et beau balcon", balcony)
-    assert not prose.mentioned("pas de grand balcon", balcony) and not prose.mentioned("freelance non accepte", freelance)
-    assert prose.mentioned("sans cave. balcon", balcony) and prose.mentioned("pas de balcon\nun balcon", balcony)
-    assert not prose.mentioned("freelances s'abstenir", re.compile(r"\bfreelances\b")) and not prose.mentioned(None, balcony)
-
-
-def test_pay():
-    from sluice.functions.pay import Pay, pay
-
-    assert pay("salaire 45-55 k€ brut") == [Pay("salary", "gross", "year", 45_000, 55_000)]
-    assert pay("tjm 500 €/jour") == [Pay("tjm", "ht", "day", 500, 500)] and pay("600 € ttc par jour") == [Pay("tjm", "ht", "day", 500, 500)]
-    assert pay("12 €/h") == [] and pay("prime 3 000 € par mois") == [] and pay("ref 850\n1 450 € par mois") == [Pay("salary", "gross", "month", 1450, 1450)]
-    assert pay("salaire 60000") == [] and pay("55k utilisateurs") == [] and pay("5 € par an") == [] and pay(None) == []
-    assert pay("variable jusqu'a 10 k€. salaire fixe entre 60 et 70 k€") == [Pay("salary", "gross", "year", 60_000, 70_000)]
-    assert pay("salaire 40 k€ net. salaire 40 k€ net") == [Pay("salary", "net", "year", 40_000, 40_000)]
-
-
-def test_jobs():
+def values(spark, rows, schema, *columns):
+    """What the columns make of each row."""
+    return [tuple(r) for r in spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], f"i int, {schema}").select("i", *columns).orderBy("i").drop("i").collect()]
+
+
+def test_mentions(spark):
+    balcony, freelance = r"\bbalcon\b", r"\bfreelances?\b"
+    cases = {
+        "pas de vis a vis mais un grand et beau balcon": True, "pas de grand balcon": False, "sans cave. balcon": True, "pas de balcon\nun balcon": True,
+        "pas de balcon, pas de balcon": False, "balcon exclu, ni cave": False, "balcons": False, "": False, None: False, f"sans {'x' * 37} balcon": True,
+    }
+    assert values(spark, [(t,) for t in cases], "t string", prose.mentions(F.col("t"), balcony)) == [(v,) for v in cases.values()]
+    assert values(spark, [("freelance non accepte",), ("freelances s'abstenir",), ("freelance",)], "t string", prose.mentions(F.col("t"), freelance)) == [(False,), (False,), (True,)]
+    found = values(spark, [("pas de balcon. cave",), ("rien",), (None,)], "t string", prose.hits_of(F.col("t"), {"balcon": balcony, "cave": r"\bcave\b"}))
+    assert found == [(["cave"],), ([],), ([],)]
+
+
+def test_occurrences_and_last_cue(spark):
+    got = values(spark, [("ab12cd345 6",), ("none",), ("",)], "t string", prose.occurrences(F.col("t"), r"\d+", 3, 2))
+    assert [[tuple(o) for o in r[0]] for r in got] == [[("ab", "12", "cd"), ("2cd", "345", " 6"), ("45 ", "6", "")], [], []]
+    cues = {"pay": r"\bsalaire\b", "other": r"\bprimes?\b"}
+    assert values(spark, [("salaire, prime",), ("prime ou salaire",), ("rien",)], "t string", prose.last_of(F.col("t"), cues)) == [("other",), ("pay",), (None,)]
+
+
+#: What a text states as (kind, basis, period, low, high).
+PAY = {
+    "45 000 € - 55 000 € brut annuel": [("salary", "gross", "year", 45_000, 55_000)],
+    "Rémunération : 3 500 € brut par mois": [("salary", "gross", "month", 3_500, 3_500)],
+    "Salaire : 55-65k€": [("salary", "gross", "year", 55_000, 65_000)],
+    "1.150 EUR par mois": [("salary", "gross", "month", 1_150, 1_150)],
+    "entre 62,5 k€ et 70 k€ par an": [("salary", "gross", "year", 62_500, 70_000)],
+    "TJM : 550 € HT": [("tjm", "ht", "day", 550, 550)],
+    "Freelance 500-600 €/jour": [("tjm", "ht", "day", 500, 600)],
+    "TJM 600 € TTC": [("tjm", "ht", "day", 500, 500)],
+    "2 800 € net par mois": [("salary", "net", "month", 2_800, 2_800)],
+    "Package de 70 k€ par an": [("salary", "package", "year", 70_000, 70_000)],
+    "package 75k€": [("salary", "package", "year", 75_000, 75_000)],
+    "Salaire : 60-70 k€ par an, bonus de 20 k€ par an": [("salary", "gross", "year", 60_000, 70_000)],
+    "CDI 60-70 k€ par an ou freelance 550 €/jour": [("salary", "gross", "year", 60_000, 70_000), ("tjm", "ht", "day", 550, 550)],
+    "ref 850\n1 450 € par mois": [("salary", "gross", "month", 1_450, 1_450)],
+    "variable jusqu'à 10 k€. salaire fixe entre 60 et 70 k€": [("salary", "gross", "year", 60_000, 70_000)],
+    "Entre 44 k € et 70 k € par an. Salaire entre 44 k € et 70 k € par an": [("salary", "gross", "year", 44_000, 70_000)],
+    "salaire brut ou net 40 k€": [("salary", "net", "year", 40_000, 40_000)],
+    "25 €/h": [], "TJM : 125 €/h": [], "BSPCE 20 k€": [], "variable jusqu'à 10 k€ par an": [], "prime de 1 500 € par an": [],
+    "Salaire selon profil, primes jusqu'à 20 000 € par an": [], "levée de 15 M€": [], "55k utilisateurs": [], "3-5 ans d’expérience": [],
+    "Navigo remboursé à 50 %": [], "Salaire 60000": [], "budget de 45 000 €": [], "5 € par an": [], "poste 45\n800 € par an": [], None: [], "": [],
+}
+
+
+def test_pay(spark):
+    from sluice.functions.pay import pay
+
+    got = values(spark, [(t,) for t in PAY], "t string", pay(text.fold(F.col("t"))))
+    assert [[tuple(line) for line in r[0]] for r in got] == list(PAY.values())
+
+
+def test_jobs(spark):
     from sluice.operators import jobs
 
-    assert jobs.contracts("stage developpeur", "nous accueillons des alternants et des stages, pas de cdd") == ["stage"]
-    assert jobs.contracts("", "portage ou freelance", ["contractuel", None, "cdi"]) == ["cdi", "contractuel", "freelance", "portage"]
-    assert jobs.work_mode("dev", "dev\n3 jours sur site", "hybrid") == ("hybrid", 2.0) and jobs.work_mode("dev remote", "dev remote\nsur site uniquement") == (None, None)
-    assert jobs.work_mode("dev", "dev\nteletravail : 5 jours") == ("remote", 5.0) and jobs.work_mode("dev", "dev\n2 jours de teletravail par mois") == (None, None)
-    assert jobs.work_mode("dev", "dev\nremote teams") == (None, None)
+    rows = [("stage developpeur", "nous accueillons des alternants et des stages, pas de cdd", None), ("", "portage ou freelance", ["Contractuel", None, " ", "CDI"])]
+    assert values(spark, rows, "t string, d string, stated array<string>", jobs.contracts(F.col("t"), F.col("d"), F.col("stated"))) == [(["stage"],), (["cdi", "contractuel", "freelance", "portage"],)]
+    modes = [
+        ("dev", "3 jours sur site", "hybrid", "hybrid", 2.0), ("dev remote", "sur site uniquement", None, None, None), ("dev", "teletravail : 5 jours", None, "remote", 5.0),
+        ("dev", "2 jours de teletravail par mois", None, None, None), ("dev", "remote teams", None, None, None), ("dev", "full remote, hybride, 3 jours en teletravail", None, "hybrid", 3.0),
+        ("dev", "full remote ou hybride", None, None, None), ("dev", "cinq jours au bureau", None, "onsite", 0.0), ("dev", "hybride", None, "hybrid", None), ("dev", "deux jours par semaine de remote", "onsite", "onsite", 0.0),
+        ("dev", "5 jours sur site", "hybrid", "hybrid", None), ("dev", "pas de full remote", None, None, None),
+    ]
+    whole = F.concat_ws("\n", "t", "d")
+    found = values(spark, [m[:3] for m in modes], "t string, d string, m string", jobs.work_mode(F.col("t"), whole, F.col("m"), jobs.remote_days(whole)))
+    assert [tuple(r[0]) for r in found] == [m[3:] for m in modes]
     with pytest.raises(ValueError):
         jobs.JobCriteria({"stack": 100}, 1, 2, 1, 2)
 
