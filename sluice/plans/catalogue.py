@@ -11,7 +11,7 @@ from sluice.functions import prose, text
 from sluice.operators import classify, drains, health, history, judge, match
 from sluice.plans.registry import QUERIES, SQL, query, sql_fold, sql_list
 from sluice.plans.views import CARS_SQL, FLATS_SQL, PRICES_SQL, QUEUE_SQL, RUNS_SQL, cars, flats, prices, queue, runs, table
-from sluice.sources import mail, pages
+from sluice.sources import mail, pages, selectors
 
 
 
@@ -557,9 +557,14 @@ def html_attrs(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", pages.attribute(F.col("html"), "html", "lang").alias("lang"))
 
 
-@query()
+@query(r"""WITH c AS (SELECT page_id, unnest(regexp_extract_all(html, '<li><a href="[^"]*">[^<]*</a></li>')) AS card, generate_subscripts(regexp_extract_all(html, '<li><a href="[^"]*">[^<]*</a></li>'), 1) - 1 AS place FROM pages)
+  SELECT page_id, CAST(place AS INTEGER) AS place, nullif(regexp_extract(card, 'href="([^"]*)"', 1), '') AS href, nullif(trim(regexp_extract(card, '>([^<]*)</a>', 1)), '') AS words,
+    nullif(regexp_extract(card, '>[^<]*?([a-z]{3})[^<]*</a>', 1), '') AS letters, CASE WHEN place = 0 THEN nullif(trim(regexp_extract(card, '>([^<]*)</a>', 1)), '') END AS first, NULL AS missing FROM c""")
 def html_cards(spark, sf_dir):
-    return pages.cards(table(spark, sf_dir, "pages"), "li")
+    """The items of the menu of every page, by selectors; the id stands for the page's address."""
+    p = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("url"), "html")
+    found = selectors.select(p, "nav > ul > li", {"href": "a[href]@href", "words": "", "letters": "li a => ([a-z]{3})", "first": "li:first-child > a", "missing": ".none@title"})
+    return found.select(F.col("url").cast("long").alias("page_id"), "place", *[F.col("fields")[n].alias(n) for n in ("href", "words", "letters", "first", "missing")])
 
 
 #: Rules of every host: whether a path is allowed, and its pattern.

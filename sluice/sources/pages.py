@@ -74,6 +74,7 @@ class _Cards(HTMLParser):
     def handle_starttag(self, tag, attrs):
         given = dict(attrs)
         if not self.depth:
+            # What can't close can't hold anything either: it is a card of its own.
             if tag != self.tag or (self.css and self.css not in (given.get("class") or "").split()):
                 return
             self.cards.append({"_text": []} | {f"attr.{k}": v or "" for k, v in given.items() if not k.startswith("data-")})
@@ -86,6 +87,8 @@ class _Cards(HTMLParser):
                 card.setdefault(f"data.{name[5:]}", value or "")
             elif name == "href":
                 card.setdefault("href", value or "")
+        if self.tag in self.VOID:
+            self.depth = 0
 
     def handle_endtag(self, tag):
         if self.depth and tag == self.tag:

@@ -3,8 +3,8 @@ import pytest
 from sluice.plans import catalogue
 from tests.compare import check
 
-#: What these read has no SQL of its own: cards of a page and classes out of prose.
-READERS = {"html_cards", "tenure_classify", "vehicle_classify"}
+#: What these read has no SQL of its own: classes out of prose.
+READERS = {"tenure_classify", "vehicle_classify"}
 
 
 @pytest.mark.parametrize("name", sorted(catalogue.oracle_sql()))
