@@ -60,6 +60,22 @@ def unescaped(text: Column) -> Column:
     return pandas_udf(read, "string")(text)
 
 
+def unescaped_each(texts: Column) -> Column:
+    """Entities of every text of an array decoded as in unescaped()."""
+
+    def passes(t):
+        for _ in range(3):
+            t, before = html.unescape(t), t
+            if t == before:
+                break
+        return t
+
+    def read(rows: pd.Series) -> pd.Series:
+        return rows.map(lambda row: [t if t is None or "&" not in t else passes(t) for t in row], na_action="ignore")
+
+    return pandas_udf(read, "array<string>")(texts)
+
+
 def tolerant_fold(text: Column) -> Column:
     """Decoded and folded; null if it stays unreadable."""
     return readable_fold(unescaped(text))

@@ -14,7 +14,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from sluice.functions.text import field_key, fold
+from sluice.functions.coerce import code_list
+from sluice.functions.prose import let
+from sluice.functions.text import ACCENTED, ENTITY, FOLDED, field_key, fold, inflected, unescaped_each
 
 #: Classes that are never announced, and those that may be.
 EXCLUDED = ("PLS", "PLUS", "PLAI", "ANRU", "ANAH", "CONVENTIONNE", "SOCIAL")
@@ -72,6 +74,35 @@ BASE = {1: 97, 2: 90, 3: 80, 4: 70, 5: 50}
 SIGNAL = "array<struct<tier:int,tenure:string,position:int,length:int>>"
 
 
+#: Phrases that a word for without takes back, and the acronym that is also a word.
+TAKEN_BACK = ("commission d'attribution", "commission attribution")
+AMBIGUOUS = "plus"
+#: Letters from which on a phrase is looked for without its gaps.
+PACKED = 8
+
+
+def _excluded_pattern() -> str:
+    """All phrases that name a class that is not eligible, in one expression for folded text."""
+    phrases = sorted((p for table in (LABELS, PROCEDURAL) for p, tenure in table.items() if tenure not in ELIGIBLE), key=lambda p: (-len(p), p))
+    back = r"(?<!sans )(?<!sans passage en )"
+    found = [(back if p in TAKEN_BACK else "") + inflected(p, separators=True) for p in phrases]
+    return "|".join([*found, rf"(?<![a-z0-9]){AMBIGUOUS}(?![a-z0-9])"])
+
+
+def excluded_word(text: Column) -> Column:
+    """What names a class that is not eligible in a name, an address or a value: in its
+    folded words, in its words with camel case taken apart, or, for phrases of several
+    words, anywhere among its letters and digits. null for nothing or unreadable text."""
+    pattern = _excluded_pattern()
+    packed = {re.sub("[^a-z0-9]", "", p): p for table in (LABELS, PROCEDURAL) for p, tenure in table.items() if tenure not in ELIGIBLE and " " in p}
+    bare = sorted((k for k in packed if len(k) >= PACKED), key=lambda k: (-len(k), k))
+    joined = "|".join(("(?<!sans)" if packed[k] in TAKEN_BACK else "") + k for k in bare)
+    apart = F.regexp_replace(F.regexp_replace(F.translate(text, ACCENTED, FOLDED), "([a-z0-9])([A-Z])", "$1 $2"), "[^A-Za-z0-9]+", " ")
+    found = lambda t, p: F.nullif(F.regexp_extract(t, p, 0), F.lit(""))
+    hit = let(F.struct(fold(text).alias("folded"), fold(apart).alias("apart")), lambda t: F.coalesce(found(t["folded"], f"(?:{pattern})"), found(t["apart"], f"(?:{pattern})"), found(F.regexp_replace(t["folded"], "[^a-z0-9]", ""), f"(?:{joined})")))
+    return F.when(text.rlike(r"\p{L}") & ~text.rlike(ENTITY), F.regexp_replace(hit, r"\s+", " "))
+
+
 def _pattern(phrases) -> re.Pattern:
     longest = sorted(phrases, key=lambda p: (-len(p), p))
     return re.compile(r"(?<![a-z0-9])(" + "|".join(p.replace(".", r"\.").replace(" ", r"\s+") for p in longest) + r")(?:e?s)?(?![a-z0-9])")
@@ -115,20 +146,54 @@ def _read(folded: pd.Series, raw: pd.Series) -> pd.Series:
     return pd.Series([[{"tier": a, "tenure": b, "position": c, "length": d} for a, b, c, d in signals(f, r)] for f, r in zip(folded, raw, strict=True)])
 
 
+#: What identifies a listing and is looked through for words as well, where it is given.
+IDENTITY = ("url", "commune", "postcode", "external_id")
+
+
+def _signal(tier: int, tenure_: str):
+    return F.struct(F.lit(tier).alias("tier"), F.lit(tenure_).alias("tenure"), F.lit(0).alias("position"), F.lit(0).alias("length"))
+
+
+def field_doubts(listings: DataFrame) -> DataFrame:
+    """Adds doubts: the words that name an excluded class in what identifies a listing, in
+    the names of its fields, and in the values of fields that don't state a class; a
+    value that stays unreadable is the doubt ?. The card's own text, and a title or
+    description that the text holds anyway, are not looked through."""
+    given = F.array(*[F.col(c).cast("string") if c in listings.columns else F.lit(None).cast("string") for c in IDENTITY])
+    inside = lambda e: e["key"].isin("title", "description") & (e["value"] != "") & F.contains(F.col("text"), e["value"])
+    entries = F.filter(F.map_entries("fields"), lambda e: (e["key"] != "_text") & ~F.coalesce(inside(e), F.lit(False)))
+    listings = listings.withColumn("__entries", F.coalesce(entries, F.array().cast("array<struct<key:string,value:string>>")))
+    names, values = F.transform("__entries", lambda e: e["key"]), F.transform("__entries", lambda e: e["value"])
+    listings = listings.withColumn("__plain", unescaped_each(F.concat(given, names, values)))
+    n, first = F.size("__entries"), F.lit(len(IDENTITY) + 1)
+    known = F.transform("__entries", lambda e: field_key(e["key"]).isin(*TENURE_FIELDS))
+    of_value = lambda v, stated: F.when(~stated, F.when(v.rlike(ENTITY), "?").otherwise(excluded_word(v)))
+    found = F.concat(
+        F.transform(F.slice("__plain", F.lit(1), first - 1 + n), excluded_word),
+        F.zip_with(F.slice("__plain", first + n, n), known, of_value),
+    )
+    return listings.withColumn("doubts", F.array_compact(found)).drop("__entries", "__plain")
+
+
 def tenure(listings: DataFrame) -> DataFrame:
-    """Adds signals, tenure, confidence and outcome. listings has text, fields
+    """Adds doubts, signals, tenure, confidence and outcome. listings has text, fields
     (map<string,string>), default_tenure (of its source, may be null), mixed
-    (boolean: the source lists several classes) and detail_read (boolean).
-
-    Fields of a known name are tier 1, the default is tier 5 and counts only
-    without any other signal. Excluded is REJECT, unknown is DIGEST, a reading
-    below 60 of a mixed source whose detail was not read is unknown.
+    (boolean: the source lists several classes) and detail_read (boolean), and
+    may have url, commune, postcode and external_id.
+
+    Fields of a known name are tier 1, a list of codes among them with PLUS means that
+    class, and words in any other field or in what identifies the listing are doubts of
+    tier 1. The default is tier 5 and counts only without any other signal. Excluded is
+    REJECT, unknown is DIGEST, a reading below 60 of a mixed source whose detail
+    was not read is unknown.
     """
     named = F.filter(F.map_entries("fields"), lambda e: field_key(e["key"]).isin(*TENURE_FIELDS))
     stated = F.concat_ws("\n", F.transform(named, lambda e: fold(e["value"])))
     read = pandas_udf(_read, SIGNAL)
     by_field = F.transform(read(stated, F.lit("")), lambda s: F.struct(F.lit(1).alias("tier"), s["tenure"].alias("tenure"), s["position"].alias("position"), s["length"].alias("length")))
-    out = listings.withColumn("signals", F.concat(by_field, read(fold(F.col("text")), F.col("text"))))
+    codes = F.transform(F.filter(named, lambda e: code_list(e["value"]) & e["value"].rlike(rf"(?i)(?<![a-z0-9]){AMBIGUOUS}(?![a-z0-9])")), lambda e: _signal(1, "PLUS"))
+    out = field_doubts(listings)
+    out = out.withColumn("signals", F.concat(by_field, codes, F.transform("doubts", lambda d: _signal(1, "UNKNOWN")), read(fold(F.col("text")), F.col("text"))))
     default = F.when((F.size("signals") == 0) & F.col("default_tenure").isNotNull(), F.array(F.struct(F.lit(5).alias("tier"), F.col("default_tenure").alias("tenure"), F.lit(0).alias("position"), F.lit(0).alias("length"))))
     out = out.withColumn("signals", F.coalesce(default, F.col("signals")))
     known = F.filter("signals", lambda s: s["tenure"] != "UNKNOWN")

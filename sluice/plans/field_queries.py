@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sluice.functions import coerce, text
-from sluice.operators import classify, judge, store
+from sluice.operators import ceilings, classify, judge, store
 from sluice.plans.registry import query, sql_fold, sql_list
 from sluice.plans.views import table
 
@@ -220,3 +220,37 @@ def card_lines(spark, sf_dir):
     )
     cards = table(spark, sf_dir, "orders").select(k.alias("id"), card.alias("text"))
     return store.card_lines(cards, "text", r"^(.+?) · ([^(]+?)(?: \((.+)\))?$", "k€").select("id", "title", "company", "location", "mode_word", "pay_text", F.coalesce("labels", F.lit("")).alias("labels"))
+
+
+#: (url, name of a field, its value, doubt, class, outcome) of a listing whose text is a whole document after the words for free letting.
+_TIER1 = (
+    ("https://h/appartement-12", "etage", "3", None, "LIBRE", "MATCH"), ("https://h/logement-social/12", "etage", "3", "logement-social", "UNKNOWN", "DIGEST"), ("https://h/12", "typeHLM", "non", "hlm", "UNKNOWN", "DIGEST"),
+    ("https://h/12", "note", "financementLogementSocial", "logement social", "UNKNOWN", "DIGEST"), ("https://h/12", "note", "commission", None, "LIBRE", "MATCH"), ("https://h/12", "note", "caf&bogus; x", "?", "UNKNOWN", "DIGEST"),
+    ("https://h/12", "Financement", "PLUS/LLI", None, "PLUS", "REJECT"), ("https://h/12", "Type de produit", "pls", None, "PLS", "REJECT"), ("https://h/12", "Financement", "LLI", None, "LLI", "MATCH"),
+)
+
+
+@query(f"""SELECT doc_id, {sql_turn([r[3] for r in _TIER1], 'doc_id')} AS doubt, {sql_turn([r[4] for r in _TIER1], 'doc_id')} AS tenure, {sql_turn([r[5] for r in _TIER1], 'doc_id')} AS outcome FROM documents""")
+def tenure_fields(spark, sf_dir):
+    """Classes of listings out of fields and addresses beside whole texts. A document that has
+    something like a word for a class in it is the value of the card's own text instead."""
+    d = table(spark, sf_dir, "documents").withColumn("own", F.coalesce(F.lower("text").rlike("(hlm|pls|plai|p.l.u.s|anru|anah|sne|plus|lli|convention|social|interm|loyer|libre|caleol|attribution|numero|numéro|plafond|avantage|avec)"), F.lit(True)))
+    of = lambda i: turn([r[i] for r in _TIER1], "doc_id")
+    listings = d.select("doc_id", F.concat(F.lit("Loyer libre\n\n"), F.when(F.col("own"), "").otherwise(F.col("text"))).alias("text"), of(0).alias("url"), F.create_map(of(1), of(2), F.lit("_text"), F.when(F.col("own"), F.col("text")).otherwise("hlm")).alias("fields"), F.lit(None).cast("string").alias("default_tenure"), F.lit(False).alias("mixed"), F.lit(False).alias("detail_read"))
+    return classify.tenure(listings).select("doc_id", F.get("doubts", F.lit(0)).alias("doubt"), "tenure", "outcome")
+
+
+_BANDS_SQL = ", ".join(f"('{z}', '{p}', {n}, '{t}', {a}, {u})" for z, p, n, t, a, u in ceilings.bands())
+
+
+@query(f"""WITH b(zone, place, household, open_class, above, up_to) AS (VALUES {_BANDS_SQL}),
+  h AS (SELECT c_custkey AS id, {sql_turn(("A bis", "A", "B1", "C"), 'c_custkey')} AS zone, {sql_turn(("Paris", "IdF hors Paris"), '(c_custkey // 4)')} AS place, CAST(c_custkey % 7 + 1 AS INTEGER) AS household,
+    CAST({sql_turn((14811, 14812, 26920, 34996, 44344, 44345, 36144, 92900, 92901, 138874, 138875, 31860, 0, 62871, 62872), 'c_custkey')} + abs(floor(c_acctbal)) * (c_custkey % 5) AS INTEGER) AS income FROM customer)
+  SELECT id, (SELECT open_class FROM b WHERE b.zone = h.zone AND b.place = h.place AND b.household = least(h.household, 6) AND income > above AND income <= up_to) AS open_class FROM h""")
+def income_bands(spark, sf_dir):
+    """Incomes at both ends of the bands and in between."""
+    k = F.col("c_custkey")
+    income = turn((14811, 14812, 26920, 34996, 44344, 44345, 36144, 92900, 92901, 138874, 138875, 31860, 0, 62871, 62872), "c_custkey") + F.abs(F.floor("c_acctbal")) * (k % 5)
+    place = F.element_at(F.array(F.lit("Paris"), F.lit("IdF hors Paris")), (F.floor(k / 4) % 2 + 1).cast("int"))
+    h = table(spark, sf_dir, "customer").select(k.alias("id"), turn(("A bis", "A", "B1", "C"), "c_custkey").alias("zone"), place.alias("place"), (k % 7 + 1).cast("int").alias("household"), income.cast("int").alias("income"))
+    return ceilings.open_to(h).select("id", "open_class")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from sluice.operators.history import fold_arrivals
+from sluice.plans.session import cut
 
 OUT = "key long, seen timestamp, price double, title string, n_late long"
 STATE = "seen timestamp, price double, title string, n_late long"
@@ -29,25 +31,55 @@ def fold_stream(observations: DataFrame, late: str = "fill") -> DataFrame:
     return observations.groupBy("key").applyInPandasWithState(step, OUT, STATE, "update", GroupStateTimeout.NoTimeout)
 
 
-def announce(frame: DataFrame, send: Callable[[DataFrame, int], DataFrame], log_path: str, checkpoint: str):
-    """Starts a query that sends what isn't in the log yet and logs only what the
-    channels confirm: (key, kind, at). A batch that is repeated after a failure
-    finds its confirmed keys in the log and sends the rest."""
+#: Kinds of announcement, a higher one after a lower one is news.
+RANKS = ("DIGEST", "MATCH")
+LOG = "key long, kind string, at timestamp, channel string, stream string, batch long"
+
+
+def announce(frame: DataFrame, channels: dict[str, Callable[[DataFrame, int], DataFrame]], log_path: str, checkpoint: str, delivered: Callable[[str, DataFrame], DataFrame] | None = None):
+    """Starts a query that sends each row of ``frame`` (key, kind) once over every channel.
+
+    A batch has two phases for a channel: what is to be sent is written down as intended,
+    then it is sent, and what the channel confirms is written down as announced. A key
+    that was announced there in a kind as high or higher is left out; one key in a batch
+    counts once, in its highest kind. A batch that is repeated after a failure finds
+    its intentions: rows that were intended and not confirmed may have been sent. They are
+    sent again only if ``delivered`` (of a channel and those rows, it gives those that
+    arrived) says that they didn't arrive; without it they count as sent. Rows that a
+    channel did not confirm are due whenever they come again. Each batch writes
+    to folders of its own, so a repeated write replaces itself.
+    """
+    spark = frame.sparkSession
+    stream = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
+    rank = lambda kind: F.array_position(F.lit(list(RANKS)), kind)
+
+    def log(phase: str) -> DataFrame:
+        return spark.read.schema(LOG).parquet(f"{log_path}/{phase}")
+
+    def write(rows: DataFrame, phase: str, channel: str, number: int) -> None:
+        path = f"{log_path}/{phase}/channel={channel}/stream={stream}/batch={number}"
+        rows.select("key", "kind", F.current_timestamp().alias("at")).write.mode("overwrite").parquet(path)
+
+    def over(channel: str, send: Callable, rows: DataFrame, number: int) -> None:
+        told = log("announced").where((F.col("channel") == channel) & ~((F.col("stream") == stream) & (F.col("batch") == number)))
+        told = told.groupBy("key").agg(F.max(rank(F.col("kind"))).alias("told"))
+        due = rows.groupBy("key").agg(F.max_by("kind", rank(F.col("kind"))).alias("kind"))
+        due = cut(due.join(told, "key", "left").where(F.col("told").isNull() | (rank(F.col("kind")) > F.col("told"))).select("key", "kind"))
+        mine = (F.col("channel") == channel) & (F.col("stream") == stream) & (F.col("batch") == number)
+        doubtful = cut(due.join(log("intended").where(mine).select("key"), "key", "left_semi"))
+        arrived = doubtful if delivered is None or doubtful.isEmpty() else cut(delivered(channel, doubtful).select("key", "kind"))
+        if doubtful.isEmpty():
+            write(due, "intended", channel, number)
+        again = due.join(arrived.select("key"), "key", "left_anti") if not doubtful.isEmpty() else due
+        write(arrived.unionByName(send(again, number).select("key", "kind")), "announced", channel, number)
 
     def batch(rows: DataFrame, number: int) -> None:
-        spark = rows.sparkSession
-        try:
-            sent = spark.read.parquet(log_path).select("key").distinct()
-            rows = rows.join(sent, "key", "left_anti")
-        except Exception as error:  # the log doesn't exist before the first confirmed batch
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
-        rows = rows.persist()
-        try:
-            send(rows, number).select("key", "kind", F.current_timestamp().alias("at")).write.mode("append").parquet(log_path)
-        finally:
-            rows.unpersist()
+        rows = cut(rows.select("key", "kind"))
+        for channel, send in channels.items():
+            over(channel, send, rows, number)
 
+    for phase in ("intended", "announced"):
+        spark.createDataFrame([], LOG).write.mode("ignore").partitionBy("channel", "stream", "batch").parquet(f"{log_path}/{phase}")
     return frame.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 

@@ -1,6 +1,7 @@
 import datetime as dt
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from sluice.operators import history
@@ -22,20 +23,64 @@ def test_stream_equals_batch(spark, tmp_path):
     assert got == want
 
 
+def announced(spark, tmp_path, channels, name="cp", **options):
+    stream = spark.readStream.schema("key long, kind string").parquet(str(tmp_path / "in"))
+    folds.announce(stream, channels, str(tmp_path / "log"), str(tmp_path / name), **options).awaitTermination()
+
+
+def arrive(spark, tmp_path, rows):
+    spark.createDataFrame(rows, "key long, kind string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+
+
+def recorder(sent, confirms=lambda rows: rows, fail=None):
+    def send(rows, number):
+        sent.append(sorted((r["key"], r["kind"]) for r in rows.collect()))
+        if fail and fail.pop("now", False):
+            raise OSError("lost after sending")
+        return confirms(rows)
+
+    return send
+
+
 def test_announced_once_after_delivery(spark, tmp_path):
-    spark.createDataFrame([(i, "MATCH") for i in range(6)], "key long, kind string").write.parquet(str(tmp_path / "in"))
+    arrive(spark, tmp_path, [(i, "MATCH") for i in range(6)] + [(0, "DIGEST")])
     sent = []
+    announced(spark, tmp_path, {"push": recorder(sent, lambda rows: rows.where("key < 4"))}, "cp0")
+    announced(spark, tmp_path, {"push": recorder(sent)}, "cp1")
+    announced(spark, tmp_path, {"push": recorder(sent)}, "cp2")
+    assert sent == [[(i, "MATCH") for i in range(6)], [(4, "MATCH"), (5, "MATCH")], []]
+
+
+def test_a_failure_between_sending_and_writing_sends_once(spark, tmp_path):
+    arrive(spark, tmp_path, [(1, "MATCH"), (2, "DIGEST")])
+    sent, fail = [], {"now": True}
+    with pytest.raises(Exception, match="lost after sending"):
+        announced(spark, tmp_path, {"push": recorder(sent, fail=fail)})
+    announced(spark, tmp_path, {"push": recorder(sent)})
+    assert [x for x in sent if x] == [[(1, "MATCH"), (2, "DIGEST")]]
+    assert sorted(r["key"] for r in spark.read.parquet(str(tmp_path / "log" / "announced")).collect()) == [1, 2]
+
+
+def test_a_channel_that_knows_what_arrived_gets_the_rest(spark, tmp_path):
+    arrive(spark, tmp_path, [(1, "MATCH"), (2, "MATCH")])
+    sent, fail = [], {"now": True}
+    with pytest.raises(Exception, match="lost after sending"):
+        announced(spark, tmp_path, {"push": recorder(sent, fail=fail)})
+    announced(spark, tmp_path, {"push": recorder(sent)}, delivered=lambda channel, rows: rows.where("key = 1"))
+    assert sent == [[(1, "MATCH"), (2, "MATCH")], [(2, "MATCH")]]
 
-    def send(rows, number, fail=True):
-        keys = [r["key"] for r in rows.collect()]
-        sent.append(keys)
-        return rows.where("key < 4") if len(sent) == 1 else rows
 
-    for turn in range(2):
-        stream = spark.readStream.schema("key long, kind string").parquet(str(tmp_path / "in"))
-        folds.announce(stream, send, str(tmp_path / "log"), str(tmp_path / f"cp{turn}")).awaitTermination()
-    assert sorted(sent[0]) == list(range(6)) and sorted(sent[1]) == [4, 5]
-    assert spark.read.parquet(str(tmp_path / "log")).count() == 6
+def test_each_channel_has_its_own_log_and_a_higher_kind_is_news(spark, tmp_path):
+    push, mail = [], []
+    channels = {"push": recorder(push), "mail": recorder(mail, lambda rows: rows.where("key <> 1"))}
+    arrive(spark, tmp_path, [(1, "DIGEST"), (2, "MATCH")])
+    announced(spark, tmp_path, channels)
+    arrive(spark, tmp_path, [(1, "MATCH"), (2, "DIGEST"), (3, "DIGEST")])
+    announced(spark, tmp_path, channels)
+    arrive(spark, tmp_path, [(1, "MATCH")])
+    announced(spark, tmp_path, channels)
+    assert push == [[(1, "DIGEST"), (2, "MATCH")], [(1, "MATCH"), (3, "DIGEST")], []]
+    assert mail == [[(1, "DIGEST"), (2, "MATCH")], [(1, "MATCH"), (3, "DIGEST")], [(1, "MATCH")]]
 
 
 def test_daily_window(spark):
