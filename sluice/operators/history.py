@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +19,35 @@ def change_points(observations: DataFrame) -> DataFrame:
     return known.where("previous is null or previous <> price").select("key", "ts", "seq", "price", "previous")
 
 
+def recorded(observations: DataFrame) -> DataFrame:
+    """(key, ts, seq, price): the history that is written down as observations (key, seq, ts,
+    price) arrive in order of seq, which may be late. One is written if its price differs
+    from the one recorded last before its time and from the one recorded next after it;
+    nothing that was written is taken back. Of equal times the earlier arrival comes
+    first. Unknown prices, keys and times write nothing.
+
+    What is written depends on all that was written before, so a key is read in one go;
+    its rows stream past and only its change points are held.
+    """
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, times, prices = None, [], []
+        for batch in batches:
+            kept = []
+            for i, (key, ts, price) in enumerate(zip(batch["key"].to_pylist(), batch["ts"].cast(pa.int64()).to_pylist(), batch["price"].to_pylist(), strict=True)):
+                if key != now:
+                    now, times, prices = key, [], []
+                at = bisect_right(times, ts)
+                if (not at or prices[at - 1] != price) and (at == len(times) or prices[at] != price):
+                    times.insert(at, ts)
+                    prices.insert(at, price)
+                    kept.append(i)
+            yield batch.take(pa.array(kept, pa.int64()))
+
+    known = observations.where("key is not null and ts is not null and price is not null").select("key", "ts", "seq", "price")
+    return known.repartition("key").sortWithinPartitions("key", "seq").mapInArrow(write, known.schema)
+
+
 def drops(points: DataFrame) -> DataFrame:
     """Change points that go down, with delta (negative)."""
     return points.withColumn("delta", F.col("price") - F.col("previous")).where("delta < 0")

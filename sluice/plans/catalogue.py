@@ -231,6 +231,19 @@ def price_change_points(spark, sf_dir):
     return history.change_points(prices(spark, sf_dir)).select("key", "seq", "price", "previous")
 
 
+@query(f"""WITH RECURSIVE {PRICES_SQL.split(",\nknown AS")[0]}, n AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq) AS i FROM obs WHERE price IS NOT NULL),
+  w(key, i, seq, price, written, history) AS (SELECT key, i, seq, price, true, [{{'ts': ts, 'seq': seq, 'price': price}}] FROM n WHERE i = 1
+    UNION ALL SELECT n.key, n.i, n.seq, n.price,
+      coalesce(list_sort(list_filter(w.history, lambda h: h.ts <= n.ts))[-1].price <> n.price, true) AND coalesce(list_sort(list_filter(w.history, lambda h: h.ts > n.ts))[1].price <> n.price, true),
+      CASE WHEN coalesce(list_sort(list_filter(w.history, lambda h: h.ts <= n.ts))[-1].price <> n.price, true) AND coalesce(list_sort(list_filter(w.history, lambda h: h.ts > n.ts))[1].price <> n.price, true)
+        THEN list_append(w.history, {{'ts': n.ts, 'seq': n.seq, 'price': n.price}}) ELSE w.history END
+    FROM w JOIN n ON n.key = w.key AND n.i = w.i + 1)
+  SELECT key, seq, price FROM w WHERE written""")
+def price_history_arrivals(spark, sf_dir):
+    """Prices that are written down as events arrive, some of them late, some in whole tens."""
+    return history.recorded(prices(spark, sf_dir)).select("key", "seq", "price")
+
+
 @query(f"WITH {PRICES_SQL} SELECT key, seq, price - previous AS delta FROM points WHERE price < previous")
 def price_drops(spark, sf_dir):
     return history.drops(history.change_points(prices(spark, sf_dir))).select("key", "seq", "delta")

@@ -278,3 +278,34 @@ def test_queues(spark):
     assert {r["key"]: r["delivered"] for r in drains.delivered(df).collect()} == {"a": True, "b": False, "c": False}
     r = spark.createDataFrame([("T", 12_345.0, 80)], "t string, p double, s int").select(drains.headline(F.col("t"), F.col("p"), F.col("s")).alias("h")).first()
     assert r["h"] == "T · 12 345 € · score 80"
+
+
+def test_late_prices_are_compared_on_both_sides(spark):
+    import datetime as dt
+    import random
+
+    at = lambda h: dt.datetime(2024, 1, 1, h)
+    rows = [("a", at(5), 1, 900.0), ("a", at(9), 2, 800.0), ("a", at(7), 3, 800.0), ("a", at(6), 4, 900.0), ("a", at(7), 5, 850.0), ("a", at(1), 6, 900.0), ("a", at(8), 7, None), ("b", at(2), 8, 1.0), ("b", at(2), 9, 1.0), ("b", at(2), 10, 2.0), (None, at(1), 11, 1.0)]
+    schema = "key string, ts timestamp, seq long, price double"
+    assert sorted((r["key"], r["seq"]) for r in history.recorded(spark.createDataFrame(rows, schema)).collect()) == [("a", 1), ("a", 2), ("a", 5), ("b", 8), ("b", 10)]
+    draw, rows = random.Random(8), []
+    for seq in range(400):
+        rows.append((draw.choice("xyz"), at(draw.randint(0, 23)), seq, float(draw.randint(1, 3))))
+    written = []
+    for key, ts, seq, price in rows:
+        before = max(((t, s, p) for k, t, s, p in written if k == key and t <= ts), default=None)
+        after = min(((t, s, p) for k, t, s, p in written if k == key and t > ts), default=None)
+        if (before is None or before[2] != price) and (after is None or after[2] != price):
+            written.append((key, ts, seq, price))
+    got = history.recorded(spark.createDataFrame(rows, schema)).collect()
+    assert sorted(r["seq"] for r in got) == sorted(w[2] for w in written)
+    assert history.recorded(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_places_over_many_partitions(spark):
+    from sluice.operators import rank
+
+    df = spark.range(5000).selectExpr("id", "pmod(xxhash64(id), 97) v").repartition(7)
+    got = rank.place(df, [F.desc("v"), F.col("id")], "place").collect()
+    assert [r["id"] for r in sorted(got, key=lambda r: r["place"])] == [r["id"] for r in sorted(got, key=lambda r: (-r["v"], r["id"]))]
+    assert sorted(r["place"] for r in got) == list(range(1, 5001)) and rank.place(df.where("false"), [F.col("id")], "p").count() == 0
