@@ -8,6 +8,7 @@ from sluice.operators import drains, health, history, match, store
 from sluice.plans.field_queries import sql_turn, turn
 from sluice.plans.registry import query
 from sluice.plans.views import FLATS_SQL, PRICES_SQL, QUEUE_SQL, RUNS_SQL, flats, prices, queue, runs, table
+from sluice.streaming import hydration
 
 _TENURES = ("LLI", "UNKNOWN", "LIBRE", "UNKNOWN", "LLI", "LLI", "LIBRE")
 _READINGS = f"r AS (SELECT o_custkey AS key, o_orderkey AS seq, CASE WHEN o_orderpriority = '1-URGENT' AND o_orderstatus = 'P' THEN 'PLS' ELSE {sql_turn(_TENURES, 'o_orderkey')} END AS tenure, o_orderpriority AS source, CAST(floor(o_totalprice / 3000) AS INTEGER) % 100 AS confidence FROM orders)"
@@ -201,3 +202,14 @@ def drop_lines(spark, sf_dir):
 def digest_message(spark, sf_dir):
     rows = _kinds(spark, sf_dir).select((F.col("key") % 50).alias("batch"), F.when(F.col("outcome") == "MATCH", "rollup").otherwise("digest").alias("queue"), F.col("key").alias("place"), F.concat(F.lit("n"), F.col("key").cast("string")).alias("line"))
     return drains.message(rows, {"digest": "À vérifier", "rollup": "Sous le seuil"})
+
+
+@query("""WITH e AS (SELECT user_id AS key, event_id AS seq, ts AS "at", CASE event_type WHEN 'error' THEN 'failed' WHEN 'purchase' THEN 'read' ELSE 'seen' END AS event FROM events),
+  f AS (SELECT *, min(CASE WHEN event = 'seen' THEN ("at", seq) END) OVER (PARTITION BY key) AS first, min(CASE WHEN event = 'read' THEN ("at", seq) END) OVER (PARTITION BY key) AS read FROM e),
+  m AS (SELECT *, sum(CASE WHEN event = 'failed' THEN 1 ELSE 0 END) OVER (PARTITION BY key ORDER BY "at", seq) AS n FROM f WHERE ("at", seq) >= first AND (read IS NULL OR ("at", seq) < read)), x AS (SELECT max("at") AS last FROM e)
+  SELECT key, 1 AS attempt, "at" AS due FROM m WHERE event = 'seen' AND ("at", seq) = first
+  UNION ALL SELECT key, CAST(n + 1 AS INTEGER), "at" + INTERVAL 6 HOUR FROM m, x WHERE event = 'failed' AND n < 3 AND (read IS NULL OR read[1] >= "at" + INTERVAL 6 HOUR) AND "at" + INTERVAL 6 HOUR < last""")
+def hydration_due(spark, sf_dir):
+    """Events as a log of pages that are seen, fail and are read."""
+    kind = F.when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "purchase", "read").otherwise("seen")
+    return hydration.due_log(table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), F.col("ts").alias("at"), kind.alias("event")))
