@@ -592,6 +592,25 @@ def robots_longest_match(spark, sf_dir):
     return pages.robots_allowed(p, p.select("host").distinct().select("host", F.inline(each)))
 
 
+_ROBOTS_TEXT = "User-agent: *\nDisallow: /en/ # of everyone\n\nUSER-AGENT: Scout\nDisallow:\nDisallow: /de\nAllow: /de*9$\nCrawl-delay: 2"
+
+
+@query(r"""WITH p AS (SELECT DISTINCT regexp_extract(url, '://([^/]*)', 1) AS host, regexp_extract(url, '://[^/]*(/[^?#]*)', 1) AS path FROM pages), k AS (SELECT *, length(host) % 9 AS k FROM p)
+  SELECT host, path, CASE WHEN k IN (3, 4, 5, 6, 8) THEN false WHEN k IN (1, 2) THEN true WHEN k = 0 THEN NOT regexp_matches(path, '^/de') OR regexp_matches(path, '^/de.*9$') ELSE NOT regexp_matches(path, '^/en/') END AS allowed FROM k""")
+def robots_answers(spark, sf_dir):
+    """Hosts that answer with rules, nothing, an error or a whole page instead."""
+    p = table(spark, sf_dir, "pages").select(F.regexp_extract("url", "://([^/]*)", 1).alias("host"), F.regexp_extract("url", "://[^/]*(/[^?#]*)", 1).alias("path"), "html")
+    k = F.length("host") % 9
+    hosts = p.groupBy("host").agg(F.min("html").alias("html"))
+    answers = hosts.select(
+        "host",
+        F.when(k == 1, 404).when(k == 2, 410).when(k == 3, 503).when(k == 8, None).otherwise(200).cast("int").alias("status"),
+        F.when(k == 4, "Text/HTML; charset=utf-8").when(k == 5, None).otherwise("text/plain").alias("content_type"),
+        F.when(k.isin(5), F.col("html")).when(k == 6, '  {"error": 1}').when(k == 7, _ROBOTS_TEXT.split("\n\n")[0]).otherwise(_ROBOTS_TEXT).alias("body"),
+    )
+    return pages.robots_verdicts(p, answers, "scout")
+
+
 @query(r"""WITH s AS (SELECT conv_id, turn, unnest(string_split_regex(text, '\.\s')) AS seg, generate_subscripts(string_split_regex(text, '\.\s'), 1) - 1 AS place FROM conversations),
   n AS (SELECT *, conv_id * 1000 + turn AS msg, regexp_extract(seg, '^([A-Z][a-z]{2})', 1) AS id FROM s) SELECT msg, id, min(place) AS place FROM n WHERE id <> '' GROUP BY msg, id""")
 def card_segments(spark, sf_dir):

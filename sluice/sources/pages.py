@@ -141,3 +141,61 @@ def robots_allowed(paths: DataFrame, rules: DataFrame) -> DataFrame:
     hits = paths.join(rules, (F.col("host") == F.col("h")) & F.rlike("path", F.col("regex")), "left")
     best = F.max_by("allow", F.struct(F.length("pattern"), F.col("allow").cast("int")))
     return hits.groupBy("host", "path").agg(F.coalesce(best, F.lit(True)).alias("allowed"))
+
+
+#: Types of answers that are no rules, and statuses that say there are none.
+NO_RULES_TYPES = ("text/html", "application/xhtml+xml", "application/json", "application/xml", "text/xml")
+NO_RULES_STATUS = (404, 410)
+_RULES = "array<struct<allow:boolean,pattern:string>>"
+
+
+def robots_rules(answers: DataFrame, agent: str) -> DataFrame:
+    """(host, readable, rules) of answers (host, status, content_type, body) to the request
+    for the rules of a host.
+
+    A page or a document instead of rules, a status other than success and no status at
+    all are unreadable; not found and gone mean that there are no rules. The groups of the
+    agent count, or those for everyone if it has none; rules without a path say nothing.
+    """
+    kind = F.lower(F.trim(F.substring_index(F.coalesce("content_type", F.lit("")), ";", 1)))
+    body = F.coalesce("body", F.lit(""))
+    other = kind.isin(*NO_RULES_TYPES) | F.ltrim(F.regexp_replace(body, r"^\s+", "")).rlike(r"^[<{]")
+    success = F.col("status").between(200, 299)
+    readable = F.coalesce(F.when(success, ~other).otherwise(F.col("status").isin(*NO_RULES_STATUS)), F.lit(False))
+
+    lines = F.filter(F.transform(F.split(body, r"\r\n|\r|\n"), lambda l: F.trim(F.regexp_replace(l, "#.*$", ""))), lambda l: l.contains(":"))
+    pairs = F.transform(lines, lambda l: F.struct(F.lower(F.trim(F.substring_index(l, ":", 1))).alias("field"), F.trim(F.regexp_replace(l, "^[^:]*:", "")).alias("value")))
+    none = F.array().cast(_RULES)
+    start = F.struct(F.lit(None).cast("string").alias("agent"), none.alias("own"), none.alias("any"), F.lit(False).alias("named"))
+    needle = agent.lower()
+
+    def step(now: Column, pair: Column) -> Column:
+        named = lambda a: (a == needle) | ((a != "*") & F.lit(needle).contains(a))
+        rule = F.array(F.struct((pair["field"] == "allow").alias("allow"), pair["value"].alias("pattern")))
+        tells = pair["field"].isin("allow", "disallow") & (pair["value"] != "")
+        opens = pair["field"] == "user-agent"
+        who = F.lower(pair["value"])
+        return F.struct(
+            F.when(opens, who).otherwise(now["agent"]).alias("agent"),
+            F.when(tells & named(now["agent"]), F.concat(now["own"], rule)).otherwise(now["own"]).alias("own"),
+            F.when(tells & (now["agent"] == "*"), F.concat(now["any"], rule)).otherwise(now["any"]).alias("any"),
+            (now["named"] | F.coalesce(opens & named(who), F.lit(False))).alias("named"),
+        )
+
+    read = F.aggregate(pairs, start, step, lambda now: F.when(now["named"], now["own"]).otherwise(now["any"]))
+    return answers.select("host", readable.alias("readable"), F.when(readable & success, read).otherwise(none).alias("rules"))
+
+
+def robots_verdicts(paths: DataFrame, answers: DataFrame, agent: str) -> DataFrame:
+    """(host, path, allowed) for each distinct row of ``paths``: the longest rule decides,
+    allow wins ties, no rule allows; a host without a readable answer allows nothing."""
+    rules = robots_rules(answers, agent)
+
+    def fits(pattern: Column, path: Column) -> Column:
+        escaped = F.regexp_replace(F.regexp_replace(pattern, r"\$$", ""), r"([.+?^$(){}\[\]|\\])", r"\\$1")
+        return F.rlike(path, F.concat(F.lit("^"), F.replace(escaped, F.lit("*"), F.lit(".*")), F.when(pattern.endswith("$"), "$").otherwise("")))
+
+    rows = paths.select("host", "path").distinct().join(rules, "host", "left")
+    asked = F.when(F.coalesce("path", F.lit("")) == "", "/").otherwise(F.col("path"))
+    best = F.array_max(F.transform(F.filter("rules", lambda r: fits(r["pattern"], asked)), lambda r: F.struct(F.length(r["pattern"]).alias("n"), r["allow"].alias("allow"))))
+    return rows.select("host", "path", F.when(F.coalesce("readable", F.lit(False)), F.coalesce(best["allow"], F.lit(True))).otherwise(False).alias("allowed"))

@@ -309,3 +309,16 @@ def test_places_over_many_partitions(spark):
     got = rank.place(df, [F.desc("v"), F.col("id")], "place").collect()
     assert [r["id"] for r in sorted(got, key=lambda r: r["place"])] == [r["id"] for r in sorted(got, key=lambda r: (-r["v"], r["id"]))]
     assert sorted(r["place"] for r in got) == list(range(1, 5001)) and rank.place(df.where("false"), [F.col("id")], "p").count() == 0
+
+
+def test_answers_for_robots(spark):
+    body = "User-agent: *\r\nDisallow: /a\nAllow: /a/b # yes\nDisallow: /*.pdf$\nno colon\nUser-Agent: SCO\nDisallow: /x?y\nDisallow:\n"
+    answers = [("rules", 200, "text/plain", body), ("gone", 410, None, None), ("none", 404, "text/html", "<html>"), ("html", 200, "text/html; q", "User-agent: *"), ("page", 200, None, "\n <!doctype"), ("json", 200, "text/plain", "{}"), ("error", 500, "text/plain", body), ("lost", None, None, None), ("empty", 204, "text/plain", "")]
+    df = spark.createDataFrame(answers, "host string, status int, content_type string, body string")
+    readable = {r["host"]: r["readable"] for r in pages.robots_rules(df, "scout").collect()}
+    assert readable == {"rules": True, "gone": True, "none": True, "html": False, "page": False, "json": False, "error": False, "lost": False, "empty": True}
+    cases = [("rules", "/a"), ("rules", "/a/b"), ("rules", "/d.pdf"), ("rules", "/d.pdf?x"), ("rules", "/x?y=1"), ("rules", ""), ("none", "/a"), ("error", "/z"), ("absent", "/")]
+    paths = spark.createDataFrame(cases, "host string, path string")
+    verdict = lambda agent: {(r["host"], r["path"]): r["allowed"] for r in pages.robots_verdicts(paths, df, agent).collect()}
+    assert [verdict("other")[c] for c in cases] == [False, True, False, True, True, True, True, False, False]
+    assert [verdict("scout")[c] for c in cases] == [True, True, True, True, False, True, True, False, False]
