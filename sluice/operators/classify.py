@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from sluice.functions.coerce import code_list
-from sluice.functions.prose import let
-from sluice.functions.text import ACCENTED, ENTITY, FOLDED, field_key, fold, inflected, unescaped_each
+from sluice.functions.prose import let, occurrences
+from sluice.functions.text import ACCENTED, ENTITY, FOLDED, field_key, fold, inflected, readable_fold, unescaped_each
 
 #: Classes that are never announced, and those that may be.
 EXCLUDED = ("PLS", "PLUS", "PLAI", "ANRU", "ANAH", "CONVENTIONNE", "SOCIAL")
@@ -285,23 +285,29 @@ UNFIT_AS_SAID = {
 #: A negation up to two words before a word, and right after it.
 BEFORE_UNFIT = r"\b(?:jamais|non|pas|aucun|aucune|sans|ni|zero|0)\b\s*(?:\S+\s+){0,2}$"
 AFTER_UNFIT = r"^\s*[:?]?\s*(?:non|jamais)\b"
-_BEFORE, _AFTER = re.compile(BEFORE_UNFIT), re.compile(AFTER_UNFIT)
-_ANY_UNFIT = re.compile("|".join(f"(?P<r{i}>{p})" for i, p in enumerate(UNFIT.values())))
+#: Characters before and after a word in which a negation is looked for.
+BEFORE_WORD, AFTER_WORD = 40, 12
+UNREADABLE = "texte illisible"
 
 
-def vehicle_reasons(folded: str | None) -> list[str]:
-    """Labels of what makes a vehicle unfit, each once; a negation beside a word takes it back."""
-    text = folded or ""
-    stated = {m.lastgroup for m in _ANY_UNFIT.finditer(text) if not _BEFORE.search(text[max(0, m.start() - 40) : m.start()]) and not _AFTER.search(text[m.end() : m.end() + 12])}
-    return [label for i, label in enumerate(UNFIT) if f"r{i}" in stated]
+def unfit(folded: Column) -> Column:
+    """Labels of what makes a vehicle unfit by its folded text: phrases that hold as they are
+    said, then words that no negation beside them takes back, if one place is left."""
+
+    def stands(pattern: str) -> Column:
+        places = occurrences(folded, pattern, BEFORE_WORD, AFTER_WORD)
+        return folded.rlike(pattern) & F.exists(places, lambda o: ~o["before"].rlike(BEFORE_UNFIT) & ~o["after"].rlike(AFTER_UNFIT))
+
+    said = [F.when(folded.rlike(p), F.lit(label)) for label, p in UNFIT_AS_SAID.items()]
+    return F.array_compact(F.array(*said, *[F.when(stands(p), F.lit(label)) for label, p in UNFIT.items()]))
 
 
 def vehicle(listings: DataFrame) -> DataFrame:
-    """Adds reasons and outcome by the folded text; a null text is readable and empty."""
-    text = fold(F.coalesce("text", F.lit("")))
-    read = pandas_udf(lambda t: t.map(vehicle_reasons), "array<string>")
-    said = F.array_compact(F.array(*[F.when(text.rlike(p), F.lit(label)) for label, p in UNFIT_AS_SAID.items()]))
-    out = listings.withColumn("reasons", F.concat(said, read(text)))
+    """Adds reasons and outcome by the text; a null text is readable and empty. A text that
+    still holds an undecoded entity can't be read and is rejected for that."""
+    out = listings.withColumn("__text", readable_fold(F.coalesce("text", F.lit(""))))
+    reasons = F.when(F.col("__text").isNull(), F.array(F.lit(UNREADABLE))).otherwise(let(F.col("__text"), unfit))
+    out = out.withColumn("reasons", reasons).drop("__text")
     return out.withColumn("outcome", F.when(F.size("reasons") > 0, "REJECT").otherwise("MATCH"))
 
 

@@ -80,20 +80,30 @@ def excluded_witness(flats: DataFrame, excluded: DataFrame) -> DataFrame:
 
 def components(links: DataFrame) -> DataFrame:
     """(node, label): smallest node that can be reached through ``links`` (a, b).
-    Labels spread over links and jump along labels until they stay; each round is
-    checkpointed in the shared folder."""
+
+    Every node hands its larger neighbours to its smallest one, then its smaller ones, in
+    turn, until the links stay: stars around the smallest nodes. A node of many links loses
+    them in the first steps, so no join carries a giant component on one label. Each
+    round is checkpointed in the shared folder.
+    """
     from sluice.plans.session import cut
 
-    edges = cut(links.union(links.select("b", "a")).toDF("a", "b").distinct())
-    labels = cut(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("label")))
+    both = lambda e: e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    own = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
+    edges = cut(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    before = None
     while True:
-        near = edges.join(labels, F.col("b") == F.col("node")).select(F.col("a").alias("node"), "label").union(labels)
-        spread = near.groupBy("node").agg(F.min("label").alias("label"))
-        jump = labels.select(F.col("node").alias("n"), F.col("label").alias("l"))
-        new = cut(spread.join(jump, F.col("label") == F.col("n"), "left").select("node", F.least("label", F.coalesce("l", "label")).alias("label")))
-        if not new.join(labels.withColumnRenamed("label", "old"), "node").where("label <> old").take(1):
-            return new
-        labels = new
+        now = tuple(edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))")).first())
+        if now == before or not now[0]:
+            break
+        before = now
+        around = both(edges)
+        least = around.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        large = around.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(least, "a")
+        edges = cut(small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(small.select("a", F.col("m").alias("b"))).where("a <> b").distinct())
+    return own.join(edges.select(F.col("a").alias("node"), F.col("b").alias("label")), "node", "left").select("node", F.coalesce("label", "node").alias("label"))
 
 
 def spread_rank(listings: DataFrame, twins: DataFrame) -> DataFrame:

@@ -87,10 +87,15 @@ def test_vehicles(spark):
     assert [(r["text"]) for r in classify.vehicle(df).where("outcome <> want").collect()] == []
 
 
-def test_unfit_words_are_taken_back():
-    assert classify.vehicle_reasons("jamais accidente. tres bon etat. procedure ve") == ["procédure VE"]
-    assert classify.vehicle_reasons("accidente : non. malgre son age une epave") == ["épave"] and classify.vehicle_reasons(None) == []
-    assert classify.vehicle_reasons("0 accident en dix ans puis accidente") == ["accidenté"]
+def test_unfit_words_are_taken_back(spark):
+    cases = {
+        "jamais accidente. tres bon etat. procedure ve": ["procédure VE"], "accidente : non. malgre son age une epave": ["épave"], "0 accident en dix ans puis accidente": ["accidenté"], "": [],
+        "sans carte grise. tres vieille voiture accidente": ["sans carte grise", "accidenté"], "accidente ? non, accidente : jamais": [], "aucun choc, epave": [],
+    }
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(cases)], "i int, t string")
+    assert [r["u"] for r in df.orderBy("i").select(classify.unfit(F.col("t")).alias("u")).collect()] == list(cases.values())
+    rows = spark.createDataFrame([("tr&egrave;s bon &bogus; etat",), (None,)], "text string")
+    assert [(r["reasons"], r["outcome"]) for r in classify.vehicle(rows).collect()] == [(["texte illisible"], "REJECT"), ([], "MATCH")]
 
 
 def test_auctions(spark):
