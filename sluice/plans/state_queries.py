@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sluice.operators import drains, health, history, match, store
+from sluice.operators import drains, health, history, match, store, walk
 from sluice.plans.field_queries import sql_turn, turn
 from sluice.plans.registry import query
 from sluice.plans.views import FLATS_SQL, PRICES_SQL, QUEUE_SQL, RUNS_SQL, flats, prices, queue, runs, table
@@ -213,3 +213,13 @@ def hydration_due(spark, sf_dir):
     """Events as a log of pages that are seen, fail and are read."""
     kind = F.when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "purchase", "read").otherwise("seen")
     return hydration.due_log(table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), F.col("ts").alias("at"), kind.alias("event")))
+
+
+@query("""WITH p AS (SELECT regexp_extract(url, '://([^/]*)', 1) AS source, page_id AS page, CASE WHEN page_id % 11 = 0 THEN NULL WHEN page_id % 13 = 0 THEN '' ELSE html END AS html FROM pages),
+  c AS (SELECT source, count(*) AS pages, count(html) AS arrived, count(*) FILTER (WHERE len(regexp_extract_all(html, '<li><a ')) > 0) AS held, coalesce(sum(len(regexp_extract_all(html, '<li><a '))), 0) AS n FROM p GROUP BY source)
+  SELECT source, pages - arrived AS lost, arrived - held AS empty, CAST(greatest(0, 7 * pages - 6 - n) AS BIGINT) AS missing FROM c WHERE arrived < pages OR held < arrived OR n < 7 * pages - 6""")
+def walk_faults(spark, sf_dir):
+    """Hosts as sources of pages that declare seven cards a page: some pages are lost, some are empty."""
+    p = table(spark, sf_dir, "pages").select(F.regexp_extract("url", "://([^/]*)", 1).alias("source"), F.col("page_id").alias("page"), "url", F.when(F.col("page_id") % 11 == 0, None).when(F.col("page_id") % 13 == 0, "").otherwise(F.col("html")).alias("html"))
+    declared = p.groupBy("source").agg(F.count("*").alias("pages"), (F.count("*") * 7).alias("total"))
+    return walk.faults(p, walk.cards(p, "nav li", {"href": "a@href"}), declared, 7)
