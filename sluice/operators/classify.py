@@ -316,6 +316,18 @@ def urgent(closes: Column, now: Column, rollup: Column) -> Column:
     return F.coalesce((closes > now) & (closes < rollup), F.lit(False))
 
 
+def next_rollup(now: Column, hour: int, zone: str) -> Column:
+    """The first instant after ``now`` (a timestamp in UTC) at which it is ``hour`` in a zone."""
+    local = F.from_utc_timestamp(now, zone)
+    at = lambda day: F.to_utc_timestamp(F.date_trunc("day", local) + F.make_interval(days=F.lit(day), hours=F.lit(hour)), zone)
+    return F.when(at(0) > now, at(0)).otherwise(at(1))
+
+
+def closes_before_rollup(closes: Column, now: Column, hour: int, zone: str) -> Column:
+    """An auction that can't wait for the next rollup, which comes at an hour of a zone."""
+    return urgent(closes, now, next_rollup(now, hour, zone))
+
+
 def suppress_twins(rows: DataFrame, twins: DataFrame) -> DataFrame:
     """Adds suppressed: a private copy one of whose twins was pushed; a direct copy
     never is. rows has id, family, pushed; twins has (a, b)."""

@@ -132,6 +132,19 @@ def seeded(index: DataFrame, known: DataFrame, now: Column) -> DataFrame:
     return index.join(known.select("id"), "id", "left_anti").withColumn("notified_at", now)
 
 
+def first_passes(sources: DataFrame, seen: DataFrame) -> DataFrame:
+    """Adds first: true for a source of which nothing was ever seen."""
+    some = seen.select("source").distinct().withColumn("__seen", F.lit(True))
+    return sources.join(some, "source", "left").withColumn("first", F.col("__seen").isNull()).drop("__seen")
+
+
+def duplicate_counts(listings: DataFrame, clusters: DataFrame, group: str) -> DataFrame:
+    """(group, harvested, duplicates): listings, and how many of them a cluster already
+    holds. clusters has (id, survivor) of listings that have duplicates."""
+    gone = clusters.where("id <> survivor").select("id", F.lit(1).alias("__gone"))
+    return listings.join(gone, "id", "left").groupBy(group).agg(F.count("*").alias("harvested"), F.count("__gone").alias("duplicates"))
+
+
 def append_runs(runs: DataFrame, path: str) -> None:
     """Appends attempts to the run log; secrets in errors are masked first."""
     from sluice.functions.text import redact

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sluice.operators import drains, health, history, match, store, walk
+from sluice.operators import classify, drains, health, history, match, store, walk
 from sluice.plans.field_queries import sql_turn, turn
 from sluice.plans.registry import query
 from sluice.plans.views import FLATS_SQL, PRICES_SQL, QUEUE_SQL, RUNS_SQL, flats, prices, queue, runs, table
+from sluice.sources import mapping
 from sluice.streaming import hydration
 
 _TENURES = ("LLI", "UNKNOWN", "LIBRE", "UNKNOWN", "LLI", "LLI", "LIBRE")
@@ -223,3 +224,24 @@ def walk_faults(spark, sf_dir):
     p = table(spark, sf_dir, "pages").select(F.regexp_extract("url", "://([^/]*)", 1).alias("source"), F.col("page_id").alias("page"), "url", F.when(F.col("page_id") % 11 == 0, None).when(F.col("page_id") % 13 == 0, "").otherwise(F.col("html")).alias("html"))
     declared = p.groupBy("source").agg(F.count("*").alias("pages"), (F.count("*") * 7).alias("total"))
     return walk.faults(p, walk.cards(p, "nav li", {"href": "a@href"}), declared, 7)
+
+
+@query("SELECT c_custkey AS source, NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000) AS first FROM customer")
+def first_passes(spark, sf_dir):
+    seen = table(spark, sf_dir, "orders").where("o_totalprice > 400000").select(F.col("o_custkey").alias("source"))
+    return store.first_passes(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("source")), seen)
+
+
+@query(f"""WITH j AS (SELECT event_id AS id, user_id, event_type, {_BROKEN} AS j FROM events), r AS (SELECT *, j IS NULL OR j = '' OR NOT json_valid(j) AS degraded FROM j)
+  SELECT id, degraded, CASE WHEN degraded THEN CAST(user_id AS INTEGER) ELSE CAST(json_extract_string(j, '$.k') AS INTEGER) END AS k, CASE WHEN degraded THEN event_type ELSE json_extract_string(j, '$.title') END AS title FROM r""")
+def degraded_rows(spark, sf_dir):
+    """Snapshots of which some can't be read: their rows come from stored columns."""
+    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), "user_id", "event_type", F.expr(_BROKEN).alias("snapshot"))
+    return mapping.restore_or_rebuild(e, "k int, title string", {"k": "user_id", "title": "event_type"}).select("id", "degraded", "k", "title")
+
+
+@query("""SELECT event_id AS id, ts + CAST(floor(value) AS INTEGER) * INTERVAL 1 MINUTE > ts AND ts + CAST(floor(value) AS INTEGER) * INTERVAL 1 MINUTE < CASE WHEN date_trunc('day', ts) + INTERVAL 8 HOUR > ts THEN date_trunc('day', ts) + INTERVAL 8 HOUR ELSE date_trunc('day', ts) + INTERVAL 32 HOUR END AS urgent FROM events""")
+def auction_urgency(spark, sf_dir):
+    """Events as auctions that close some minutes on, against the rollup at eight."""
+    closes = F.col("ts") + F.make_interval(mins=F.floor("value").cast("int"))
+    return table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), classify.closes_before_rollup(closes, F.col("ts"), 8, "UTC").alias("urgent"))

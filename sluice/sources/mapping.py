@@ -61,6 +61,18 @@ def restore(rows: DataFrame, schema: str, name: str = "snapshot") -> DataFrame:
     return rows.withColumn("row", decoded).withColumn("readable", F.coalesce(F.get_json_object(name, "$").isNotNull() & F.col("row").isNotNull(), F.lit(False))).select("readable", "row.*")
 
 
+def restore_or_rebuild(rows: DataFrame, schema: str, stored: dict[str, str], name: str = "snapshot") -> DataFrame:
+    """Rows out of snapshots; where one can't be read, a row of the columns that ``stored``
+    names for its fields, the rest unknown. degraded tells which."""
+    back = F.from_json(name, schema)
+    fields = rows.sparkSession.createDataFrame([], schema).schema.fields
+    rebuilt = F.struct(*[(F.col(stored[f.name]) if f.name in stored else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields])
+    readable = F.coalesce(F.try_parse_json(name).isNotNull() & (F.trim(name) != "") & back.isNotNull(), F.lit(False))
+    keep = [c for c in rows.columns if c != name and c not in {f.name for f in fields}]
+    out = rows.withColumns({"degraded": ~readable, "__row": F.when(readable, back).otherwise(rebuilt)})
+    return out.select(*keep, "degraded", "__row.*")
+
+
 def merge_detail(cards: DataFrame, details: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """Cards with what their detail page knows; identity and what it doesn't know stay."""
     fresh = details.select(key, *[F.col(f).alias(f"__{f}") for f in fields])

@@ -322,3 +322,17 @@ def test_answers_for_robots(spark):
     verdict = lambda agent: {(r["host"], r["path"]): r["allowed"] for r in pages.robots_verdicts(paths, df, agent).collect()}
     assert [verdict("other")[c] for c in cases] == [False, True, False, True, True, True, True, False, False]
     assert [verdict("scout")[c] for c in cases] == [True, True, True, True, False, True, True, False, False]
+
+
+def test_rollups_duplicates_and_rebuilt_rows(spark):
+    from sluice.operators import classify, store
+
+    rows = [("2024-06-01 05:00:00", "2024-06-01 06:00:00"), ("2024-06-01 06:00:00", "2024-06-02 06:00:00"), ("2024-12-01 06:30:00", "2024-12-01 07:00:00"), ("2024-10-26 07:00:00", "2024-10-27 07:00:00")]
+    df = spark.createDataFrame(rows, "now string, want string")
+    assert df.where(classify.next_rollup(F.to_timestamp("now"), 8, "Europe/Paris") != F.to_timestamp("want")).count() == 0
+    listings = spark.createDataFrame([(1, "a"), (2, "a"), (3, "a"), (4, "b")], "id int, source string")
+    clusters = spark.createDataFrame([(1, 1), (2, 1), (3, 1)], "id int, survivor int")
+    assert sorted(tuple(r) for r in store.duplicate_counts(listings, clusters, "source").collect()) == [("a", 3, 2), ("b", 1, 0)]
+    kept = spark.createDataFrame([(1, '{"rent": 9.5, "title": "t"}', 1.0, "u"), (2, "{oops", 2.0, "v"), (3, None, None, "w"), (4, "", 4.0, None)], "id int, snapshot string, rent double, url string")
+    got = [tuple(r) for r in mapping.restore_or_rebuild(kept, "rent double, title string", {"rent": "rent"}).orderBy("id").select("id", "url", "degraded", "rent", "title").collect()]
+    assert got == [(1, "u", False, 9.5, "t"), (2, "v", True, 2.0, None), (3, "w", True, None, None), (4, None, True, 4.0, None)]
