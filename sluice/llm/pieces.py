@@ -5,7 +5,8 @@ the longest piece suffix, and its output links lead to all shorter ones; each
 relaxes the best score of a segmentation that ends there. A character that no
 piece covers falls back to its UTF-8 bytes. No piece holds a space mark behind
 another character, so segmentations of the stretches between spaces are
-independent, and a stretch seen before is looked up.
+independent. Over a batch of texts each distinct stretch is segmented once, and
+the automaton runs over all short ones together, a character of each at a time.
 """
 
 from __future__ import annotations
@@ -17,7 +18,9 @@ from dataclasses import dataclass
 from functools import lru_cache
 from math import inf
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from .common import map_rows, text_bytes
@@ -30,6 +33,9 @@ DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 REMEMBERED, SHORT = 80_000, 48
 #: From this length on the table of a stretch is held in 16 bytes a character.
 LONG = 1 << 12
+#: Bytes of texts whose stretches are told apart together, about, and stretches
+#: that the automaton runs over together.
+GROUP, TOGETHER = 8 << 20, 1 << 13
 _STRETCH = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
@@ -93,6 +99,7 @@ class Automaton:
         self.ends: list[tuple | None] = [None] * len(self.next)
         self.remembered: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.tables: _Tables | None = None
 
     def outputs(self, at: int) -> tuple[tuple[int, int, float], ...]:
         """(-length, id, score) of the pieces that end in a state, longest first: its own
@@ -165,11 +172,192 @@ class Automaton:
             ids.frombytes(b"".join([known(part) or stretch(part) for part in _STRETCH.findall(SPACE + text.replace(" ", SPACE))]))
         return ids
 
+    def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[bool]]:
+        """(ids, offsets, exact) of many texts: the ids of encode() one text after the
+        other, where each text begins and ends, and whether decoding gives it back."""
+        marked = [b" " + t.replace(SPACE, " ").encode() if t else b"" for t in texts]
+        data, begins = b"".join(marked), np.concatenate(([0], np.cumsum([len(m) for m in marked], dtype=np.int64)))
+        if not data:
+            return np.empty(0, np.int32), np.zeros(len(texts) + 1, np.int64), [True] * len(texts)
+        space = np.frombuffer(data, np.uint8) == 0x20
+        first = space.copy()
+        first[1:] &= ~space[:-1]
+        first[begins[:-1][begins[:-1] < begins[1:]]] = True
+        at = np.flatnonzero(first)
+        stretches = pa.Array.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(np.append(at, len(data))), pa.py_buffer(data)]).dictionary_encode()
+        which, distinct = stretches.indices.to_numpy(), stretches.dictionary
+        ids, starts, good = self._ids_of(distinct)
+        sizes = (starts[1:] - starts[:-1])[which]
+        ends = np.cumsum(sizes)
+        flat = ids[np.repeat(starts[which] - ends + sizes, sizes) + np.arange(ends[-1])]
+        of_text = np.searchsorted(at, begins)
+        bad = np.concatenate(([0], np.cumsum(~good[which])))[of_text]
+        exact = [SPACE not in t and not b for t, b in zip(texts, np.diff(bad).tolist(), strict=True)]
+        return flat, np.concatenate(([0], ends))[of_text], exact
+
+    def _ids_of(self, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, starts, good) of stretches in UTF-8, with spaces as marks: their ids, where
+        those of each begin, and whether decoding gives the stretch back."""
+        if self.tables is None:
+            self.tables = _Tables(self)
+        offsets = np.frombuffer(distinct.buffers()[1], np.int64)[distinct.offset : distinct.offset + len(distinct) + 1]
+        raw = np.frombuffer(distinct.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+        offsets = offsets - offsets[0]
+        text = raw.tobytes().decode()
+        byte_at = np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(raw))
+        char_at = np.searchsorted(byte_at, offsets)
+        lengths = np.diff(char_at)
+        codes = self.tables.code_of[np.frombuffer(text.encode("utf-32-le"), np.uint32)]
+        order = np.argsort(-lengths, kind="stable")
+        n_long = int((lengths > SHORT).sum())
+        of, starts, taken = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for i in order[:n_long].tolist():
+            path = np.array(self.segment(text[char_at[i] : char_at[i + 1]].replace(" ", SPACE)), dtype=np.int64)
+            of.append(np.full(len(path), i))
+            starts.append(path[:, 0] + char_at[i])
+            taken.append(path[:, 1])
+        for low in range(n_long, len(order), TOGETHER):
+            some = order[low : low + TOGETHER]
+            word, start, id_ = self.tables.segment(codes, char_at[some], lengths[some])
+            of.append(some[word])
+            starts.append(start)
+            taken.append(id_)
+        of, starts, taken = np.concatenate(of), np.concatenate(starts), np.concatenate(taken)
+        # Every character is the start of one token at most.
+        at = np.full(len(codes), -2, dtype=np.int64)
+        at[starts] = taken
+        starts = np.flatnonzero(at != -2)
+        taken = at[starts]
+        # A character without a piece takes as many ids as it has bytes.
+        sizes = np.where(taken >= 0, 1, byte_at[starts + 1] - byte_at[starts])
+        ends = np.cumsum(sizes)
+        ids = np.repeat(taken, sizes)
+        byte = np.flatnonzero(ids < 0)
+        token = np.repeat(np.arange(len(sizes)), sizes)[byte]
+        ids[byte] = self.tables.byte_ids[raw[byte_at[starts[token]] + byte - (ends - sizes)[token]]]
+        first = np.concatenate(([0], ends))[np.searchsorted(starts, char_at)]
+        back = self.tables.bytes_of.take(pa.array(ids))
+        back_at = np.frombuffer(back.buffers()[1], np.int64)[back.offset : back.offset + len(back) + 1][first]
+        whole = np.frombuffer(back.buffers()[2], np.uint8)[back_at[0] : back_at[-1]]
+        good = np.diff(back_at) == np.diff(offsets)
+        if not good.all() or not np.array_equal(whole, raw):
+            parts = zip(offsets, offsets[1:], back_at - back_at[0], back_at[1:] - back_at[0], strict=False)
+            good = np.array([np.array_equal(raw[a:b], whole[c:d]) for a, b, c, d in parts], dtype=bool)
+        return ids.astype(np.int32), first, good
+
     def decode(self, ids) -> str:
         """The text of ids from encode(); a space mark in a text comes back as a space."""
         return b"".join(map(self.bytes_of.__getitem__, ids))[1:].decode("utf-8", "replace")
 
 
+class _Tables:
+    """An automaton as arrays, to run over many stretches together. Characters are
+    codes, 0 for one that is in no piece; a goto is found by a hash of state and code."""
+
+    def __init__(self, machine: Automaton):
+        chars = sorted({ch for goto in machine.next for ch in goto})
+        self.code_of = np.zeros(0x110000, dtype=np.int64)
+        self.code_of[[ord(ch) for ch in chars]] = np.arange(1, len(chars) + 1)
+        self.code_of[0x20] = self.code_of[ord(SPACE)]
+        code = {ch: i for i, ch in enumerate(chars, 1)}
+        self.codes = len(chars) + 1
+        self.root = np.zeros(self.codes, dtype=np.int64)
+        for ch, to in machine.next[0].items():
+            self.root[code[ch]] = to
+        keys = np.array([at * self.codes + code[ch] for at, goto in enumerate(machine.next) for ch in goto], dtype=np.int64)
+        self._hashed(keys, np.array([to for goto in machine.next for to in goto.values()], dtype=np.int64))
+        self.fail, self.unknown = np.array(machine.fail, dtype=np.int64), machine.unknown
+        outputs = [machine.outputs(at) for at in range(len(machine.next))]
+        self.n_out = np.array([len(o) for o in outputs], dtype=np.int64)
+        self.out_at = np.cumsum(self.n_out) - self.n_out
+        self.out_length = np.array([-length for o in outputs for length, _, _ in o], dtype=np.int64)
+        self.out_id = np.array([id_ for o in outputs for _, id_, _ in o], dtype=np.int64)
+        self.out_score = np.array([score for o in outputs for _, _, score in o])
+        self.single = np.array([bool(o) and o[-1][0] == -1 for o in outputs], dtype=bool)
+        self.byte_ids = np.array(machine.byte_ids, dtype=np.int64)
+        self.bytes_of = pa.array([machine.bytes_of.get(i, b"") for i in range(max(machine.bytes_of) + 1)], pa.large_binary())
+
+    def _hashed(self, keys: np.ndarray, to: np.ndarray) -> None:
+        """Each key goes to the first free slot from its own on; of two that want one, the
+        last that is written has it."""
+        self.shift = np.uint64(64 - max(4, int(4 * len(keys)).bit_length()))
+        self.mask = (1 << (64 - int(self.shift))) - 1
+        self.keys, self.to = np.full(self.mask + 1, -1, dtype=np.int64), np.zeros(self.mask + 1, dtype=np.int64)
+        slots = self._slots(keys)
+        while len(keys):
+            free = np.flatnonzero(self.keys[slots] < 0)
+            self.keys[slots[free]], self.to[slots[free]] = keys[free], to[free]
+            left = np.flatnonzero(self.keys[slots] != keys)
+            keys, to, slots = keys[left], to[left], (slots[left] + 1) & self.mask
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def goto(self, state: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """The next states, -1 where there is none."""
+        keys = state * self.codes + code
+        slots = self._slots(keys)
+        held = self.keys[slots]
+        found = np.where(held == keys, self.to[slots], -1)
+        left = np.flatnonzero((held != keys) & (held >= 0))
+        while len(left):
+            slots[left] = (slots[left] + 1) & self.mask
+            held = self.keys[slots[left]]
+            hit = held == keys[left]
+            found[left[hit]] = self.to[slots[left[hit]]]
+            left = left[~hit & (held >= 0)]
+        return found
+
+    def step(self, state: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """The states after one more character each, over failure links where needed."""
+        out = self.root[code]
+        left = np.flatnonzero((state > 0) & (code > 0))
+        at, code = state[left], code[left]
+        while len(left):
+            to = self.goto(at, code)
+            out[left[to >= 0]] = to[to >= 0]
+            at = self.fail[at]
+            more = np.flatnonzero((to < 0) & (at > 0))
+            left, at, code = left[more], at[more], code[more]
+        return out
+
+    def segment(self, codes: np.ndarray, begins: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(stretch, start, id) of the tokens of the best segmentations, as
+        Automaton.segment() has them; stretches come longest first."""
+        n, most = len(lengths), int(lengths[0])
+        best, back, taken = np.zeros((most + 1, n)), np.zeros((most + 1, n), np.int64), np.zeros((most + 1, n), np.int64)
+        flat, state = best.reshape(-1), np.zeros(n, dtype=np.int64)
+        alive = np.searchsorted(-lengths, -np.arange(1, most + 1), side="right")
+        for end in range(1, most + 1):
+            m = int(alive[end - 1])
+            state = self.step(state[:m], codes[begins[:m] + end - 1])
+            top, length, id_ = np.full(m, -inf), np.ones(m, np.int64), np.full(m, -1, np.int64)
+            some, j = np.flatnonzero(self.n_out[state]), 0
+            while len(some):
+                out = self.out_at[state[some]] + j
+                total = flat[(end - self.out_length[out]) * n + some] + self.out_score[out]
+                better = total > top[some]
+                to, out = some[better], out[better]
+                top[to], length[to], id_[to] = total[better], self.out_length[out], self.out_id[out]
+                j += 1
+                some = some[self.n_out[state[some]] > j]
+            other = best[end - 1, :m] + self.unknown
+            lone = np.flatnonzero(~self.single[state] & (other > top))
+            top[lone], length[lone], id_[lone] = other[lone], 1, -1
+            best[end, :m], back[end, :m], taken[end, :m] = top, length, id_
+        words, starts, ids = [], [], []
+        word, end = np.arange(n), lengths.copy()
+        while len(word):
+            ids.append(taken[end, word])
+            end = end - back[end, word]
+            words.append(word)
+            starts.append(begins[word] + end)
+            more = np.flatnonzero(end)
+            word, end = word[more], end[more]
+        return np.concatenate(words), np.concatenate(starts), np.concatenate(ids)
+
+
 @lru_cache(maxsize=2)
 def automaton(vocabulary: Vocabulary) -> Automaton:
     return Automaton(vocabulary)
@@ -182,19 +370,20 @@ def encode(docs: DataFrame, model: str = DEFAULT_MODEL) -> DataFrame:
     A null or empty text has no ids. A text that holds the space mark itself
     comes back with a space in its place (exact is false). Repeated rows stay.
     """
-    vocabulary = load(model)
+    vocabulary, group = load(model), GROUP
 
     def each(batch):
         coder = automaton(vocabulary)
-        flat, offsets, exact = array("i"), array("i", [0]), []
-        for raw in batch["text"]:
-            text = raw.as_py().decode("utf-8", "replace")
-            ids = coder.encode(text)
-            flat.extend(ids)
-            offsets.append(len(flat))
-            exact.append(coder.decode(ids) == text)
-        lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(memoryview(flat), pa.int32()))
-        yield batch["doc_id"], lists, [b - a for a, b in zip(offsets, offsets[1:], strict=False)], exact
+        sizes, at = pc.binary_length(batch["text"]).to_pylist(), 0
+        while at < len(sizes):
+            end, size = at + 1, sizes[at]
+            while end < len(sizes) and size + sizes[end] <= group:
+                size += sizes[end]
+                end += 1
+            ids, offsets, exact = coder.encode_all([raw.decode("utf-8", "replace") for raw in batch["text"][at:end].to_pylist()])
+            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids))
+            yield batch["doc_id"][at:end], lists, np.diff(offsets), exact
+            at = end
 
     return map_rows(docs.select("doc_id", text_bytes().alias("text")), each, "doc_id long, ids array<int>, n_ids int, exact boolean")
 

@@ -90,3 +90,31 @@ def test_very_long_stretch(monkeypatch):
     assert machine.segment(text) == long and cost(VOCABULARY, machine, text) == pytest.approx(best(VOCABULARY, text[:0]) + sum({i: s for _, i, s in VOCABULARY.pieces}.get(i, machine.unknown) for _, i in long))
     ids = machine.encode(text)
     assert machine.decode(ids) == text and not machine.remembered
+
+
+def test_texts_together_are_segmented_as_one_by_one(docs, monkeypatch):
+    draw, odd = random.Random(9), ["", "▁ mark \U0001f600 é \x00   x", "  ", "▁", " a ", "x" * 100 + " y", "語" * 60 + " 語", "a  b   a  b", "\n\n \t"]
+    drawn = ["".join(draw.choice(" abcx\U0001f600▁") for _ in range(draw.randint(0, 90))) for _ in range(500)]
+    for machine, texts in ((pieces.Automaton(VOCABULARY), drawn + odd), (pieces.Automaton(pieces.load()), odd + [r["text"] for r in docs.limit(30).collect()])):
+        for together in (7, 1 << 13):
+            monkeypatch.setattr(pieces, "TOGETHER", together)
+            ids, offsets, exact = machine.encode_all(texts)
+            one = [machine.encode(t) for t in texts]
+            assert [ids[a:b].tolist() for a, b in zip(offsets, offsets[1:])] == [list(i) for i in one]
+            assert exact == [machine.decode(i) == t for i, t in zip(one, texts)]
+        assert [x.tolist() for x in machine.encode_all(["", ""])[:2]] == [[], [0, 0, 0]]
+
+
+def test_short_stretches_are_run_together_each_once(docs, monkeypatch):
+    machine, texts = pieces.Automaton(pieces.load()), [r["text"] for r in docs.limit(30).collect()]
+    run, seen = pieces._Tables.segment, []
+    monkeypatch.setattr(pieces._Tables, "segment", lambda self, codes, begins, lengths: seen.append(len(lengths)) or run(self, codes, begins, lengths))
+    machine.encode_all(texts)
+    short = {s for t in texts for s in pieces._STRETCH.findall(f"▁{t.replace(' ', '▁')}") if len(s) <= pieces.SHORT}
+    assert sum(seen) == len(short)
+
+
+def test_groups_of_texts_agree(odd, monkeypatch):
+    whole = sorted(map(repr, pieces.encode(odd).collect()))
+    monkeypatch.setattr(pieces, "GROUP", 10)
+    assert sorted(map(repr, pieces.encode(odd).collect())) == whole
