@@ -105,3 +105,44 @@ def test_counts_of_words_are_exact():
     entries = [(k, -1.0) for k in texts["key"].to_pylist() if k >= 0 and k != ppm.STOP] + [(key, near), (key, n - near), (ppm.STOP, 2.0)]
     got = ppm.score_block(docs, pa.table({"key": pa.array([k for k, _ in entries], pa.int64()), "value": pa.array([v for _, v in entries], pa.float32())}))
     assert got["words"][0].as_py() == pytest.approx(2 * math.log10(n + 1) + math.log10(3), rel=1e-15)
+
+
+def test_lengths_of_grams_in_and_out_of_training(spark):
+    rows = [(1, "abcabcabd abcabe"), (3, "zabcab"), (4, ""), (5, "é")]
+    model = Brute(rows)
+    keys, counts = ppm._tallied([t.encode() for d, t in rows if not held(d)])
+    seen = spark.createDataFrame(list(zip(keys.tolist(), counts.tolist())), "key long not null, n long not null")
+    asked = {}
+    for text in ("abcabd", "zabx", "qqq", "cabe abcab", "é"):
+        s = symbols(text)
+        asked |= dict(zip(ppm.grams([text.encode()])[0].tolist(), [model.log(tuple(s[i - K : i]), s[i]) for i in range(K, len(s))]))
+    told = {r["key"]: r["value"] for r in ppm.seen_lengths(seen).collect()}
+    rest = spark.createDataFrame([(k,) for k in asked if k not in told], "key long not null")
+    found = {r["key"]: r["value"] for r in ppm.unseen_lengths(seen, rest).collect()}
+    assert set(found) == set(asked) - set(told) and len(found) < len(asked)
+    assert {k: {**told, **found}[k] for k in asked} == pytest.approx(asked)
+
+
+def test_tables_of_counts_are_exchanged_once(spark, docs):
+    context, most = spark.sparkContext._jsc.sc(), "spark.sql.autoBroadcastJoinThreshold"
+    usual = spark.conf.get(most)
+    spark.conf.set(most, "-1")
+    try:
+        before = context.newShuffleId()
+        ppm.score(docs.where("doc_id < 10")).collect()
+        found = context.newShuffleId() - before - 1
+        assert found <= 28, found
+    finally:
+        spark.conf.set(most, usual)
+
+
+def test_words_that_were_forgotten_are_found_again(monkeypatch):
+    rows = [b"one two three two", b"four one five", b"three six"]
+    table = pa.table({"block": pa.array([0] * 3, pa.int32()), "text": rows})
+    whole = ppm.keys_of_block(table)["key"].to_pylist()
+    entries = pa.table({"key": pa.array(whole, pa.int64()), "value": pa.array([-1.0 if 0 <= k < ppm.STOP else float(k % 7) for k in whole], pa.float32())})
+    docs = pa.table({"doc_id": [1, 2, 3], "held_out": [False] * 3, "text": rows})
+    want = ppm.score_block(docs, entries)
+    monkeypatch.setattr(ppm, "WORDS", 2)
+    monkeypatch.setattr(ppm, "_PIECE", 5)
+    assert sorted(ppm.keys_of_block(table)["key"].to_pylist()) == sorted(whole) and ppm.score_block(docs, entries) == want
