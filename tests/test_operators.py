@@ -377,7 +377,7 @@ def test_pairs_with_and_without_gaps(spark):
 
 
 #: So many times the rows of flats may be dealt out by each query.
-DEALT = {"twin_pairs": 2}
+DEALT = {"twin_pairs": 2, "duplicate_pairs": 2}
 
 
 @pytest.mark.parametrize("name", sorted(DEALT))
