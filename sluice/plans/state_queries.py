@@ -187,8 +187,8 @@ def stale_verdicts(spark, sf_dir):
   lab AS (SELECT node, min(label) AS label FROM walk GROUP BY node)
   SELECT arg_min(o.id, (CAST(family <> 'institutional' AS INTEGER), o.id)) AS id, list_sort(list(o.id)) AS keys FROM lab JOIN own o ON o.id = node GROUP BY label""")
 def collapsed_twins(spark, sf_dir):
-    rows = flats(spark, sf_dir)
-    return match.collapse_twins(rows.where("rooms > 2").select("id", "family"), match.pairs(rows, "twin"))
+    rows = flats(spark, sf_dir).where("rooms > 2")
+    return match.collapse_twins(rows.select("id", "family"), match.pairs(rows, "twin"))
 
 
 @query(f"""WITH {PRICES_SQL} SELECT key, seq, 'x : ' || CAST(previous AS BIGINT) || ' € → ' || CAST(price AS BIGINT) || ' € (−' || CAST(previous - price AS BIGINT) || ' €, −' || CAST(round((previous - price) * 100 / previous) AS INTEGER) || ' %)' AS line FROM points WHERE price < previous AND previous > 0 AND previous < 1000""")
