@@ -331,7 +331,7 @@ def closes_before_rollup(closes: Column, now: Column, hour: int, zone: str) -> C
 def suppress_twins(rows: DataFrame, twins: DataFrame) -> DataFrame:
     """Adds suppressed: a private copy one of whose twins was pushed; a direct copy
     never is. rows has id, family, pushed; twins has (a, b)."""
-    both = twins.union(twins.select("b", "a")).toDF("id", "other")
+    both = twins.select(F.inline(F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("other")), F.struct(F.col("b").alias("id"), F.col("a").alias("other")))))
     pushed = both.join(rows.where("pushed").select(F.col("id").alias("other")), "other").select("id").distinct().withColumn("twin_pushed", F.lit(True))
     return rows.join(pushed, "id", "left").withColumn("suppressed", (F.col("family") == "private") & F.coalesce("twin_pushed", F.lit(False))).drop("twin_pushed")
 
