@@ -377,7 +377,7 @@ def test_pairs_with_and_without_gaps(spark):
 
 
 #: So many times the rows of flats may be dealt out by each query.
-DEALT = {"twin_pairs": 2, "duplicate_pairs": 2, "connected_groups": 2, "twin_fixed_point": 4, "collapsed_twins": 4, "twin_suppression": 3, "gate_four_routes": 5}
+DEALT = {"twin_pairs": 2, "duplicate_pairs": 2, "connected_groups": 2, "twin_fixed_point": 4, "collapsed_twins": 4, "twin_suppression": 3, "gate_four_routes": 5, "greedy_cluster": 3}
 
 
 @pytest.mark.parametrize("name", sorted(DEALT))
