@@ -39,19 +39,29 @@ _HEX = "[0-9a-fA-F]"
 _BODY = r"(?<=\n)\r?\n"
 
 
+def _where(text: Column, pattern: str, masked: Column) -> Column:
+    """``masked`` where the pattern holds; other texts aren't taken apart for it."""
+    return F.when(text.rlike(pattern), masked).otherwise(text)
+
+
+def _woven(text: Column, pattern: str, masks: Column) -> Column:
+    """The text with its matches replaced by as many masks, one for each."""
+    pieces = F.split(text, pattern, -1)
+    return F.array_join(F.zip_with(pieces, masks, lambda p, m: F.concat(p, F.coalesce(m, F.lit("")))), "")
+
+
 def masked_in_turn(text: Column, pattern: str, mask) -> Column:
     """Each match replaced by ``mask`` of its number, from 1 (and of the match)."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pieces = F.split(text, pattern, -1)
-    return F.array_join(F.transform(pieces, lambda p, i: F.concat(p, F.when(i < F.size(found), mask(i + 1, F.get(found, i))).otherwise(""))), "")
+    return _where(text, pattern, _woven(text, pattern, F.transform(found, lambda match, i: mask(i + 1, match))))
 
 
 def masked_alike(text: Column, pattern: str, mask) -> Column:
     """Each distinct match, whatever the case, replaced by ``mask`` of its number and itself."""
     found = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.lower)
-    names = F.array_distinct(found)
-    pieces = F.split(text, pattern, -1)
-    return F.array_join(F.transform(pieces, lambda p, i: F.concat(p, F.when(i < F.size(found), mask(F.array_position(names, F.get(found, i)), F.get(found, i))).otherwise(""))), "")
+    # The matches and, once for each text, their distinct names.
+    masks = F.flatten(F.transform(F.array(F.array_distinct(found)), lambda names: F.transform(found, lambda match: mask(F.array_position(names, match), match))))
+    return _where(text, pattern, _woven(text, pattern, masks))
 
 
 def through_breaks(literal: Column) -> Column:
@@ -63,11 +73,12 @@ def _masked_literals(text: Column, literals: Column, mask: str) -> Column:
     return F.aggregate(literals, text, lambda t, literal: F.regexp_replace(t, through_breaks(literal), F.lit(mask)))
 
 
-def _masked_tokens(text: Column, secrets: Column, pattern: str, decode, name: str) -> Column:
-    """Tokens that decode to something with a secret in it, replaced whole."""
+def _masked_tokens(text: Column, secrets: Column, pattern: str, decode, name: str, sign: str) -> Column:
+    """Tokens that decode to something with a secret in it, replaced whole. A text without
+    the sign, a short part of any token, has none."""
     tokens = F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
     telling = F.filter(tokens, lambda token: F.exists(secrets, lambda s: reveals(decode(token), s)))
-    return F.aggregate(telling, text, lambda t, token: F.replace(t, token, F.lit(name)))
+    return _where(text, sign, F.aggregate(telling, text, lambda t, token: F.replace(t, token, F.lit(name))))
 
 
 def without_headers(content: Column) -> Column:
@@ -105,9 +116,9 @@ def scrubbed(mails: DataFrame) -> DataFrame:
         _masked_literals(text, F.col("__address"), READER),
         _masked_literals(text, F.col("__local"), READER.split("@")[0]),
         _masked_literals(text, F.col("__needles"), SOMEONE),
-        _masked_tokens(text, F.col("__secrets"), r"(?:%[0-9A-Fa-f]{2}|[A-Za-z0-9._~-])*%[0-9A-Fa-f]{2}(?:%[0-9A-Fa-f]{2}|[A-Za-z0-9._~-])*", lambda t: F.array(percent_decoded(t)), "FIXTURE"),
-        _masked_tokens(text, F.col("__secrets"), r"(?:[A-Za-z0-9._~-]|=\r?\n)*(?:=[0-9A-F]{2}(?:[A-Za-z0-9._~-]|=\r?\n)*)+", lambda t: F.array(quoted_printable_decoded(t)), "FIXTURE"),
-        _masked_tokens(text, F.col("__secrets"), r"[A-Za-z0-9_+/\-]{16,}={0,2}", base64_runs, "FIXTURE"),
+        _masked_tokens(text, F.col("__secrets"), r"(?:%[0-9A-Fa-f]{2}|[A-Za-z0-9._~-])*%[0-9A-Fa-f]{2}(?:%[0-9A-Fa-f]{2}|[A-Za-z0-9._~-])*", lambda t: F.array(percent_decoded(t)), "FIXTURE", "%[0-9A-Fa-f]{2}"),
+        _masked_tokens(text, F.col("__secrets"), r"(?:[A-Za-z0-9._~-]|=\r?\n)*(?:=[0-9A-F]{2}(?:[A-Za-z0-9._~-]|=\r?\n)*)+", lambda t: F.array(quoted_printable_decoded(t)), "FIXTURE", "=[0-9A-F]{2}"),
+        _masked_tokens(text, F.col("__secrets"), r"[A-Za-z0-9_+/\-]{16,}={0,2}", base64_runs, "FIXTURE", r"[A-Za-z0-9_+/\-]{16}"),
     ]
     for step in steps:
         now = now.withColumn("__text", step)
